@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake import fixed
 from voxlake.functions import text as tx
+from voxlake.functions.once import computed_once
 
 
 def _common(a: str, b: str) -> int:
@@ -92,24 +93,12 @@ def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     )
 
 
-def _token_sets(a: Column, b: Column) -> Column:
-    """What the set comparison of two texts needs: joined unshared words and lengths."""
-    ta, tb = F.array_distinct(tx.words(F.lower(a))), F.array_distinct(tx.words(F.lower(b)))
-    shared = F.array_intersect(ta, tb)
-    only_a, only_b = F.array_except(ta, tb), F.array_except(tb, ta)
-    covered = (F.size(shared) > 0) & ((F.size(only_a) == 0) | (F.size(only_b) == 0))
-    empty = (F.size(ta) == 0) | (F.size(tb) == 0)
-    return F.struct(
-        covered.alias("covered"),
-        empty.alias("empty"),
-        F.length(F.array_join(shared, " ")).alias("shared"),
-        F.array_join(F.array_sort(only_a), " ").alias("a"),
-        F.array_join(F.array_sort(only_b), " ").alias("b"),
-    )
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(tx.words(F.lower(text)))
 
 
 def _token_set_score(sets: Column, lcs: Column) -> Column:
-    len_s, len_a, len_b = sets["shared"], F.length(sets["a"]), F.length(sets["b"])
+    len_s, len_a, len_b = F.length(sets["shared"]), F.length(sets["a"]), F.length(sets["b"])
     gap = F.when(len_s > 0, 1).otherwise(0)
     full_a, full_b = len_s + gap + len_a, len_s + gap + len_b
 
@@ -123,19 +112,46 @@ def _token_set_score(sets: Column, lcs: Column) -> Column:
     )
 
 
-def token_set_ratios(text: Column, others: Column) -> Column:
-    """Similarity 0-1 of `text` to each text of an array, by shared and unshared words (order does not matter)."""
-    sets = F.transform(others, lambda o: _token_sets(text, o))
-    undecided = F.transform(sets, lambda s: ~(s["covered"] | s["empty"]))
-    lcs = common_lengths(
-        F.zip_with(sets, undecided, lambda s, u: F.when(u, s["a"])),
-        F.zip_with(sets, undecided, lambda s, u: F.when(u, s["b"])),
+def with_token_set_ratios(df: DataFrame, text: Column, others: Column, name: str) -> DataFrame:
+    """Add `name`: similarity 0-1 of `text` to each text of an array, by shared and unshared words, in any order.
+
+    Built in steps so that each intermediate array is computed once per row.
+    """
+    stepped = computed_once(df, _ta=_distinct_words(text), _tb=F.transform(others, _distinct_words))
+    stepped = computed_once(
+        stepped,
+        _sets=F.transform(
+            "_tb",
+            lambda tb: F.struct(
+                F.array_intersect("_ta", tb).alias("shared"),
+                F.array_sort(F.array_except("_ta", tb)).alias("a"),
+                F.array_sort(F.array_except(tb, F.col("_ta"))).alias("b"),
+            ),
+        ),
     )
-    return F.zip_with(sets, lcs, _token_set_score)
-
-
-def token_set_ratio(a: Column, b: Column) -> Column:
-    return F.get(token_set_ratios(a, F.array(b)), 0)
+    one_empty = lambda s: (F.size(s["a"]) == 0) | (F.size(s["b"]) == 0)
+    stepped = computed_once(
+        stepped,
+        _sets=F.transform(
+            "_sets",
+            lambda s: F.struct(
+                ((F.size(s["shared"]) > 0) & one_empty(s)).alias("covered"),
+                ((F.size(s["shared"]) == 0) & one_empty(s)).alias("empty"),
+                F.array_join(s["shared"], " ").alias("shared"),
+                F.array_join(s["a"], " ").alias("a"),
+                F.array_join(s["b"], " ").alias("b"),
+            ),
+        ),
+    )
+    undecided = lambda s, side: F.when(~(s["covered"] | s["empty"]), s[side])
+    stepped = stepped.withColumn(
+        "_lcs",
+        common_lengths(
+            F.transform("_sets", lambda s: undecided(s, "a")), F.transform("_sets", lambda s: undecided(s, "b"))
+        ),
+    )
+    scored = computed_once(stepped, **{name: F.zip_with("_sets", "_lcs", _token_set_score)})
+    return scored.drop("_ta", "_tb", "_sets", "_lcs")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake import fixed
 from voxlake.functions import text as tx
+from voxlake.functions.once import computed_once
 from voxlake.functions.scan import exact_median
 
 FACTOR = "struct<factor:string,weight:double,turn_index:int,detail:string,check_support:boolean>"
@@ -100,9 +101,7 @@ def attention_scores(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
         "repeat": repeat_part(c("repeat_count")),
         "handle": handle_time_part(duration, c("median_duration")),
     }
-    priced = filled
-    for name, part in parts.items():
-        priced = priced.withColumn(f"_{name}", part)
+    priced = computed_once(filled, **{f"_{name}": part for name, part in parts.items()})
     total = c("_resolution") + c("_mood") + c("_shift") + c("_escalation") + c("_repeat") + c("_handle")
     base = F.bround(F.least(total, F.lit(1.0)) * 100).cast("int")
     contradicted = c("contradiction_turn_index").isNotNull()

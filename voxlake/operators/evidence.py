@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxlake import fixed
 from voxlake.functions import similarity as sim
 from voxlake.functions import text as tx
+from voxlake.functions.once import computed_once
 
 # Order in which citations of one turn win.
 CLAIM_ORDER = {
@@ -35,12 +36,14 @@ class Support:
     def threshold(self) -> float:
         return fixed.VECTOR_SUPPORT if self.method == "embedding" else fixed.LEXICAL_SUPPORT
 
-    def scores(self, claim: Column, others: Column) -> Column:
-        """Similarity 0-1 of the claim to each text of an array."""
+    def add_scores(self, df: DataFrame, claim: Column, others: Column, name: str) -> DataFrame:
+        """Add the similarity 0-1 of the claim to each text of an array."""
         if self.method == "embedding":
-            vectors = self.embed(F.concat(F.array(claim), others))
-            return F.transform(F.slice(vectors, 2, F.size(others)), lambda v: sim.vector_support(F.get(vectors, 0), v))
-        return sim.token_set_ratios(claim, others)
+            embedded = df.withColumn("_vectors", self.embed(F.concat(F.array(claim), others)))
+            rest = F.slice("_vectors", 2, F.greatest(F.size("_vectors") - 1, F.lit(0)))
+            scored = F.transform(rest, lambda v: sim.vector_support(F.get("_vectors", 0), v))
+            return embedded.withColumn(name, scored).drop("_vectors")
+        return sim.with_token_set_ratios(df, claim, others, name)
 
 
 def select_quotes(claims: DataFrame, support: Support = Support()) -> DataFrame:
@@ -48,15 +51,13 @@ def select_quotes(claims: DataFrame, support: Support = Support()) -> DataFrame:
 
     All sentences of a turn are compared inside its row, so nothing is shuffled.
     """
-    split = claims.withColumn("_s", tx.sentences(F.col("text")))
+    split = computed_once(claims, _s=tx.sentences(F.col("text")))
     long_enough = F.filter("_s", lambda s: tx.word_count(s) >= 3)
-    split = split.withColumn(
-        "_c", F.when(F.size("_s") > 1, long_enough).otherwise(F.array().cast("array<string>"))
-    )
-    scored = split.withColumn("_r", support.scores(F.col("claim_text"), F.col("_c")))
-    best = F.get(F.col("_c"), (F.array_position("_r", F.array_max("_r")) - 1).cast("int"))
+    split = computed_once(split, _c=F.when(F.size("_s") > 1, long_enough).otherwise(F.array().cast("array<string>")))
+    scored = support.add_scores(split, F.col("claim_text"), F.col("_c"), "_r")
+    best = F.get("_c", (F.array_position("_r", F.array_max("_r")) - 1).cast("int"))
     chosen = F.when(F.size("_s") <= 1, F.col("text")).otherwise(F.coalesce(best, F.get(F.col("_s"), 0)))
-    return scored.select(*claims.columns, tx.first_words(chosen, fixed.MAX_QUOTE_WORDS).alias("quote"))
+    return computed_once(scored, quote=tx.first_words(chosen, fixed.MAX_QUOTE_WORDS)).select(*claims.columns, "quote")
 
 
 def claim_to_check(claim_type: Column, claim_text: Column) -> Column:
@@ -71,10 +72,10 @@ def verify(citations: DataFrame, support: Support = Support(), span_threshold: f
     only other quotes reach the window search.
     """
     q, t = F.col("_q"), F.col("_t")
-    normal = citations.withColumn("_q", tx.normalise(F.col("quote"))).withColumn("_t", tx.normalise(F.col("text")))
-    short = tx.word_count(q) < fixed.MIN_QUOTE_WORDS
-    verbatim = F.contains(t, q)
-    normal = normal.withColumn("_short", short).withColumn("_verbatim", verbatim)
+    normal = computed_once(citations, _q=tx.normalise(F.col("quote")), _t=tx.normalise(F.col("text")))
+    normal = computed_once(
+        normal, _short=tx.word_count(q) < fixed.MIN_QUOTE_WORDS, _verbatim=F.contains(t, q)
+    )
     search = ~F.col("_short") & ~F.col("_verbatim")
     spanned = normal.withColumn("_span", sim.best_span(F.when(search, q), F.when(search, t)))
     spanned = spanned.withColumn(
@@ -85,7 +86,7 @@ def verify(citations: DataFrame, support: Support = Support(), span_threshold: f
     )
     spanned = spanned.withColumn("_present", present).withColumn("_checked", present & F.col("claim").isNotNull())
     claim, quote = F.when(F.col("_checked"), F.col("claim")), F.when(F.col("_checked"), F.array("quote"))
-    scored = spanned.withColumn("_support", F.get(support.scores(claim, quote), 0))
+    scored = support.add_scores(spanned, claim, quote, "_r").withColumn("_support", F.get("_r", 0))
     supported = F.col("_support") >= support.threshold
     reason = (
         F.when(F.col("_short"), fixed.REASON_SHORT)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlake import fixed
 from voxlake.functions import text as tx
+from voxlake.functions.once import computed_once
 from voxlake.operators.turns import transcripts
 
 PAYLOAD = (
@@ -35,9 +36,8 @@ def first_json_object(text: Column) -> Column:
 
 def parse_payloads(raw: DataFrame, column: str = "payload") -> DataFrame:
     """Add the parsed payload as `judgment` and an `error` text where no object could be read."""
-    found = first_json_object(F.col(column))
-    parsed = raw.withColumn("_json", found)
-    return parsed.withColumn("judgment", F.from_json("_json", PAYLOAD)).withColumn(
+    parsed = computed_once(raw, _json=first_json_object(F.col(column)))
+    return computed_once(parsed, judgment=F.from_json("_json", PAYLOAD)).withColumn(
         "error", F.when(F.col("_json").isNull(), F.lit("no JSON object found in model output"))
     ).drop("_json")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlake import fixed
 from voxlake.functions import text as tx
+from voxlake.functions.once import computed_once
 from voxlake.functions.scan import exact_median
 
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -30,29 +31,39 @@ def refusal_free(text: Column) -> Column:
     )
 
 
-def _token_contexts(word_list: Column, variant: int) -> Column:
-    """Per word: itself, its three predecessors, its place relative to 'but', and whether it is shouted."""
-    bare = F.transform(word_list, lambda w: F.regexp_replace(F.lower(w), EDGE, ""))
-    but_at = F.array_position(bare, "but")
-    shouted = F.transform(word_list, lambda w: (F.upper(w) == w) & (F.lower(w) != w))
-    mixed = F.exists(shouted, lambda s: s) & ~F.forall(shouted, lambda s: s)
+def _token_contexts(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per word: itself, its three predecessors, its place relative to 'but', whether it is shouted.
+
+    In: keys, `variant`, `_w` (words). Built in steps so that each array is computed once per row.
+    """
+    stepped = computed_once(
+        texts,
+        _bare=F.transform("_w", lambda w: F.regexp_replace(F.lower(w), EDGE, "")),
+        _loud=F.transform("_w", lambda w: (F.upper(w) == w) & (F.lower(w) != w)),
+    )
+    stepped = computed_once(
+        stepped,
+        _but=F.array_position("_bare", "but"),
+        _mixed=F.exists("_loud", lambda s: s) & ~F.forall("_loud", lambda s: s),
+    )
 
     def context(token: Column, i: Column) -> Column:
         return F.struct(
-            F.lit(variant).alias("variant"),
             token.alias("token"),
-            F.when(i >= 1, F.get(bare, i - 1)).alias("p1"),
-            F.when(i >= 2, F.get(bare, i - 2)).alias("p2"),
-            F.when(i >= 3, F.get(bare, i - 3)).alias("p3"),
-            F.when(but_at == 0, 1.0)
-            .when(i + 1 < but_at, fixed.BUT_BEFORE)
-            .when(i + 1 > but_at, fixed.BUT_AFTER)
+            F.when(i >= 1, F.get("_bare", i - 1)).alias("p1"),
+            F.when(i >= 2, F.get("_bare", i - 2)).alias("p2"),
+            F.when(i >= 3, F.get("_bare", i - 3)).alias("p3"),
+            F.when(F.col("_but") == 0, 1.0)
+            .when(i + 1 < F.col("_but"), fixed.BUT_BEFORE)
+            .when(i + 1 > F.col("_but"), fixed.BUT_AFTER)
             .otherwise(1.0)
             .alias("weight"),
-            (mixed & F.get(shouted, i)).alias("shout"),
+            (F.col("_mixed") & F.get("_loud", i)).alias("shout"),
         )
 
-    return F.transform(bare, context)
+    return stepped.select(*keys, "variant", F.explode(F.transform("_bare", context)).alias("_t")).select(
+        *keys, "variant", "_t.*"
+    )
 
 
 def _adjusted(valence: Column, shout: Column, weight: Column, previous: Sequence[Column]) -> Column:
@@ -62,8 +73,7 @@ def _adjusted(valence: Column, shout: Column, weight: Column, previous: Sequence
         step = F.when(_isin(word, fixed.BOOST_UP), fixed.BOOST * decay).when(
             _isin(word, fixed.BOOST_DOWN), -fixed.BOOST * decay
         ).otherwise(0.0)
-        v = v + sign * step
-        v = F.when(_isin(word, fixed.NEGATORS), v * fixed.NEGATION_FACTOR).otherwise(v)
+        v = (v + sign * step) * F.when(_isin(word, fixed.NEGATORS), fixed.NEGATION_FACTOR).otherwise(1.0)
     return v * weight
 
 
@@ -83,10 +93,14 @@ def text_valence(turns: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("c
     Only words found in the lexicon survive the join, and they are summed per turn before any shuffle. The text and its
     refusal-free variant are scored in the same pass. Catalyst broadcasts the lexicon when it is small enough.
     """
-    kept = refusal_free(F.col("text"))
-    tokens = turns.select(
-        *keys, F.explode(F.concat(_token_contexts(tx.words(F.col("text")), 0), _token_contexts(kept, 1))).alias("_t")
-    ).select(*keys, "_t.*")
+    turns_kept = computed_once(turns, _kept=refusal_free(F.col("text")))
+    kept = F.col("_kept")
+    both = F.array(
+        F.struct(F.lit(0).alias("variant"), tx.words(F.col("text")).alias("_w")),
+        F.struct(F.lit(1).alias("variant"), kept.alias("_w")),
+    )
+    texts = turns_kept.select(*keys, F.explode(both).alias("_b")).select(*keys, "_b.*")
+    tokens = _token_contexts(texts, keys)
     value = _adjusted(F.col("valence"), F.col("shout"), F.col("weight"), [F.col("p1"), F.col("p2"), F.col("p3")])
     sums = (
         tokens.join(lexicon, "token")
@@ -98,7 +112,7 @@ def text_valence(turns: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("c
         )
     )
     n_all, n_kept = tx.word_count(F.col("text")), F.size(kept)
-    scored = turns.join(sums, list(keys), "left")
+    scored = turns_kept.join(sums, list(keys), "left")
     plain = _compound(F.coalesce(F.col("_s0"), F.lit(0.0)), F.col("text"))
     rest = _compound(F.coalesce(F.col("_s1"), F.lit(0.0)), F.array_join(kept, " "))
     decline = F.when(n_kept == n_all, False).when(n_kept == 0, True).otherwise(rest > -0.05)

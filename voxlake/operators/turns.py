@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake import fixed
 from voxlake.functions import text as tx
+from voxlake.functions.once import computed_once
 from voxlake.functions.scan import running_totals
 
 BLOCK_SECONDS = 900.0
@@ -20,10 +21,17 @@ def split_on_pauses(segments: DataFrame, gap: float = fixed.TURN_GAP) -> DataFra
     """
     words = F.col("words")
     n = F.size(words)
-    breaks = F.filter(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.get(words, i)["start"] - F.get(words, i - 1)["end"] > gap,
+    segments = computed_once(
+        segments,
+        _breaks=F.when(
+            n >= 2,
+            F.filter(
+                F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+                lambda i: F.get(words, i)["start"] - F.get(words, i - 1)["end"] > gap,
+            ),
+        ),
     )
+    breaks = F.col("_breaks")
     firsts = F.concat(F.array(F.lit(0)), breaks)
     nexts = F.concat(breaks, F.array(n))
 
@@ -37,7 +45,7 @@ def split_on_pauses(segments: DataFrame, gap: float = fixed.TURN_GAP) -> DataFra
         )
 
     whole = F.array(F.struct("start", "end", "text", F.coalesce(words, F.array().cast("array<struct<text:string,start:double,end:double,confidence:double>>")).alias("words")))
-    pieces = F.when(words.isNull() | (n < 2), whole).otherwise(F.zip_with(firsts, nexts, piece))
+    pieces = F.when(breaks.isNull(), whole).otherwise(F.zip_with(firsts, nexts, piece))
     return segments.select(
         "call_id", "segment_no", "speaker", F.posexplode(pieces).alias("piece_no", "_p")
     ).select("call_id", "segment_no", "piece_no", "speaker", "_p.start", "_p.end", "_p.text", "_p.words")

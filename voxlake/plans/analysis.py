@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -10,6 +11,13 @@ from pyspark.sql import functions as F
 
 from voxlake.operators import attention, changepoint, contradiction, evidence, judgments, mood, repeats
 from voxlake.operators.evidence import Support
+from voxlake.session import settle
+
+Stage = Callable[[str, DataFrame], DataFrame]
+
+
+def checkpointed(name: str, df: DataFrame) -> DataFrame:
+    return settle(df)
 
 
 @dataclass(frozen=True)
@@ -49,30 +57,37 @@ def analyse(
     support: Support = Support(),
     history: DataFrame | None = None,
     corpus: DataFrame | None = None,
+    stage: Stage = checkpointed,
 ) -> Analysis:
     """Analyse calls from their turns.
 
+    Every stage result that is used more than once goes through `stage`: a reliable checkpoint, or a stage table
+    (`sources.tables.table_stage`).
+
     Repeat contact is by issue cluster inside 30 days when `call_clusters` is given, else by intent against `history`
     (earlier judged calls) and the calls themselves, as for calls that arrive before clusters exist.
     """
-    points = mood.mood_points(turns, lexicon)
-    shifts = changepoint.reportable_shifts(points)
+    points = stage("mood_points", mood.mood_points(turns, lexicon))
+    shifts = stage("mood_shifts", changepoint.reportable_shifts(points))
     judged, errors = judgments.attach_judgments(turns, judge)
-    against = contradiction.resolved_contradictions(turns, judged)
+    judged, errors = stage("judgments", judged), stage("judgment_errors", errors)
+    against = stage("contradictions", contradiction.resolved_contradictions(turns, judged))
     claims = (
         evidence.judgment_claims(judged)
         .unionByName(evidence.shift_claims(shifts))
         .unionByName(evidence.contradiction_claims(against))
     )
-    cited = evidence.build_evidence(claims, turns, support)
+    cited = stage("claim_evidence", evidence.build_evidence(claims, turns, support))
     if call_clusters is not None:
         earlier = repeats.prior_same_cluster(calls, call_clusters)
     else:
         now = calls.select("call_id", "customer_id", "started_at").join(judged.select("call_id", "intent_label"), "call_id")
         earlier = repeats.prior_same_intent(now if history is None else now.unionByName(history.select(*now.columns)))
     inputs = attention_inputs(calls, judged, points, shifts, turns, earlier, against, corpus)
-    scored = attention.attention_scores(inputs)
+    scored = stage("scores", attention.attention_scores(inputs))
     with_citations, every = evidence.cite_factors(scored, cited, turns, support)
+    every = stage("evidence", every)
+    with_citations = stage("attention", with_citations)
     return Analysis(points, shifts, judged, errors, every, with_citations)
 
 
@@ -83,14 +98,17 @@ def rescore(
     stored: DataFrame,
     call_clusters: DataFrame,
     support: Support = Support(),
+    stage: Stage = checkpointed,
 ) -> tuple[DataFrame, DataFrame]:
     """`(attention, evidence)` again from stage tables, without a new judgment.
 
     `calls` are judged calls; `stored` is their evidence. Shift and factor citations are rebuilt, the others reused.
     """
-    shifts = changepoint.reportable_shifts(points)
+    shifts = stage("mood_shifts", changepoint.reportable_shifts(points))
     kept = stored.where(~F.col("claim_type").isin("mood_shift", "attention_factor"))
-    rebuilt = kept.unionByName(evidence.build_evidence(evidence.shift_claims(shifts), turns, support))
+    rebuilt = stage(
+        "claim_evidence", kept.unionByName(evidence.build_evidence(evidence.shift_claims(shifts), turns, support))
+    )
     where = evidence.cited_turns(kept)
     judged = calls.where(F.col("resolution_status").isNotNull()).select("call_id", "resolution_status").join(
         where.drop("contradiction_turn_index"), "call_id", "left"
@@ -101,4 +119,4 @@ def rescore(
     inputs = attention_inputs(
         calls, judged, points, shifts, turns, repeats.prior_same_cluster(calls, call_clusters), against
     )
-    return evidence.cite_factors(attention.attention_scores(inputs), rebuilt, turns, support)
+    return evidence.cite_factors(stage("scores", attention.attention_scores(inputs)), rebuilt, turns, support)

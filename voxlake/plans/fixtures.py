@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions import text as tx
+from voxlake.functions.once import computed_once
 from voxlake.functions.scan import index_block, running_totals
 
 # Stand-in parameters: frequent word pieces of the invented languages.
@@ -106,8 +107,8 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
         "turn",
         F.when(F.col("role") == "user", "customer").otherwise("agent").alias("speaker"),
         "text",
-        tx.words(F.col("text")).alias("_w"),
     )
+    spoken = computed_once(spoken, _w=tx.words(F.col("text")))
     gap = F.when(F.col("turn") % 3 == 0, 300).when(F.col("turn") % 3 == 1, -900).otherwise(1500)
     step = 400 * F.size("_w") + gap
     placed = running_totals(

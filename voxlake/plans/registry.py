@@ -17,6 +17,7 @@ from voxlake.operators import (
     attention, changepoint, contradiction, evidence, issues, judgments, mood, repeats, turns,
 )
 from voxlake.plans import analysis, fixtures as fx, quality, views
+from voxlake.session import settle
 from voxlake.sources import readers, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,8 +437,8 @@ def selected_quotes(spark, sf):
 
 @query
 def lexical_support(spark, sf):
-    c = _claims(spark, sf)
-    return c.select("call_id", "claim_type", r6(sim.token_set_ratio(F.col("claim_text"), F.col("text")), "support"))
+    c = sim.with_token_set_ratios(_claims(spark, sf), F.col("claim_text"), F.array("text"), "ratios")
+    return c.select("call_id", "claim_type", r6(F.get("ratios", 0), "support"))
 
 
 @query
@@ -519,7 +520,8 @@ def _scored(spark, sf):
 
 @query
 def factors_cited(spark, sf):
-    scores, _ = evidence.cite_factors(_scored(spark, sf), _evidence(spark, sf), fx.turns(spark, sf))
+    stored = settle(_evidence(spark, sf))
+    scores, _ = evidence.cite_factors(settle(_scored(spark, sf)), stored, fx.turns(spark, sf))
     f = scores.select("call_id", "attention_score", F.posexplode("factors").alias("place", "f"))
     return f.select(
         "call_id", "attention_score", "place", "f.factor", r6("f.weight", "weight"), "f.turn_index", "f.detail",
@@ -977,8 +979,7 @@ def batch_outcome(spark, sf):
 # Whole pipeline
 
 
-def _conversation_calls(spark, sf):
-    t = fx.turns(spark, sf)
+def _conversation_calls(t: DataFrame) -> DataFrame:
     return t.groupBy("call_id").agg(F.max("end_seconds").alias("duration_seconds")).select(
         "call_id",
         (F.col("call_id") % 13).alias("customer_id"),
@@ -989,7 +990,8 @@ def _conversation_calls(spark, sf):
 
 @query
 def full_analysis(spark, sf):
-    c, t = _conversation_calls(spark, sf), fx.turns(spark, sf)
+    t = settle(fx.turns(spark, sf))
+    c = _conversation_calls(t)
     done = analysis.analyse(c, t, fx.lexicon(spark))
     return done.attention.select(
         "call_id", "attention_score", F.size("factors").alias("n_factors"),

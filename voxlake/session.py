@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "voxlake", **conf: str) -> SparkSession:
@@ -34,3 +34,9 @@ def checkpoint_ready(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", "")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage with a reliable checkpoint, so that lost executors cost a re-read only."""
+    checkpoint_ready(df.sparkSession)
+    return df.checkpoint()

@@ -6,6 +6,8 @@ Spark's commit protocol makes each append all-or-nothing, and a failed run leave
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -20,6 +22,17 @@ def append_run(df: DataFrame, path: str, run_id: int) -> None:
     df.withColumn("run_id", F.lit(run_id).cast("bigint")).write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def table_stage(root: str, run_id: int) -> Callable[[str, DataFrame], DataFrame]:
+    """A stage writer for `analyse`: each stage result becomes one run of its own table and is read back from there."""
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        path = f"{root.rstrip('/')}/{name}"
+        append_run(df, path, run_id)
+        return df.sparkSession.read.parquet(path).where(F.col("run_id") == run_id).drop("run_id")
+
+    return stage
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or an empty frame of `schema` when nothing has been written yet."""
     try:
