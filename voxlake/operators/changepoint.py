@@ -134,7 +134,7 @@ def _described(placed: DataFrame, cuts: DataFrame) -> DataFrame:
         "call_id",
         F.col("pos").alias("break_pos"),
         "turn_index",
-        ((F.col("cum_score") - F.col("score")) / F.col("pos")).alias("before_mean"),
+        ((F.col("cum_score") - F.col("score")) / F.nullif(F.col("pos"), F.lit(0))).alias("before_mean"),
         ((F.col("total_score") - F.col("cum_score") + F.col("score")) / (F.col("n") - F.col("pos"))).alias("after_mean"),
     )
     return cuts.join(at, ["call_id", "break_pos"]).withColumn("delta", F.col("after_mean") - F.col("before_mean"))
