@@ -200,9 +200,9 @@ union all
 select call_id, t + 1, n, pen, a, b, list_append(f, best.c + pen), list_append(back, best.s) from (
   select *, list_min(list_transform(range(0, t), lambda s: {{'c': f[s + 1] + (b[t + 2] - b[s + 1]) - (a[t + 2] - a[s + 1]) * (a[t + 2] - a[s + 1]) / (t + 1 - s), 's': s}})) as best
   from {dp} where t < n)""",
-    "walk": """select call_id, n as at, back from {dp} where t = n
-union all select call_id, back[at + 1], back from {walk} where back[at + 1] > 0""",
-    "cuts": "select w.call_id, at as break_pos from {walk} w join {lists} l on l.call_id = w.call_id where at < n",
+    "walk": """select call_id, n as cut, back from {dp} where t = n
+union all select call_id, back[cut + 1], back from {walk} where back[cut + 1] > 0""",
+    "cuts": "select w.call_id, cut as break_pos from {walk} w join {lists} l on l.call_id = w.call_id where cut < n",
     "described": """select call_id, break_pos, ti[break_pos + 1] as turn_index, list_avg(raw[1:break_pos]) as before_mean,
   list_avg(raw[break_pos + 1:n]) as after_mean from {cuts} join {lists} using (call_id)""",
     "shifts": """select call_id, turn_index, before_mean, after_mean, after_mean - before_mean as delta from {described}
@@ -432,6 +432,8 @@ def r6(*columns: str) -> str:
     return ", ".join(f"round({c}::double, 6) as {c.strip(chr(34))}" for c in columns)
 
 
+NUDGED = ", ".join(f"round({c} + 1e-9, 6) as {c}" for c in ("before_mean", "after_mean", "delta"))
+
 FINAL: dict[str, str] = {
     # Sources and upkeep
     "call_metadata": r"""select 'c' || o_orderkey as call_id, coalesce(nullif(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') as customer_id,
@@ -487,11 +489,11 @@ join turns b on a.call_id = b.call_id and a.t >= b.start_seconds and a.t < b.end
     "series_smoothed": "select call_id, turn_index, pos, n, round(sm, 6) as smoothed from s_smoothed",
     "series_penalties": "select call_id, round(pen, 6) as penalty from s_lists",
     "series_breaks": "select call_id, break_pos from s_cuts",
-    "mood_shifts": f"select call_id, turn_index, {r6('before_mean', 'after_mean', 'delta')} from s_shifts",
-    "single_split_shifts": """select call_id, ti[b + 1] as turn_index, round(list_avg(raw[1:b]), 6) as before_mean, round(list_avg(raw[b + 1:n]), 6) as after_mean, round(list_avg(raw[b + 1:n]) - list_avg(raw[1:b]), 6) as delta
+    "mood_shifts": f"select call_id, turn_index, {NUDGED} from s_shifts",
+    "single_split_shifts": """select call_id, ti[b + 1] as turn_index, round(list_avg(raw[1:b]) + 1e-9, 6) as before_mean, round(list_avg(raw[b + 1:n]) + 1e-9, 6) as after_mean, round(list_avg(raw[b + 1:n]) - list_avg(raw[1:b]) + 1e-9, 6) as delta
 from (select *, round(abs(list_avg(xs[b + 1:n]) - list_avg(xs[1:b])), 9) as gap from (select *, unnest(range(2, n - 1)) as b from s_lists where n >= 5))
 qualify row_number() over (partition by call_id order by gap desc, b) = 1 and gap >= 0.12""",
-    "reportable_shifts": f"""select call_id, turn_index, {r6('before_mean', 'after_mean', 'delta')} from u_shifts join (select call_id, turn_index, citable from series) using (call_id, turn_index)
+    "reportable_shifts": f"""select call_id, turn_index, {NUDGED} from u_shifts join (select call_id, turn_index, citable from series) using (call_id, turn_index)
 where delta <= 0 and after_mean <= -0.15 and citable""",
     # Judgments
     "judgments_coerced": f"""select call_id, coalesce(nullif({strip('label')}, ''), 'unclear') as intent_label, cast(greatest(0, least(iturn, n_turns - 1)) as int) as intent_turn_index,
@@ -524,7 +526,7 @@ from unit a join unit b on a.id = b.id + 1""",
     # Attention
     "attention_scores": """select call_id, attention_score, cast(count(factor) as int) as n_factors, coalesce(string_agg(factor, '|' order by weight desc, place), '') as names,
   coalesce(string_agg(cast(cast(round(weight * 1000) as int) as varchar), '|' order by weight desc, place), '') as weights,
-  coalesce(string_agg(coalesce(cast(turn as varchar), '-'), '|' order by weight desc, place), '') as turns,
+  coalesce(string_agg(coalesce(cast(turn as varchar), '-'), '|' order by weight desc, place) filter (factor is not null), '') as turns,
   case when attention_score >= 75 then 'critical' when attention_score >= 50 then 'flagged' else 'low' end as band
 from score left join factors3 using (call_id) group by 1, 2""",
     "attention_parts": "select call_id, round(p1, 6) as resolution, round(p2, 6) as mood, round(p3, 6) as shift, round(p4, 6) as escalation, round(p5, 6) as repeat, round(p6, 6) as handle_time from parts",
@@ -556,8 +558,6 @@ where (customer_id, cluster_id) in (select (customer_id, cluster_id) from groups
     "customer_list": "select customer_id, name, count(call_id) as call_count, max(started_at) as last_contact from customers left join calls using (customer_id) group by 1, 2",
     "customer_search": "select customer_id, name from customers where contains(lower(name), 'mer#00000001')",
     "customer_history": f"select {SUM}, evidence_coverage from calls left join cov using (call_id) where customer_id = 17",
-    "call_details": f"""select {SUM}, cu.name as customer_name, a.name as agent_name, mood_shift_turn_index, evidence_coverage, intent_quote, resolution_quote, mood_shift_cited,
-  case when agent_quote is not null then pushback as pushback_quote end as pushback_quote from calls""",
     "call_turns": f"select call_id, turn_index, speaker, {r6('start_seconds')}, text, cast(len(w) as int) as n_words, round(score, 6) as mood_score from turns left join (select call_id, turn_index, score from points) using (call_id, turn_index)",
     "days": "select call_date, count(*) as call_count from calls group by 1",
     "latest_day": "select max(call_date) as call_date from calls",
@@ -587,13 +587,64 @@ from comparison c order by c.resolution_gap < -0.001 desc, call_count desc, clus
     "claim_coverage": """select count(*) as analysed, count(intent_label) as intents, count(resolution_status) as resolutions, count(mood_shift_turn_index) as shifts,
   (select count(distinct call_id) from ev where claim_type = 'intent' and verified) as verified_intents from done""",
     "word_error_rates": f"""select doc_id as call_id, cast(n as int) as reference_words, cast(n - k as int) as edits, round((n - k) / nullif(n, 0), 6) as wer
-from (select doc_id, len({words('text')}) as n, len(list_filter({words('upper(text)')}, lambda x: length(x) > 3)) as k from documents)""",
+from (select doc_id, len({words('text')}) as n, len(list_filter({words('text')}, lambda x: length(x) > 3)) as k from documents)""",
     "word_error_summary": f"""select count(*) as calls, round(avg((n - k) / nullif(n, 0)), 6) as mean_wer, round(sum(n - k) / sum(n), 6) as corpus_wer
 from (select call_id, sum(len(w)) as n, sum(len(list_filter(w, lambda x: length(x) > 3))) as k from turns group by 1)""",
     "batch_outcome": "select case when ok then 'ok' else 'failed' end as outcome, count(*) as calls from payloads group by 1",
-    "text_vectors": """select doc_id, 256 as dims, case when n then 1.0::double else 0.0 end as norm from (select doc_id, true as n from documents)""",
 }
-del FINAL["text_vectors"]
+
+# Citations of factors
+BLOCKS["fparts"] = """
+select j.call_id, resolution_status, resolution_turn_index, worst_mood, worst_mood_turn_index, escalation_count, escalation_turn_index, escalation_phrase,
+  0.3::double * case resolution_status when 'unresolved' then 1 when 'partial' then 0.5 else 0 end as p1,
+  case when worst_mood <= -0.2 then 0.2::double * least(abs(worst_mood), 1) else 0 end as p2,
+  case when escalation_count > 0 then 0.2::double * least(escalation_count / 2, 1) else 0 end as p4
+from judged j left join worst using (call_id) left join hitsum using (call_id)"""
+BLOCKS["ffactors"] = f"""
+select call_id, 1 as k, 'issue ' || resolution_status as factor, round_even(p1, 3)::double as weight, resolution_turn_index as turn_index, 'resolution status: ' || resolution_status as detail from fparts where p1 > 0
+union all select call_id, 2, {q(fixed.FACTOR_MOOD)}, round_even(p2, 3)::double, worst_mood_turn_index, printf('worst mood score %.2f', worst_mood) from fparts where p2 > 0
+union all select call_id, 3, 'escalation language: "' || escalation_phrase || '"', round_even(p4, 3)::double, escalation_turn_index, printf('%d escalation phrase(s)', escalation_count) from fparts where p4 > 0"""
+BLOCKS["fplaced"] = "select *, row_number() over (partition by call_id order by weight desc, k) - 1 as place from ffactors"
+BLOCKS["fmissing"] = """
+select call_id, 'attention_factor' as claim_type, factor as claim_text, turn_index, 5 as ord from (
+  select * from fplaced where turn_index is not null and (call_id, turn_index) not in (select (call_id, turn_index) from claims))
+qualify row_number() over (partition by call_id, turn_index order by place) = 1"""
+BLOCKS["fcited"] = "select c.*, text, start_seconds from fmissing c join turns using (call_id, turn_index)"
+BLOCKS.update(_quotes("f", "fcited"))
+BLOCKS["fevidence"] = """
+select call_id, turn_index, ord, claim_text, timestamp, quote, verified from e_rows
+union all select call_id, turn_index, ord, claim_text, timestamp, quote, match_score = 100 from f_rows"""
+BLOCKS["ffirst"] = "select * from fevidence qualify row_number() over (partition by call_id, turn_index order by ord, claim_text) = 1"
+BLOCKS["fscore"] = "select call_id, cast(round_even(least(p1 + p2 + p4, 1) * 100, 0) as int) as attention_score from fparts"
+FINAL["factors_cited"] = """select call_id, attention_score, cast(place as int) as place, factor, round(weight, 6) as weight, f.turn_index, detail, quote, timestamp, verified
+from fplaced f join fscore using (call_id) left join (select call_id as ec, turn_index as et, quote, timestamp, verified from ffirst) on ec = f.call_id and et = f.turn_index"""
+
+# Rechecks
+BLOCKS["stored"] = f"""
+select call_id, turn_index, text, case when call_id % 10 = 9 then turn_index + 100 else turn_index end as cited, turn_index % 2 = 0 as stored,
+  case when turn_index % 3 = 0 then 'mood_shift' else 'intent' end as claim_type,
+  case turn_index % 4 when 2 then 'quite other words were said here ' || {first_words('text', 2)} when 3 then {first_words('text', 3)} else {first_words('lower(text)', 12)} end as quote from turns"""
+BLOCKS["recheck"] = f"""
+select call_id, claim_type, cited as turn_index, quote, stored, call_id % 10 = 9 as orphaned,
+  len({words(normal('quote'))}) >= 5 and contains({normal('text')}, {normal('quote')}) as ok,
+  case when len({words(normal('quote'))}) < 5 then {q(fixed.REASON_SHORT)} when not contains({normal('text')}, {normal('quote')}) then {q(fixed.REASON_ABSENT)} else '' end as why from stored"""
+FINAL["citation_recheck"] = "select call_id, claim_type, turn_index, quote, stored, orphaned, case when not orphaned then ok end as verified, case when not orphaned then why end as reason from recheck"
+FINAL["citation_pass_rates"] = """select claim_type, count(*) as total, count(*) filter (ok) as passed, round(count(*) filter (ok) / count(*), 6) as pass_rate from recheck where not orphaned group by rollup (claim_type)"""
+FINAL["citation_rejections"] = "select why as reason, count(*) as n from recheck where not orphaned and not ok group by 1"
+FINAL["citation_first_failures"] = "select call_id, claim_type, turn_index, why as reason from recheck where not orphaned and not ok order by call_id, claim_type, turn_index limit 5"
+FINAL["stored_against_recomputed"] = "select count(*) filter (stored) as stored_verified, count(*) filter (not orphaned and ok) as recomputed_verified, count(*) filter (orphaned) as orphaned from recheck"
+BLOCKS["jcited"] = """
+select * from cited0
+union all select call_id, 'intent', intent_label, resolution_turn_index, 7, text, start_seconds from judged j join turns t using (call_id) where t.turn_index = j.resolution_turn_index"""
+BLOCKS.update(_quotes("j", "jcited"))
+BLOCKS["jrates"] = f"""
+select 'first' as judge, (select count(*) from judged) as calls, (select count(*) filter (verified) from j_rows where ord = 0) as i,
+  (select avg(len({words('summary')})) from judged) as summary_words, 0 as errors
+union all select 'second', (select count(*) from judged), (select count(*) filter (verified) from j_rows where ord = 7), 2, (select count(*) filter (call_id % 7 = 0) from judged)"""
+BLOCKS["jrated"] = """
+select judge, calls, i / calls as intent_rate, (select count(*) filter (verified) from j_rows where ord = 1) / calls as resolution_rate, summary_words, errors from jrates"""
+FINAL["judge_comparison"] = """select judge, calls, round(intent_rate, 6) as intent_rate, round(resolution_rate, 6) as resolution_rate, round(summary_words, 6) as summary_words, errors,
+  round((intent_rate + resolution_rate) / 2, 6) as overall, round(max((intent_rate + resolution_rate) / 2) over () - (intent_rate + resolution_rate) / 2, 6) as behind_best from jrated"""
 
 _first = lambda kind, column: f"(min_by({column}, (turn_index, ord, timestamp, quote, verified)) filter (claim_type = '{kind}'))"
 FINAL["call_details"] = f"""select {SUM}, cu.name as customer_name, a.name as agent_name, mood_shift_turn_index, evidence_coverage, intent_quote, resolution_quote, mood_shift_cited,

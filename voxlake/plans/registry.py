@@ -319,6 +319,11 @@ def mood_timeline(spark, sf):
 # Change points
 
 
+def _nudged(df: DataFrame) -> DataFrame:
+    """Means of two-decimal values often end exactly halfway; move them off the edge before rounding."""
+    return rounded(df.withColumns({c: F.col(c) + 1e-9 for c in ("before_mean", "after_mean", "delta")}))
+
+
 @query
 def series_smoothed(spark, sf):
     s = changepoint.smooth(changepoint.positions(fx.series(spark, sf), 32), 32)
@@ -338,17 +343,17 @@ def series_breaks(spark, sf):
 
 @query
 def mood_shifts(spark, sf):
-    return rounded(changepoint.mood_shifts(fx.series(spark, sf)))
+    return _nudged(changepoint.mood_shifts(fx.series(spark, sf)))
 
 
 @query
 def single_split_shifts(spark, sf):
-    return rounded(changepoint.single_split(fx.series(spark, sf)))
+    return _nudged(changepoint.single_split(fx.series(spark, sf)))
 
 
 @query
 def reportable_shifts(spark, sf):
-    return rounded(changepoint.reportable_shifts(fx.series(spark, sf)))
+    return _nudged(changepoint.reportable_shifts(fx.series(spark, sf)))
 
 
 # Judgments
@@ -891,8 +896,14 @@ def top_agents(spark, sf):
 
 
 def _stored_evidence(spark, sf):
-    """Citations of all turns with altered quotes, some of a turn that does not exist."""
-    a = _altered(spark, sf)
+    """Citations of all turns, verbatim, invented or too short, some of a turn that does not exist."""
+    i = F.col("turn_index")
+    quote = (
+        F.when(i % 4 == 2, F.concat(F.lit("quite other words were said here "), tx.first_words(F.col("text"), 2)))
+        .when(i % 4 == 3, tx.first_words(F.col("text"), 3))
+        .otherwise(tx.first_words(F.lower("text"), 12))
+    )
+    a = fx.turns(spark, sf).select("call_id", "turn_index", "text", quote.alias("quote"))
     kind = F.when(F.col("turn_index") % 3 == 0, "mood_shift").otherwise("intent")
     return a.select(
         "call_id", kind.alias("claim_type"), F.col("quote").alias("claim_text"),
@@ -938,7 +949,7 @@ def claim_coverage(spark, sf):
 def word_error_rates(spark, sf):
     """Documents against themselves without their short words; every loss is one deletion."""
     d = fx.table(spark, sf, "documents")
-    heard = F.array_join(F.filter(tx.words(F.upper("text")), lambda w: F.length(w) > 3), " ")
+    heard = F.array_join(F.filter(tx.words(F.col("text")), lambda w: F.length(w) > 3), " ")
     return rounded(
         quality.word_error_rates(
             d.select(F.col("doc_id").alias("call_id"), heard.alias("hypothesis")),
