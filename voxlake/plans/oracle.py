@@ -400,7 +400,7 @@ select cluster_id, string_agg(term, ' / ' order by r) as label from (
   select cluster_id, term, r from (select *, row_number() over (partition by cluster_id order by n desc, term) as r from tscore
     where cluster_id not in (select cluster_id from tscore where shared)) where r <= 3) group by 1"""
 
-# Payloads and rechecks
+# Payloads
 BLOCKS["payloads"] = f"""
 select doc_id as call_id, doc_id % 6 + 1 as n_turns, {first_words('text', 3)} as label, doc_id % 12 - 2 as iturn, doc_id % 7 as rturn,
   case doc_id % 4 when 0 then 'resolved' when 1 then 'partial' else 'unresolved' end as status, text, doc_id % 5 <> 4 as ok from documents"""
@@ -408,11 +408,6 @@ CLAMP = (
     f"case when len({words('text')}) <= 40 then {strip('text')} else "
     f"regexp_replace(array_to_string(list_slice({words('text')}, 1, 40), ' '), '[,;:]+$', '') || '…' end"
 )
-BLOCKS["altered"] = f"""
-select call_id, turn_index, text, case turn_index % 4 when 0 then {first_words('upper(text)', 12)}
-  when 1 then coalesce(array_to_string(list_transform(list_filter(range(least(12, len(w))), lambda k: k % 5 <> 3), lambda k: w[k + 1]), ' '), '')
-  when 2 then 'quite other words were said here ' || {first_words('text', 2)} else {first_words('text', 3)} end as quote from turns"""
-
 
 def sql(final: str) -> str:
     """The blocks a select uses, each after those it uses itself, then the select."""
