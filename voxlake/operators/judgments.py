@@ -48,7 +48,7 @@ def _turn_id(raw: Column, n_turns: Column) -> Column:
         .when(raw.rlike(r"^\s*[+-]?\d+\.\d*\s*$"), F.trim(raw).try_cast("double").try_cast("bigint").cast("decimal(38,0)"))
     )
     clamped = F.greatest(F.lit(0), F.least(number, n_turns - 1))
-    return F.coalesce(clamped, F.lit(0)).cast("int")
+    return F.when(number.isNull(), 0).otherwise(clamped).cast("int")
 
 
 def clamp_summary(summary: Column, limit: int = fixed.MAX_SUMMARY_WORDS) -> Column:

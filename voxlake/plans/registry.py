@@ -976,7 +976,8 @@ def judge_comparison(spark, sf):
     second = j.withColumn("judge", F.lit("second")).withColumn("intent_turn_index", F.col("resolution_turn_index")).withColumn(
         "summary", F.lit("short one")
     )
-    errors = j.where(F.col("call_id") % 7 == 0).select("call_id", F.lit("second").alias("judge"))
+    by = F.when(F.col("call_id") % 7 == 0, "second").otherwise("first")
+    errors = j.where(F.col("call_id") % 7 == 0).select("call_id", by.alias("judge"))
     return rounded(quality.judge_comparison(first.unionByName(second), errors, fx.turns(spark, sf)))
 
 

@@ -148,7 +148,7 @@ def channel_quality(calls: DataFrame, segments: DataFrame) -> DataFrame:
 
 def read_reference_texts(spark: SparkSession, path: str) -> DataFrame:
     """`{call_id}.txt` files, each as one row."""
-    raw = spark.read.option("pathGlobFilter", "*.txt").option("wholetext", True).text(path)
+    raw = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return raw.select(
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("call_id"), F.col("value").alias("reference")
     )
