@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions.similarity import unit
-from voxlake.session import checkpoint_ready
+from voxlake.session import checkpoint_ready, settle
 
 MAX_PIVOTS = 1024
 
@@ -22,21 +24,26 @@ def _choose_pivots(vectors: DataFrame, rows_per_cell: int) -> np.ndarray:
 
 
 def _cells(pivots: np.ndarray, radius: float):
-    """Column function: the cell of a vector, then every lower cell whose border is within `radius`."""
+    """Batch function: each vector in the cell of its nearest pivot, and in every lower cell whose border is in reach."""
     square = (pivots**2).sum(axis=1)
     apart = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * pivots @ pivots.T, 0.0))
+    order = np.arange(len(pivots))
 
-    @F.pandas_udf("array<int>")
-    def cells(batch: pd.Series) -> pd.Series:
-        x = np.stack(batch.to_numpy()).astype(float)
-        to = (x**2).sum(axis=1)[:, None] + square[None, :] - 2 * x @ pivots.T
-        home = to.argmin(axis=1)
-        lead = to - to[np.arange(len(x)), home][:, None]
-        near = lead <= 2 * radius * apart[home] + 1e-9
-        near &= np.arange(len(pivots))[None, :] < home[:, None]
-        return pd.Series([[int(h), *np.flatnonzero(row).tolist()] for h, row in zip(home, near)])
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch["vector"].to_numpy())
+            to = (x**2).sum(axis=1)[:, None] + square[None, :] - 2 * x @ pivots.T
+            home = to.argmin(axis=1)
+            lead = to - to[np.arange(len(x)), home][:, None]
+            near = (lead <= 2 * radius * apart[home] + 1e-9) & (order[None, :] < home[:, None])
+            near[np.arange(len(x)), home] = True
+            row, cell = np.nonzero(near)
+            out = batch.iloc[row].reset_index(drop=True)
+            yield out.assign(cell=cell.astype("int32"), home=cell == home[row])
 
-    return cells
+    return place
 
 
 def _block_pairs(vectors: DataFrame, min_cosine: float, block_rows: int) -> DataFrame:
@@ -48,10 +55,10 @@ def _block_pairs(vectors: DataFrame, min_cosine: float, block_rows: int) -> Data
     """
     radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
     pivots = _choose_pivots(vectors, block_rows)
-    cells = _cells(pivots, radius)
-    placed = vectors.withColumn("_cells", cells("vector")).select(
-        "id", "vector", F.posexplode("_cells").alias("_slot", "cell")
-    ).withColumn("home", F.col("_slot") == 0)
+    kind = vectors.schema["id"].dataType.simpleString()
+    placed = settle(  # used for the cell sizes and for the tiles
+        vectors.mapInPandas(_cells(pivots, radius), f"id {kind}, vector array<double>, cell int, home boolean")
+    )
     # One row per cell: at most 1,024.
     sizes = placed.groupBy("cell").agg(
         F.greatest(F.lit(1), F.ceil(F.count_if(F.col("home")) / block_rows)).cast("int").alias("n_home"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,8 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     return df.select(*kept, packed.alias("_once")).select(*kept, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, inside one expression."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -7,7 +7,6 @@ already decided the row.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 
 from voxlake import fixed
 from voxlake.functions import text as tx
-from voxlake.functions.once import computed_once
+from voxlake.functions.once import computed_once, let
 
 
 def _common(a: str, b: str) -> int:
@@ -73,16 +72,27 @@ def best_span(needle: pd.Series, text: pd.Series) -> pd.DataFrame:
 
 
 def _edits(reference, hypothesis) -> int:
-    codes: dict[str, int] = {}
-    ref = [codes.setdefault(t, len(codes)) for t in reference]
-    hyp = np.array([codes.setdefault(t, len(codes)) for t in hypothesis], dtype=np.int64)
-    steps = np.arange(len(hyp) + 1)
-    row = steps.copy()
-    for token in ref:
-        keep = row[:-1] + (hyp != token)
-        nxt = np.concatenate(([row[0] + 1], np.minimum(row[1:] + 1, keep)))
-        row = np.minimum.accumulate(nxt - steps) + steps
-    return int(row[-1])
+    """Edit distance between two token lists, one machine-integer column per token (Myers 1999, Hyyro 2003)."""
+    m = len(reference)
+    if m == 0:
+        return len(hypothesis)
+    seats: dict[str, int] = {}
+    for i, token in enumerate(reference):
+        seats[token] = seats.get(token, 0) | (1 << i)
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, distance = full, 0, m
+    for token in hypothesis:
+        same = seats.get(token, 0)
+        vertical = same | down
+        horizontal = (((same & up) + up) ^ up) | same
+        plus = down | (full & ~(horizontal | up))
+        minus = up & horizontal
+        distance += bool(plus & last) - bool(minus & last)
+        plus = ((plus << 1) | 1) & full
+        minus = (minus << 1) & full
+        up = minus | (full & ~(vertical | plus))
+        down = plus & vertical
+    return distance
 
 
 @F.pandas_udf(T.IntegerType())
@@ -159,8 +169,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
-    return F.when((na == 0) | (nb == 0), 0.0).otherwise(dot(a, b) / (na * nb))
+    def ratio(norms: Column) -> Column:
+        return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
+
+    return let(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), ratio)
 
 
 def vector_support(a: Column, b: Column) -> Column:
@@ -171,5 +183,5 @@ def vector_support(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """Vector of length one; a zero vector stays zero."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    scale = lambda norm: F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    return let(F.sqrt(dot(vector, vector)), scale)

@@ -85,9 +85,11 @@ def breaks(smoothed: DataFrame, min_points: int = fixed.MIN_SERIES) -> DataFrame
     """`(call_id, break_pos)`: the optimal breaks of each series of at least `min_points` points.
 
     The recurrence is sequential, so a series stays in one task, but it is streamed: rows arrive sorted in Arrow
-    batches shared by many short calls, and only two numbers per point of the current series are held.
+    batches shared by many short calls, and only a few numbers per point of the current series are held.
     """
-    schema = smoothed.schema["call_id"].dataType.simpleString()
+    kind = smoothed.schema["call_id"].dataType.simpleString()
+    # A fixed number keeps this processor-bound stage from being merged into few tasks because its rows are small.
+    tasks = int(smoothed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     priced = smoothed.join(penalties(smoothed), "call_id").where(F.col("n") >= min_points)
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,10 +123,10 @@ def breaks(smoothed: DataFrame, min_points: int = fixed.MIN_SERIES) -> DataFrame
 
     return (
         priced.select("call_id", "pos", "smoothed", "penalty")
-        .repartition("call_id")
+        .repartition(tasks, "call_id")
         .sortWithinPartitions("call_id", "pos")
         .drop("pos")
-        .mapInPandas(segment, f"call_id {schema}, break_pos bigint")
+        .mapInPandas(segment, f"call_id {kind}, break_pos bigint")
     )
 
 

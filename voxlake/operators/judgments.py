@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlake import fixed
 from voxlake.functions import text as tx
-from voxlake.functions.once import computed_once
+from voxlake.functions.once import computed_once, let
 from voxlake.operators.turns import transcripts
 
 PAYLOAD = (
@@ -52,9 +52,11 @@ def _turn_id(raw: Column, n_turns: Column) -> Column:
 
 
 def clamp_summary(summary: Column, limit: int = fixed.MAX_SUMMARY_WORDS) -> Column:
-    ws = tx.words(summary)
-    cut = F.concat(F.regexp_replace(F.array_join(F.slice(ws, 1, limit), " "), "[,;:]+$", ""), F.lit("…"))
-    return F.when(F.size(ws) <= limit, tx.strip(summary)).otherwise(cut)
+    def cut(ws: Column) -> Column:
+        head = F.regexp_replace(F.array_join(F.slice(ws, 1, limit), " "), "[,;:]+$", "")
+        return F.when(F.size(ws) <= limit, tx.strip(summary)).otherwise(F.concat(head, F.lit("…")))
+
+    return let(tx.words(summary), cut)
 
 
 def coerce(parsed: DataFrame, turn_counts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxlake.functions import text as tx
 from voxlake.functions.once import computed_once
 from voxlake.functions.scan import index_block, running_totals
+from voxlake.session import spread
 
 # Stand-in parameters: frequent word pieces of the invented languages.
 PHRASES = ("of the", "und der", "que la", "tion")
@@ -28,6 +29,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -186,7 +191,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def cluster_texts(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as cluster members; every ninth group is noise."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("id"),
         "text",
         F.when(F.col("doc_id") % 9 != 8, F.col("doc_id") % 9).alias("cluster_id"),

@@ -361,7 +361,7 @@ def reportable_shifts(spark, sf):
 
 def _raw_payloads(spark, sf):
     """Documents wrapped into model-like output: clean, fenced, with a stray brace, or without any object."""
-    d = fx.table(spark, sf, "documents")
+    d = fx.documents(spark, sf)
     obj = F.to_json(
         F.struct(
             F.struct(tx.first_words(F.col("text"), 3).alias("label"), (F.col("doc_id") % 12 - 2).cast("string").alias("turn_id")).alias("intent"),
@@ -399,7 +399,7 @@ def judgment_errors(spark, sf):
 
 @query
 def summaries_clamped(spark, sf):
-    d = fx.table(spark, sf, "documents")
+    d = fx.documents(spark, sf)
     return d.select("doc_id", judgments.clamp_summary(F.col("text")).alias("summary"))
 
 
@@ -424,7 +424,7 @@ def cited_turns(spark, sf):
 
 @query
 def normalised_texts(spark, sf):
-    d = fx.table(spark, sf, "documents")
+    d = fx.documents(spark, sf)
     return d.select("doc_id", tx.normalise(F.col("text")).alias("normalised"))
 
 
@@ -696,14 +696,14 @@ def issue_texts(spark, sf):
 
 @query
 def text_vectors(spark, sf):
-    d = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("call_id"), "text")
+    d = fx.documents(spark, sf).select(F.col("doc_id").alias("call_id"), "text")
     v = issues.text_vectors(d)
     return v.select(F.col("id").alias("doc_id"), F.size("vector").alias("dims"), r6(sim.dot(F.col("vector"), F.col("vector")), "norm"))
 
 
 @query
 def min_cluster_sizes(spark, sf):
-    d = fx.table(spark, sf, "documents").select("doc_id")
+    d = fx.documents(spark, sf).select("doc_id")
     return d.agg(F.count("*").alias("n")).withColumn("min_size", issues.min_cluster_size(d))
 
 
@@ -948,7 +948,7 @@ def claim_coverage(spark, sf):
 @query
 def word_error_rates(spark, sf):
     """Documents against themselves without their short words; every loss is one deletion."""
-    d = fx.table(spark, sf, "documents")
+    d = fx.documents(spark, sf)
     heard = F.array_join(F.filter(tx.words(F.col("text")), lambda w: F.length(w) > 3), " ")
     return rounded(
         quality.word_error_rates(

@@ -40,3 +40,9 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a reliable checkpoint, so that lost executors cost a re-read only."""
     checkpoint_ready(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few large input files over all cores before expensive per-row work; leaves well split input alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
