@@ -19,19 +19,26 @@ PAYLOAD = (
 
 def first_json_object(text: Column) -> Column:
     """The first suffix of `text` that opens a well-formed, non-empty JSON object; null when there is none."""
-    chunks = F.split(text, r"\{")
+    # An object that is not empty opens with a brace and a quote, so most other braces are passed over unread.
+    pieces = let(
+        F.split(text, r"\{"),
+        lambda c: F.zip_with(
+            F.slice(c, 1, F.size(c) - 1),
+            F.slice(c, 2, F.size(c)),
+            lambda before, after: F.struct(F.length(before).alias("skip"), after.rlike(r'^\s*"').alias("opens")),
+        ),
+    )
 
-    def step(acc: Column, chunk: Column) -> Column:
-        at = acc["at"] + F.length(chunk)
+    def step(acc: Column, piece: Column) -> Column:
+        at = acc["at"] + piece["skip"]
         suffix = F.substring(text, at, F.length(text))
-        found = F.when(acc["found"].isNotNull(), acc["found"]).when(
+        found = F.when(acc["found"].isNotNull() | ~piece["opens"], acc["found"]).when(
             F.size(F.json_object_keys(suffix)) > 0, suffix
         )
         return F.struct((at + 1).alias("at"), found.alias("found"))
 
     start = F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("found"))
-    leading = F.slice(chunks, 1, F.size(chunks) - 1)
-    return F.aggregate(leading, start, step)["found"]
+    return F.aggregate(pieces, start, step)["found"]
 
 
 def parse_payloads(raw: DataFrame, column: str = "payload") -> DataFrame:

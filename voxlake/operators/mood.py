@@ -158,8 +158,9 @@ def fused_score(text_score: Column, prosody_score: Column) -> Column:
 def mood_points(turns: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The mood series: one scored point per customer turn, with the flags later stages filter on."""
     customer = turns.where(F.col("speaker") == "customer")
-    measured = prosody(text_valence(customer, lexicon))
-    joined = measured.join(median_rates(measured), "call_id", "left")
+    # The medians come from their own narrow branch, so sentiment is computed once.
+    medians = median_rates(prosody(customer).select("call_id", "speaker", "words_per_second", "measurable"))
+    joined = prosody(text_valence(customer, lexicon)).join(medians, "call_id", "left")
     text_score = F.when((F.col("valence") < 0) & F.col("mere_decline"), 0.0).otherwise(F.col("valence"))
     delivery = prosody_valence(
         F.col("words_per_second"), F.coalesce("median_rate", F.lit(0.0)), F.col("pause_share"), F.col("measurable")

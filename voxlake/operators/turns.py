@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,8 +159,16 @@ def merge_into_turns(
     )
 
 
-def build_turns(segments: DataFrame, gap: float = fixed.TURN_GAP, block_seconds: float = BLOCK_SECONDS) -> DataFrame:
-    return merge_into_turns(split_on_pauses(segments, gap), gap, block_seconds)
+def build_turns(
+    segments: DataFrame,
+    gap: float = fixed.TURN_GAP,
+    block_seconds: float = BLOCK_SECONDS,
+    stage: Callable[[str, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Segments to turns. Merging reads its pieces several times, each time a few columns: pass `stage` (for example
+    `sources.tables.table_stage`) to write them once to a columnar table first."""
+    pieces = split_on_pauses(segments, gap)
+    return merge_into_turns(stage("pieces", pieces) if stage else pieces, gap, block_seconds)
 
 
 def swapped_calls(turns: DataFrame, pattern: str = fixed.GREETING) -> DataFrame:

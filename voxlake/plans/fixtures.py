@@ -168,8 +168,11 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 def judgments(spark: SparkSession, sf: str) -> DataFrame:
+    return judgments_of(turns(spark, sf))
+
+
+def judgments_of(spoken: DataFrame) -> DataFrame:
     """First customer turn is the intent, last turn the outcome, status by conversation id."""
-    spoken = turns(spark, sf)
     per = spoken.groupBy("call_id").agg(
         F.min(F.when(F.col("speaker") == "customer", F.struct("turn_index", "text"))).alias("_i"),
         F.max("turn_index").alias("resolution_turn_index"),

@@ -634,7 +634,7 @@ union all select call_id, 'intent', intent_label, resolution_turn_index, 7, text
 BLOCKS.update(_quotes("j", "jcited"))
 BLOCKS["jrates"] = f"""
 select 'first' as judge, (select count(*) from judged) as calls, (select count(*) filter (verified) from j_rows where ord = 0) as i,
-  (select avg(len({words('summary')})) from judged) as summary_words, 0 as errors
+  (select avg(len({words('summary')})) from judged) as summary_words, cast(0 as bigint) as errors
 union all select 'second', (select count(*) from judged), (select count(*) filter (verified) from j_rows where ord = 7), 2, (select count(*) filter (call_id % 7 = 0) from judged)"""
 BLOCKS["jrated"] = """
 select judge, calls, i / calls as intent_rate, (select count(*) filter (verified) from j_rows where ord = 1) / calls as resolution_rate, summary_words, errors from jrates"""

@@ -202,7 +202,7 @@ def turns_split_on_pauses(spark, sf):
 
 @query
 def turns_merged(spark, sf):
-    t = turns.build_turns(fx.segments(spark, sf), block_seconds=30.0)
+    t = turns.build_turns(fx.segments(spark, sf), block_seconds=30.0, stage=lambda name, df: settle(df))
     return t.select(
         "call_id", "turn_index", "speaker", r6("start_seconds"), r6("end_seconds"), "text", F.size("words").alias("n_words"),
         "overlapping",
@@ -283,7 +283,7 @@ def median_speaking_rates(spark, sf):
 
 @query
 def mood_points(spark, sf):
-    return rounded(mood.mood_points(fx.turns(spark, sf), fx.lexicon(spark)))
+    return rounded(mood.mood_points(settle(fx.turns(spark, sf)), fx.lexicon(spark)))
 
 
 @query
@@ -307,12 +307,12 @@ def escalation_summary(spark, sf):
 
 @query
 def worst_mood(spark, sf):
-    return rounded(mood.worst_mood(mood.mood_points(fx.turns(spark, sf), fx.lexicon(spark))))
+    return rounded(mood.worst_mood(mood.mood_points(settle(fx.turns(spark, sf)), fx.lexicon(spark))))
 
 
 @query
 def mood_timeline(spark, sf):
-    t = fx.turns(spark, sf)
+    t = settle(fx.turns(spark, sf))
     return rounded(mood.mood_timeline(t, mood.mood_points(t, fx.lexicon(spark))))
 
 
@@ -483,9 +483,8 @@ def quote_length_gate(spark, sf):
     )
 
 
-def _evidence(spark, sf):
-    t = fx.turns(spark, sf)
-    j = fx.judgments(spark, sf)
+def _evidence(t):
+    j = settle(fx.judgments_of(t))
     against = contradiction.resolved_contradictions(
         t, j, agent_pattern=fx.AGENT_CLAIM, customer_pattern=fx.PUSHBACK
     )
@@ -502,7 +501,7 @@ def _flat_evidence(df):
 
 @query
 def evidence_built(spark, sf):
-    return _flat_evidence(_evidence(spark, sf))
+    return _flat_evidence(_evidence(settle(fx.turns(spark, sf))))
 
 
 @query
@@ -512,8 +511,8 @@ def claim_policy(spark, sf):
     return e.groupBy("claim_type").agg(F.count("*").alias("citations"), F.count(claim).alias("support_checked"))
 
 
-def _scored(spark, sf):
-    t, j = fx.turns(spark, sf), fx.judgments(spark, sf)
+def _scored(spark, t):
+    j = fx.judgments_of(t)
     pts = mood.mood_points(t, fx.lexicon(spark))
     hits = mood.escalation_summary(mood.escalation_hits(t, fx.PHRASES))
     return attention.attention_scores(
@@ -525,8 +524,8 @@ def _scored(spark, sf):
 
 @query
 def factors_cited(spark, sf):
-    stored = settle(_evidence(spark, sf))
-    scores, _ = evidence.cite_factors(settle(_scored(spark, sf)), stored, fx.turns(spark, sf))
+    t = settle(fx.turns(spark, sf))
+    scores, _ = evidence.cite_factors(settle(_scored(spark, t)), settle(_evidence(t)), t)
     f = scores.select("call_id", "attention_score", F.posexplode("factors").alias("place", "f"))
     return f.select(
         "call_id", "attention_score", "place", "f.factor", r6("f.weight", "weight"), "f.turn_index", "f.detail",
@@ -777,7 +776,7 @@ def call_details(spark, sf):
 
 @query
 def call_turns(spark, sf):
-    t = fx.turns(spark, sf)
+    t = settle(fx.turns(spark, sf))
     d = views.call_turns(t, mood.mood_points(t, fx.lexicon(spark)))
     return d.select("call_id", "turn_index", "speaker", r6("start_seconds"), "text", F.size("words").alias("n_words"), r6("mood_score"))
 
@@ -971,14 +970,15 @@ def word_error_summary(spark, sf):
 
 @query
 def judge_comparison(spark, sf):
-    j = fx.judgments(spark, sf)
+    t = settle(fx.turns(spark, sf))
+    j = settle(fx.judgments_of(t))
     first = j.withColumn("judge", F.lit("first"))
     second = j.withColumn("judge", F.lit("second")).withColumn("intent_turn_index", F.col("resolution_turn_index")).withColumn(
         "summary", F.lit("short one")
     )
     by = F.when(F.col("call_id") % 7 == 0, "second").otherwise("first")
     errors = j.where(F.col("call_id") % 7 == 0).select("call_id", by.alias("judge"))
-    return rounded(quality.judge_comparison(first.unionByName(second), errors, fx.turns(spark, sf)))
+    return rounded(quality.judge_comparison(first.unionByName(second), errors, t))
 
 
 @query

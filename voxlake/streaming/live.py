@@ -15,6 +15,7 @@ from voxlake.operators import judgments, mood
 from voxlake.operators.evidence import Support
 from voxlake.operators.turns import build_turns
 from voxlake.plans.analysis import analyse
+from voxlake.session import settle
 from voxlake.sources.tables import read_or_empty
 
 INCOMING = (
@@ -67,8 +68,10 @@ def ingest_batch(
     segments = calls.select("call_id", F.posexplode("segments").alias("segment_no", "_s")).select(
         "call_id", "segment_no", "_s.*"
     )
+    turns = settle(build_turns(segments))
+    earlier = stored.join(calls.select("customer_id").distinct(), "customer_id", "left_semi")
     done = analyse(
-        calls, build_turns(segments), lexicon, judge, support=support, history=stored,
+        calls, turns, lexicon, judge, support=support, history=earlier,
         corpus=stored.select("duration_seconds").unionByName(calls.select("duration_seconds")),
     )
     rows = calls.drop("segments").join(
@@ -80,7 +83,7 @@ def ingest_batch(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch_id").parquet(str(folder / name))
 
-    save(build_turns(segments), "turns")
+    save(turns, "turns")
     save(done.points, "mood_points")
     save(done.evidence, "evidence")
     save(done.attention, "attention")
