@@ -7,8 +7,8 @@ from voxlake.functions import similarity as sim
 from voxlake.functions.text import normalise
 from voxlake.operators import contradiction, evidence
 
-TURN = "Okay I want to speak to a manager right now please this is unacceptable"
-LONG = "Good morning thanks for calling. I was charged twice for the same order last Tuesday. Can you look into it please."
+TURN = "Well I would like to talk to your supervisor today because nobody called me back"
+LONG = "Hello and thanks for taking my call. My rent was debited two times in the same month. Could you check that for me."
 
 
 def lcs(a, b):
@@ -52,14 +52,14 @@ def test_word_edits_equals_the_plain_recurrence(a, b):
 @pytest.fixture(scope="module")
 def verdicts(spark):
     rows = [
-        ("verbatim", "I want to speak to a manager", TURN, None),
-        ("invented", "I am extremely happy with this excellent service today", "This is the third time I have called about the same charge", None),
+        ("verbatim", "I would like to talk to your supervisor", TURN, None),
+        ("invented", "The new app works really well and I enjoy it a lot", "My refund has not arrived and two weeks have passed already", None),
         ("tiny", "the card", TURN, None),
-        ("loud", "i want to speak to a MANAGER, right now!!", TURN, None),
-        ("unsupported", "let me pull up your account details while we wait", "Sure, let me pull up your account details while we wait a moment",
-         "the customer threatened to sue the bank over a fraudulent charge"),
-        ("supported", "I want to speak to a manager right now please", TURN, "the customer asked to speak to a manager"),
-        ("nearly", "I want to speak with a manager right now", TURN, None),
+        ("loud", "i would LIKE to talk to your supervisor, today!!", TURN, None),
+        ("unsupported", "give me a second while I open your file here", "Of course, give me a second while I open your file here and check",
+         "customers dislike blocked transfers abroad"),
+        ("supported", "I would like to talk to your supervisor today because", TURN, "the customer asked to talk to a supervisor"),
+        ("nearly", "I would like to speak to your supervisor today", TURN, None),
     ]
     df = spark.createDataFrame(rows, "id string, quote string, text string, claim string")
     return {r["id"]: r for r in evidence.verify(df).collect()}
@@ -78,14 +78,14 @@ def test_span_and_support_checks(verdicts):
 
 def test_quotes_come_from_the_turn(spark):
     df = spark.createDataFrame(
-        [(LONG, "customer disputes being charged twice for one order"), ("I lost my credit card", "lost card"), ("Hi. Ok. No.", "x"), ("", "x")],
+        [(LONG, "the customer says the rent was debited two times"), ("My card was stolen", "stolen card"), ("Hi. Ok. No.", "x"), ("", "x")],
         "text string, claim_text string",
     )
     got = evidence.select_quotes(df).withColumn("inside", F.contains(normalise(F.col("text")), normalise(F.col("quote")))).collect()
     quotes = {r["text"]: r["quote"] for r in got}
     assert all(r["inside"] for r in got)
-    assert quotes[LONG] == "I was charged twice for the same order last Tuesday."
-    assert quotes["I lost my credit card"] == "I lost my credit card" and quotes["Hi. Ok. No."] == "Hi." and quotes[""] == ""
+    assert quotes[LONG] == "My rent was debited two times in the same month."
+    assert quotes["My card was stolen"] == "My card was stolen" and quotes["Hi. Ok. No."] == "Hi." and quotes[""] == ""
 
 
 def test_vector_support_uses_the_callers_embedding(spark):
