@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 from pyspark.sql.utils import AnalysisException
 
 
@@ -29,7 +29,7 @@ def table_stage(root: str, run_id: int) -> Callable[[str, DataFrame], DataFrame]
     def stage(name: str, df: DataFrame) -> DataFrame:
         path = f"{root.rstrip('/')}/{name}"
         append_run(df, path, run_id)
-        schema = StructType(list(df.schema.fields)).add("run_id", "bigint")
+        schema = StructType(list(df.schema.fields)).add("run_id", LongType())
         return df.sparkSession.read.schema(schema).parquet(path).where(F.col("run_id") == run_id).drop("run_id")
 
     return stage
