@@ -17,11 +17,17 @@ from voxlake.functions import text as tx
 from voxlake.functions.once import computed_once, let
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine-integer row per character of `b`."""
+def _seats(text: str) -> dict[str, int]:
+    """Per character the set of its places, as bits."""
     seats: dict[str, int] = {}
-    for i, ch in enumerate(a):
+    for i, ch in enumerate(text):
         seats[ch] = seats.get(ch, 0) | (1 << i)
+    return seats
+
+
+def _common(a: str, b: str, seats: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, one machine-integer row per character of `b`."""
+    seats = _seats(a) if seats is None else seats
     full = (1 << len(a)) - 1
     row = full
     for ch in b:
@@ -42,22 +48,33 @@ def common_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _best_span(needle: str, text: str) -> tuple[float, int]:
-    """Best indel ratio (0-100) of `needle` against windows of `text`, and the length of that window."""
+    """Best indel ratio (0-100) of `needle` against windows of `text`, and the length of that window.
+
+    Windows as long as the needle, then shorter ones at both ends. A common subsequence changes by at most one when a
+    window moves by one character, so windows that cannot beat the best so far are stepped over; none is missed.
+    """
     swapped = len(needle) > len(text)
     short, long = (text, needle) if swapped else (needle, text)
     m, n = len(short), len(long)
     if m == 0:
         return 0.0, 0
-    cuts = [(0, k) for k in range(1, m)] + [(i, i + m) for i in range(n - m + 1)] + [(n - k, n) for k in range(m - 1, 0, -1)]
-    best, span = 0.0, 0
-    for lo, hi in cuts:
-        ceiling = 200.0 * min(m, hi - lo) / (m + hi - lo)
-        if ceiling <= best:
-            continue
-        score = 200.0 * _common(short, long[lo:hi]) / (m + hi - lo)
-        if score > best:
-            best, span = score, hi - lo
-    return best, (m if swapped else span)
+    seats = _seats(short)
+    top, i = -1, 0
+    while i <= n - m:
+        common = _common(short, long[i : i + m], seats)
+        top = max(top, common)
+        i += top - common + 1
+    best, span = 100.0 * top / m, m
+    for end in (False, True):
+        k = m - 1
+        while k > 0 and 200.0 * k / (m + k) > best:
+            common = _common(short, long[n - k :] if end else long[:k], seats)
+            score = 200.0 * common / (m + k)
+            if score > best:
+                best, span = score, k
+            # A shorter window holds at most this many common characters.
+            k = min(k - 1, int(200.0 * common / best - m)) if best > 0 else k - 1
+    return best, m if swapped else span
 
 
 @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("span", T.IntegerType())]))

@@ -28,12 +28,16 @@ def local_session(cores: int | str = 8, app: str = "voxlake", **conf: str) -> Sp
 def checkpoint_ready(spark: SparkSession) -> None:
     """Make `DataFrame.checkpoint()` usable.
 
-    A cluster names a shared folder in `spark.checkpoint.dir`; only when that is unset (local tests) a
-    temporary folder is used.
+    A cluster names a shared folder in `spark.checkpoint.dir`. Where that is unset, a local session (tests) uses a
+    temporary folder and a cluster session is refused, because other machines could not read it.
     """
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", "")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def settle(df: DataFrame) -> DataFrame:
