@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,12 @@ from pyspark.sql import functions as F
 
 from voxlake.llm import sql
 from voxlake.llm.decontaminate import contamination
+from voxlake.llm.fingerprints import fingerprints
+from voxlake.llm.language import fit, fold, identify
 from voxlake.llm.packing import packed
 from voxlake.llm.shards import shuffled_shards
+from voxlake.llm.warc import read_archives, write_archives
+from voxlake.session import checkpoint_ready
 
 SHARDS = 24
 
@@ -53,6 +58,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, edited and not, and how near they are."""
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all documents, with a checksum of their ids."""
     return packed(_table(spark, sf_dir, "documents"), word_tokenizer()).select(
@@ -66,9 +76,35 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three of four folds."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id")) == 2
+    found = identify(docs.select("doc_id", "text"), fit(docs.where(~held_out)), keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through archives in the shared folder, as read back from them."""
+    pages = _table(spark, sf_dir, "pages")
+    checkpoint_ready(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}"
+    kind = pages.schema["page_id"].dataType
+    return read_archives(write_archives(pages, folder)).select(
+        F.col("page_id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
+    "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
+    "op9_warc": op9_warc,
 }
 SQL: dict[str, str] = sql.SQL

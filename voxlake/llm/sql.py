@@ -20,4 +20,18 @@ select d.doc_id, coalesce(len(w), 0) as n_words, coalesce(c.n, 0) as n_hit, coal
   sha256(coalesce(i.s, '')) as items_sha256, c.n is not null as contaminated
 from d left join covered c using (doc_id) left join items i using (doc_id)"""
 
-SQL = {"op1_decontamination": OP1}
+OP9 = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload, sha1(encode(coalesce(html, ''))) as hex from pages),
+k as (select hex, min(page_id) as head from p group by hex),
+bits as (
+  select page_id, hex, octet_length(payload) as n,
+    array_to_string(list_transform(range(40), lambda i: lpad(bin(instr('0123456789abcdef', substr(hex, i + 1, 1)) - 1), 4, '0')), '') as b
+  from p)
+select page_id, n as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast(list_sum(list_transform(range(5), lambda j: cast(substr(b, 5 * i + j + 1, 1) as int) * cast(pow(2, 4 - j) as int))) as int) + 1, 1)), '') as payload_digest,
+  if(page_id = head, 'response', 'revisit') as record_type, if(page_id = head, null, head) as refers_to
+from bits join k using (hex)"""
+
+SQL = {"op1_decontamination": OP1, "op9_warc": OP9}
