@@ -12,6 +12,7 @@ from voxlake.llm import sql
 from voxlake.llm.decontaminate import contamination
 from voxlake.llm.fingerprints import fingerprints
 from voxlake.llm.language import fit, fold, identify
+from voxlake.llm.near_dedup import near_duplicates
 from voxlake.llm.packing import packed
 from voxlake.llm.shards import shuffled_shards
 from voxlake.llm.warc import read_archives, write_archives
@@ -43,6 +44,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of two-word shingles."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards, with a checksum of the text that arrived there."""
     placed = shuffled_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", SHARDS)
@@ -101,6 +107,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,

@@ -20,6 +20,29 @@ select d.doc_id, coalesce(len(w), 0) as n_words, coalesce(c.n, 0) as n_hit, coal
   sha256(coalesce(i.s, '')) as items_sha256, c.n is not null as contaminated
 from d left join covered c using (doc_id) left join items i using (doc_id)"""
 
+def near_dedup(docs: str, words: int) -> str:
+    """Components of documents whose sets of shingles are at least 80 % alike, of a relation with doc_id and text."""
+    pattern = r"[^\x20\x09-\x0D]+"
+    return f"""
+with recursive w as (select doc_id, regexp_extract_all({_ASCII_LOWER.format("text")}, '{pattern}') as w from {docs}),
+s as (
+  select doc_id, list_distinct(list_transform(range(1, greatest(len(w) - {words - 1}, least(len(w), 1)) + 1), lambda i: array_to_string(w[i : i + {words - 1}], ' '))) as s
+  from w),
+n as (select doc_id, coalesce(len(s), 0) as n from s),
+t as (select doc_id, n, unnest(s) as t from s join n using (doc_id)),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb
+  from t a join t b on a.t = b.t and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by 1, 2),
+links as (select a, b from common where 100 * c >= 80 * (na + nb - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, low) as (
+  select doc_id, doc_id from n
+  union select r.doc_id, e.b from reach r join both_ways e on r.low = e.a),
+least_id as (select doc_id, min(low) as component_id from reach group by doc_id)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from n join least_id using (doc_id)"""
+
+
 OP9 = """
 with p as (
   select page_id, encode(coalesce(html, '')) as payload, sha1(encode(coalesce(html, ''))) as hex from pages),
@@ -34,4 +57,4 @@ select page_id, n as payload_bytes,
   if(page_id = head, 'response', 'revisit') as record_type, if(page_id = head, null, head) as refers_to
 from bits join k using (hex)"""
 
-SQL = {"op1_decontamination": OP1, "op9_warc": OP9}
+SQL = {"op1_decontamination": OP1, "op2_near_dedup": near_dedup("documents", 2), "op9_warc": OP9}
