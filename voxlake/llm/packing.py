@@ -10,12 +10,11 @@ window with padding at most.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +22,10 @@ from pyspark.sql import functions as F
 from voxlake.llm.batches import pieces
 
 #: Pieces of text whose ids a worker remembers, in each of two generations.
-CACHE = 300_000
-#: Letters of Latin-1 followed by marks of ASCII: the letters, in lower case, and the marks are separate words of the tokenizer.
-_SIMPLE = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#$%&()*+,./:;<=>?@\\^_`{|}~\[\]\"-]*)")
+CACHE = 600_000
+#: A line of letters of Latin-1 and then marks of ASCII: the tokenizer makes one word of the letters, in lower case, and one of
+#: the marks. Any other line is the third group.
+_LINE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#$%&()*+,./:;<=>?@\\^_`{|}~\[\]\"-]*)|(.*))$", re.MULTILINE)
 _tokenizers: dict[str, "CachedTokenizer"] = {}
 
 
@@ -35,15 +35,11 @@ class _Generations:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
-    def missing(self, keys) -> list:
-        out = []
-        for k in keys:
-            if k not in self.young:
-                if (v := self.old.get(k)) is None:
-                    out.append(k)
-                else:
-                    self.young[k] = v
-        return out
+    def missing(self, keys: set) -> list:
+        lacking = keys.difference(self.young)
+        kept = {k: self.old[k] for k in lacking if k in self.old}
+        self.young.update(kept)
+        return list(lacking.difference(kept)) if kept else list(lacking)
 
     def turn(self) -> None:
         if len(self.young) > self.size:
@@ -75,24 +71,18 @@ class CachedTokenizer:
         return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
     def _learn(self, chunks: list[str]) -> None:
-        simple, other, words = [], [], set()
-        for x in chunks:
-            m = _SIMPLE.fullmatch(x)
-            if m is None:
-                other.append(x)
-            else:
-                parts = m[1].lower(), m[2]
-                simple.append((x, *parts))
-                words.update(parts)
+        parts = _LINE.findall("\n".join(chunks)) if chunks else []
+        lower = [letters.lower() for letters, _, _ in parts]
+        words = {marks for _, marks, _ in parts}.union(lower)
         words.discard("")
         new = self.words.missing(words)
-        self.words.young.update(zip(new, self._ask(new)))
         known = self.words.young
+        known.update(zip(new, self._ask(new)))
         known[""] = b""
-        for x, letters, marks in simple:
-            self.chunks.young[x] = known[letters] + known[marks]
-        for x in other:
-            self.chunks.young[x] = np.array(self.library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.chunks.young.update(zip(chunks, [known[a] + known[p[1]] for a, p in zip(lower, parts)]))
+        for x, p in zip(chunks, parts):
+            if p[2]:
+                self.chunks.young[x] = np.array(self.library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self.words.turn()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -198,7 +188,7 @@ def packed(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
             return out
 
         id_kind = None
-        for batch, texts in pieces(batches, "text", 1 << 20):
+        for batch, texts in pieces(batches, "text", 4 << 20):
             id_kind = batch.column(0).type
             out = []
             for key, ids in zip(batch.column(0).to_pylist(), encode([x.decode() for x in texts])):
