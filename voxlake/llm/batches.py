@@ -77,4 +77,4 @@ class RollingHash:
         n = len(self.sums) - 1 - length + 1
         if n <= 0:
             return np.zeros(0, dtype="uint64")
-        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n] + np.uint64(length) * BASE)
+        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n] + np.uint64(length * int(BASE) & 0xFFFFFFFFFFFFFFFF))

@@ -15,6 +15,7 @@ from voxlake.llm.language import fit, fold, identify
 from voxlake.llm.near_dedup import near_duplicates
 from voxlake.llm.packing import packed
 from voxlake.llm.shards import shuffled_shards
+from voxlake.llm.suffix_dedup import without_repeats
 from voxlake.llm.warc import read_archives, write_archives
 from voxlake.session import checkpoint_ready
 
@@ -64,6 +65,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when repeated strings are removed."""
+    return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, edited and not, and how near they are."""
     return fingerprints(_table(spark, sf_dir, "documents"))
@@ -109,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
