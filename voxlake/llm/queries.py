@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from voxlake.llm import sql
 from voxlake.llm.decontaminate import contamination
 from voxlake.llm.fingerprints import fingerprints
+from voxlake.llm.html_text import fit as fit_labeller
+from voxlake.llm.html_text import main_text
 from voxlake.llm.language import fit, fold, identify
 from voxlake.llm.near_dedup import near_duplicates
 from voxlake.llm.packing import packed
@@ -117,6 +119,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return main_text(pages, fit_labeller(pages)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
@@ -126,5 +134,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
+    "op10_html_text": op10_html_text,
 }
 SQL: dict[str, str] = sql.SQL
