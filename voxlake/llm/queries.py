@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm import sql
+from voxlake.llm.cotraining import quality_scores
 from voxlake.llm.decontaminate import contamination
 from voxlake.llm.fingerprints import fingerprints
 from voxlake.llm.html_text import fit as fit_labeller
@@ -67,6 +68,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps when repeated strings are removed."""
     return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -129,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
+    "op4_co_training": op4_co_training,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
