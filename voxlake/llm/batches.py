@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that a task works on at once.
 CHUNK_BYTES = 2 << 20
@@ -14,23 +15,14 @@ CHUNK_BYTES = 2 << 20
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about `limit` bytes of text (one row at least), and the texts as UTF-8 (null: empty)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
-        raw = [x or b"" for x in column.to_pylist()]
-        start, size = 0, 0
-        for at, x in enumerate(raw):
-            if size + len(x) > limit and at > start:
-                yield batch.slice(start, at - start), raw[start:at]
-                start, size = at, 0
-            size += len(x)
-        yield batch.slice(start), raw[start:]
-
-
-def ragged(groups: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
-    """A list for each of `n` rows; `groups` (ascending) says to which row each value belongs."""
-    offsets = np.searchsorted(groups, np.arange(n + 1)).astype("int32")
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy())
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(start, end - start), [x or b"" for x in column.slice(start, end - start).to_pylist()]
+            start = end
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxlake.llm.batches import pieces
 
@@ -155,19 +156,23 @@ def _tables(found: DataFrame, block_windows: int) -> list[Broadcast]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_windows: int = BLOCK_WINDOWS, carry: bool = False) -> DataFrame:
     """What each document shares with the benchmark.
 
     Out: `doc_id`, `n_words`, `n_hit` (words inside any occurrence of a window), `items` (ids as strings, sorted) and
     `spans` (hit words as ascending `(start, end)` runs), one row for each input row, repeated rows included. Texts are
     searched whole. A null or empty text has no words and no hits; a null or empty item has no windows; an item without
     an id hits words but is not listed; equal items are all listed. Without documents or items the result is empty or
-    without hits. Other columns of the inputs don't matter.
+    without hits. Other columns of the inputs don't matter; with `carry` all columns
+    of a document come along in the struct `row`.
     """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *([F.struct(*docs.columns).alias("row")] if carry else []), F.col(text).alias("text"))
+    head = rows.drop("text").schema
     blocks = _tables(windows(benchmark, item_id, item_text, window), block_windows)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
+            carried = [batch.column(i) for i in range(len(head.names))]
             lists = [words_of(x) for x in texts]
             padded = [_padded(x) for x in lists]
             data = b"\n".join(padded) + b"\n"
@@ -197,10 +202,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
             offsets = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype("int32"))
             n_hit = np.bincount(doc, weights=end - begin, minlength=len(texts)).astype("int64")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(offsets, spans)],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
+                [*carried, pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(offsets, spans)],
+                [*head.names, "n_words", "n_hit", "items", "spans"],
             )
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    out = f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, out)
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    out = T.StructType([*head.fields]).add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("spans", span)
+    return rows.mapInArrow(search, out)
