@@ -48,7 +48,18 @@ def common_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _best_span(needle: str, text: str) -> tuple[float, int]:
-    """Best indel ratio (0-100) of `needle` against windows of `text`, and the length of that window.
+    """Best indel ratio (0-100) of `needle` against windows of `text`, and the length of that window. Of equal lengths,
+    either may be the one that windows are taken from."""
+    found = _span_in(needle, text)
+    if len(needle) == len(text) and found[0] < 100:
+        other = _span_in(text, needle)
+        if other[0] > found[0]:
+            return other[0], len(text)
+    return found
+
+
+def _span_in(needle: str, text: str) -> tuple[float, int]:
+    """The same with windows from the longer one, or from `text`.
 
     Windows as long as the needle, then shorter ones at both ends. A common subsequence changes by at most one when a
     window moves by one character, so windows that cannot beat the best so far are stepped over; none is missed.

@@ -13,7 +13,7 @@ from voxlake.functions.once import computed_once, let
 from voxlake.operators.turns import transcripts
 
 PAYLOAD = (
-    "intent struct<label:string,turn_id:string>, resolution struct<status:string,turn_id:string>, summary string"
+    "intent struct<label:string,turn_id:variant>, resolution struct<status:string,turn_id:variant>, summary string"
 )
 
 
@@ -41,18 +41,29 @@ def first_json_object(text: Column) -> Column:
     return F.aggregate(pieces, start, step)["found"]
 
 
+def _object_in(text: Column) -> Column:
+    """The text itself if it is JSON, and then only an object; else the first object inside it."""
+    # The parser stops after a value; as the one element of a list, the text has to be a value to its end.
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    whole = listed.isNotNull() & F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(~whole, first_json_object(text)).when(F.schema_of_variant(listed).startswith("ARRAY<OBJECT"), text)
+
+
 def parse_payloads(raw: DataFrame, column: str = "payload") -> DataFrame:
     """Add the parsed payload as `judgment` and an `error` text where no object could be read."""
-    parsed = computed_once(raw, _json=first_json_object(F.col(column)))
+    parsed = computed_once(raw, _json=_object_in(F.col(column)))
     return computed_once(parsed, judgment=F.from_json("_json", PAYLOAD)).withColumn(
         "error", F.when(F.col("_json").isNull(), F.lit("no JSON object found in model output"))
     ).drop("_json")
 
 
 def _turn_id(raw: Column, n_turns: Column) -> Column:
+    """A whole number in text, a number cut to its whole part, true as 1; anything else is 0. Clamped to the turns."""
+    kind, text = F.schema_of_variant(raw), F.try_variant_get(raw, "$", "string")
     number = (
-        F.when(raw.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(raw).try_cast("decimal(38,0)"))
-        .when(raw.rlike(r"^\s*[+-]?\d+\.\d*\s*$"), F.trim(raw).try_cast("double").try_cast("bigint").cast("decimal(38,0)"))
+        F.when(kind == "STRING", F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("decimal(38,0)")))
+        .when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("int").cast("decimal(38,0)"))
+        .otherwise(text.try_cast("double").try_cast("bigint").cast("decimal(38,0)"))
     )
     clamped = F.greatest(F.lit(0), F.least(number, n_turns - 1))
     return F.when(number.isNull(), 0).otherwise(clamped).cast("int")
@@ -111,19 +122,10 @@ def rule_judge(turns: DataFrame) -> DataFrame:
 
 
 def model_judge(model: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
-    """A judge from a string-to-string column function, e.g. a pandas UDF that calls a model.
-
-    Very long calls reach the model in parts; intent comes from the first part, outcome and summary from the last.
-    """
+    """A judge from a string-to-string column function, e.g. a pandas UDF that calls a model: it reads each call whole."""
 
     def judge(turns: DataFrame) -> DataFrame:
-        parts = parse_payloads(transcripts(turns).withColumn("payload", model(F.col("transcript"))))
-        read = parts.where(F.col("error").isNull())
-        ends = read.groupBy("call_id").agg(
-            F.min_by("judgment", "part").alias("_a"), F.max_by("judgment", "part").alias("_z")
-        )
-        whole = F.to_json(F.struct(F.col("_a.intent"), F.col("_z.resolution"), F.col("_z.summary")))
-        return parts.select("call_id").distinct().join(ends.select("call_id", whole.alias("payload")), "call_id", "left")
+        return transcripts(turns, part_turns=None).select("call_id", model(F.col("transcript")).alias("payload"))
 
     return judge
 

@@ -200,9 +200,9 @@ def transcript_lines(turns: DataFrame) -> DataFrame:
     return turns.select("call_id", "turn_index", line.alias("line"))
 
 
-def transcripts(turns: DataFrame, part_turns: int = 2000) -> DataFrame:
-    """Whole transcripts as text, `part_turns` turns per row so that no row grows without bound."""
-    part = F.floor(F.col("turn_index") / part_turns).cast("int")
+def transcripts(turns: DataFrame, part_turns: int | None = 2000) -> DataFrame:
+    """Whole transcripts as text, `part_turns` turns per row so that no row grows without bound; None: a call in one row."""
+    part = F.lit(0) if part_turns is None else F.floor(F.col("turn_index") / part_turns).cast("int")
     grouped = transcript_lines(turns).groupBy("call_id", part.alias("part"))
     lines = F.sort_array(F.collect_list(F.struct("turn_index", "line")))
     return grouped.agg(F.array_join(lines["line"], "\n").alias("transcript"), F.count("*").alias("n_turns"))

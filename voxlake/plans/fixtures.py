@@ -184,7 +184,7 @@ def judgments_of(spoken: DataFrame) -> DataFrame:
         F.col("_i.turn_index").alias("intent_turn_index"),
         F.when(m == 0, "resolved").when(m == 1, "partial").otherwise("unresolved").alias("resolution_status"),
         "resolution_turn_index",
-        F.concat(F.lit("asked: "), tx.first_words(F.col("_i.text"), 50)).alias("summary"),
+        F.concat(F.lit("asked: "), F.col("_i.text")).alias("summary"),
     )
 
 

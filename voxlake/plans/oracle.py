@@ -224,7 +224,7 @@ _series("u", "sub_series")
 BLOCKS["judged"] = f"""
 select call_id, {first_words('itext', 5)} as intent_label, intent_turn_index,
   case call_id % 3 when 0 then 'resolved' when 1 then 'partial' else 'unresolved' end as resolution_status, resolution_turn_index,
-  'asked: ' || {first_words('itext', 50)} as summary
+  'asked: ' || itext as summary
 from (select call_id, min(turn_index) filter (speaker = 'customer') as intent_turn_index,
     min_by(text, turn_index) filter (speaker = 'customer') as itext, max(turn_index) as resolution_turn_index from turns group by 1)
 where intent_turn_index is not null"""
@@ -342,7 +342,7 @@ select count(*) as call_count, coalesce(avg(case when resolution_status = 'resol
 BLOCKS["outcomes"] = """
 select cluster_id, count(*) as call_count, coalesce(avg(case when resolution_status = 'resolved' then 1.0 when resolution_status is null then null else 0.0 end), 0) as resolution_rate,
   coalesce(avg(attention_score), 0) as avg_attention_score, coalesce(avg(duration_seconds), 0) as avg_handle_time_seconds, label
-from done join clusters using (call_id) join issues using (cluster_id) group by cluster_id, label order by call_count desc, cluster_id limit 25"""
+from done join clusters using (call_id) join issues using (cluster_id) group by cluster_id, label"""
 BLOCKS["daily"] = """
 select cluster_id, call_date, n as call_count, n / day_total as share
 from (select cluster_id, call_date, count(*) as n from done join clusters using (call_id) group by 1, 2)
@@ -467,7 +467,7 @@ from calls left join (select call_id, count(*) as citations from ev group by 1)
     "clock_formats": f"""select event_id, {clock('value * 60')} as clock,
   case when value * 60 >= 3600 then printf('%d:%02d:%02d', s // 3600, (s % 3600) // 60, s % 60) else printf('%02d:%02d', s // 60, s % 60) end as short_clock,
   s::double as seconds, strftime(ts, '%-d %b %Y, %H:%M') as date_time, strftime(ts, '%-d %b %Y') as date_only from (select *, cast(floor(value * 60) as bigint) as s from events)""",
-    "name_slugs": rf"""select conv_id, turn, coalesce(nullif(regexp_replace(regexp_replace(lower({strip("'  ' || " + first_words('text', 3) + " || '! '")}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') as slug from conversations""",
+    "name_slugs": rf"""select conv_id, turn, coalesce(nullif(regexp_replace(regexp_replace(lower({strip("'  ' || text || '! '")}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') as slug from conversations""",
     "turn_at_time": """select a.call_id, round(a.t, 6) as t, b.turn_index from (select call_id, (start_seconds + end_seconds) / 2 + 3 as t from turns) a
 join turns b on a.call_id = b.call_id and a.t >= b.start_seconds and a.t < b.end_seconds""",
     # Mood

@@ -247,7 +247,7 @@ def clock_formats(spark, sf):
 @query
 def name_slugs(spark, sf):
     t = fx.table(spark, sf, "conversations")
-    name = F.concat(F.lit("  "), tx.first_words(F.col("text"), 3), F.lit("! "))
+    name = F.concat(F.lit("  "), F.col("text"), F.lit("! "))
     return t.select("conv_id", "turn", tx.slug(name).alias("slug"))
 
 
@@ -375,7 +375,7 @@ def _raw_payloads(spark, sf):
     m = F.col("doc_id") % 5
     wrapped = (
         F.when(m == 0, obj)
-        .when(m == 1, F.concat(F.lit("{\n {"), F.substring(obj, 2, 10_000_000)))
+        .when(m == 1, F.concat(F.lit("{\n {"), F.substring(obj, F.lit(2), F.length(obj))))
         .when(m == 2, F.concat(F.lit("Here it is:\n```json\n"), obj, F.lit("\n```")))
         .when(m == 3, F.concat(F.lit("{} then "), obj, F.lit(" and more")))
         .otherwise(F.concat(F.lit("none: "), F.regexp_replace("text", r"[{}]", " ")))
@@ -807,7 +807,8 @@ def corpus_baseline(spark, sf):
 
 
 def _outcomes(spark, sf):
-    return views.issue_outcomes(fx.calls(spark, sf), fx.call_clusters(spark, sf), fx.issues(spark, sf))
+    """All issues: comparisons must see the small ones too."""
+    return views.issue_outcomes(fx.calls(spark, sf), fx.call_clusters(spark, sf), fx.issues(spark, sf), limit=None)
 
 
 @query

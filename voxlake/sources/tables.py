@@ -20,7 +20,9 @@ def write_transcripts(segments: DataFrame, path: str) -> None:
 
 
 def append_run(df: DataFrame, path: str, run_id: int) -> None:
-    df.withColumn("run_id", F.lit(run_id).cast("bigint")).write.mode("append").partitionBy("run_id").parquet(path)
+    """Add a run. Writing the same run again replaces it, so a retried job leaves it once; other runs are not touched."""
+    run = df.withColumn("run_id", F.lit(run_id).cast("bigint"))
+    run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def table_stage(root: str, run_id: int) -> Callable[[str, DataFrame], DataFrame]:
@@ -39,7 +41,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or an empty frame of `schema` when nothing has been written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
