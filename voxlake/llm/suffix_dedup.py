@@ -28,8 +28,8 @@ from voxlake.llm.filters import bitmap_of, passes
 from voxlake.session import settle
 
 LENGTH, GRAM = 400, 100
-#: Runs of one token that a task sorts together: about 1 MB of text.
-HOT_RUNS = 1024
+#: Runs of one token that a task sorts together: about 10 MB of text, and 150 MB to sort their suffixes.
+HOT_RUNS = 16_384
 _SEGMENT = 8 << 20
 _PLACE = np.uint64(0xFFFFFF)
 _RUN = "d1 long, d2 long, token long, whole long, first int, n int, lead int"
@@ -182,11 +182,12 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     tokens = settle(_all_runs(texts, length, gram, None).groupBy("token").agg(F.count("*").alias("m")).where("m > 1"))
     likely = settle(_all_runs(texts, length, gram, bitmap_of(tokens, "token")).join(tokens, "token"))
     same = ["token", "whole", "n", "lead"]
-    again = settle(likely.groupBy(*same).agg(F.count("*").alias("c")).where("c > 1").select(*same))
-    whole = likely.join(again, same, "left_semi").select("d1", "d2", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("n") - 1 + length).cast("long").alias("end"))
+    again = settle(likely.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("d1", "d2", "first", "m")).alias("x")).where("c > 1"))
+    whole = likely.join(again.select(*same), same, "left_semi").select("d1", "d2", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("n") - 1 + length).cast("long").alias("end"))
+    alone = likely.join(again.select(*same), same, "left_anti")
     # One of the runs that occur again stands for all: the other runs of its token may still repeat a part of it.
-    other = likely.join(again, same, "left_anti").unionByName(likely.join(again, same, "left_semi").groupBy(*same).agg(*[F.min(F.struct("d1", "d2", "first", "m")).alias("x")]).select("x.d1", "x.d2", "token", "whole", "x.first", "n", "lead", "x.m"))
-    open_tokens = settle(likely.join(again, same, "left_anti").select("token").distinct())
+    other = alone.unionByName(again.select("x.d1", "x.d2", "token", "whole", "x.first", "n", "lead", "x.m"))
+    open_tokens = settle(alone.select("token").distinct())
     parts = settle(other.join(open_tokens, "token", "left_semi").groupBy("d1", "d2").agg(F.collect_list(F.struct("token", "first", "n", "lead", "m")).alias("runs")))
     known = bitmap_of(parts, "d1")
 
@@ -212,9 +213,10 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """Every row as `(row, n_bytes, n_removed, spans, kept)`: all its columns in `row`, the bytes of its text, how many of them
+    """Every row as `(row, n_bytes, n_removed, spans, kept, text)`: all its columns in `row`, the bytes of its text, how many of them
     a string of `length` bytes covers that starts also anywhere else (in this or another text of the input, overlaps
-    included), the maximal removed runs as ascending `(start, end)`, and the remaining bytes.
+    included), the maximal removed runs as ascending `(start, end)`, the remaining bytes, and these as `text`, without
+    characters that were cut in two.
 
     Texts are UTF-8 and are judged whole, before anything is removed; strings never cross texts. A null text is empty, and
     one shorter than `length` is kept as it is. Rows that repeat lose what they repeat, all of them. Any columns may be
@@ -242,8 +244,8 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 merged.append(runs_)
                 kept.append(b"".join(left))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())], ["row", "n_bytes", "n_removed", "spans", "kept", "text"])
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    out = joined.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", span).add("kept", "binary")
+    out = joined.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", span).add("kept", "binary").add("text", "string")
     return joined.mapInArrow(remove, out)
