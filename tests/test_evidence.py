@@ -1,14 +1,21 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from voxlake import fixed
 from voxlake.functions import similarity as sim
 from voxlake.functions.text import normalise
 from voxlake.operators import contradiction, evidence
 
-TURN = "Well I would like to talk to your supervisor today because nobody called me back"
-LONG = "Hello and thanks for taking my call. My rent was debited two times in the same month. Could you check that for me."
+rng = random.Random(21)
+VOCABULARY = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(300)]
+
+
+def words(n):
+    return [rng.choice(VOCABULARY) for _ in range(n)]
 
 
 def lcs(a, b):
@@ -51,43 +58,51 @@ def test_word_edits_equals_the_plain_recurrence(a, b):
     assert sim._edits(a, b) == row[-1]
 
 
-@pytest.fixture(scope="module")
-def verdicts(spark):
-    rows = [
-        ("verbatim", "I would like to talk to your supervisor", TURN, None),
-        ("invented", "The new app works really well and I enjoy it a lot", "My refund has not arrived and two weeks have passed already", None),
-        ("tiny", "the card", TURN, None),
-        ("loud", "i would LIKE to talk to your supervisor, today!!", TURN, None),
-        ("unsupported", "give me a second while I open your file here", "Of course, give me a second while I open your file here and check",
-         "customers dislike blocked transfers abroad"),
-        ("supported", "I would like to talk to your supervisor today because", TURN, "the customer asked to talk to a supervisor"),
-        ("nearly", "I would like to speak to your supervisor today", TURN, None),
-    ]
-    df = spark.createDataFrame(rows, "id string, quote string, text string, claim string")
-    return {r["id"]: r for r in evidence.verify(df).collect()}
-
-
-def test_span_and_support_checks(verdicts):
-    v = verdicts
-    assert v["verbatim"]["verified"] and v["verbatim"]["match_score"] == 100 and v["verbatim"]["method"] == "none"
-    assert not v["invented"]["verified"] and "does not occur" in v["invented"]["reason"]
-    assert not v["tiny"]["verified"] and "shorter than" in v["tiny"]["reason"] and v["tiny"]["match_score"] == 0
-    assert v["loud"]["verified"]
-    assert not v["unsupported"]["verified"] and "does not support" in v["unsupported"]["reason"]
-    assert v["supported"]["verified"] and v["supported"]["support_score"] > 45 and v["supported"]["method"] == "lexical"
-    assert v["nearly"]["verified"] and 85 <= v["nearly"]["match_score"] < 100
-
-
-def test_quotes_come_from_the_turn(spark):
-    df = spark.createDataFrame(
-        [(LONG, "the customer says the rent was debited two times"), ("My card was stolen", "stolen card"), ("Hi. Ok. No.", "x"), ("", "x")],
-        "text string, claim_text string",
-    )
+def test_span_checks_of_generated_quotes(spark):
+    rows, want = [], {}
+    for i in range(80):
+        turn = words(rng.randint(14, 40))
+        n = rng.randint(2, 12)
+        at = rng.randint(0, len(turn) - n)
+        quote = turn[at : at + n]
+        kind = i % 4
+        if kind == 1:
+            quote = [w.upper() + "!" for w in quote]
+        elif kind == 2:
+            quote = ["x" * len(w) for w in quote]
+        elif kind == 3 and n > 8:
+            quote[4] = "qq"  # one word of many is another one
+        rows.append((str(i), " ".join(quote), " ".join(turn), None))
+        want[str(i)] = "shorter than" if n < 5 else "does not occur" if kind == 2 else "" if kind < 2 or n > 8 or quote == turn[at : at + n] else None
+    got = {r["id"]: r for r in evidence.verify(spark.createDataFrame(rows, "id string, quote string, text string, claim string")).collect()}
+    for k, reason in want.items():
+        r = got[k]
+        assert reason is None or (reason in r["reason"] and r["verified"] == (reason == "") and r["method"] == "none")
+        assert int(k) % 4 > 1 or r["match_score"] == (0 if "shorter" in r["reason"] else 100)
+    assert {"", "shorter than", "does not occur"} <= set(want.values())
+
+
+def test_support_needs_the_claims_words(spark):
+    rows = []
+    for i in range(20):
+        turn = words(12)
+        rows += [(f"own{i}", " ".join(turn[2:10]), " ".join(turn), " ".join(turn[3:9])), (f"else{i}", " ".join(turn[2:10]), " ".join(turn), " ".join("z" * len(w) for w in turn[3:9]))]
+    for r in evidence.verify(spark.createDataFrame(rows, "id string, quote string, text string, claim string")).collect():
+        own = r["id"].startswith("own")
+        assert r["verified"] == own and r["method"] == "lexical" and (r["support_score"] > 45) == own
+        assert own or "does not support" in r["reason"]
+
+
+def test_a_quote_is_the_sentence_nearest_to_the_claim(spark):
+    rows = []
+    for i in range(30):
+        sentences = [" ".join(words(rng.randint(5, 9))).capitalize() + "." for _ in range(4)]
+        chosen = sentences[i % 4]
+        rows.append((" ".join(sentences), chosen.lower().rstrip("."), chosen))
+    rows += [("", "x", ""), ("Nur ein kurzer Satz", "kurz", "Nur ein kurzer Satz")]
+    df = spark.createDataFrame(rows, "text string, claim_text string, want string")
     got = evidence.select_quotes(df).withColumn("inside", F.contains(normalise(F.col("text")), normalise(F.col("quote")))).collect()
-    quotes = {r["text"]: r["quote"] for r in got}
-    assert all(r["inside"] for r in got)
-    assert quotes[LONG] == "My rent was debited two times in the same month."
-    assert quotes["My card was stolen"] == "My card was stolen" and quotes["Hi. Ok. No."] == "Hi." and quotes[""] == ""
+    assert all(r["inside"] and r["quote"] == r["want"] for r in got)
 
 
 def test_vector_support_uses_the_callers_embedding(spark):
@@ -132,10 +147,17 @@ def test_factor_reuses_the_turns_citation_or_builds_one(spark):
 
 
 def test_contradictions_need_a_later_pushback(spark):
-    claim, push = "You're all set now", "It is still not working"
-    rows = [("yes", 0, "customer", "hello"), ("yes", 1, "agent", claim), ("yes", 2, "customer", push), ("yes", 3, "customer", push),
-            ("early", 0, "customer", push), ("early", 1, "agent", claim), ("roles", 0, "customer", claim), ("roles", 1, "agent", push)]
+    """Calls of random turns against a plain reading: the first claim of the agent with a pushback of the customer after it."""
+    claim, push, other = "the issue is resolved now", "that is still not working here", "mm"
+    texts = spark.createDataFrame([(claim,), (push,), (other,)], "t string").select(F.col("t").rlike(fixed.AGENT_CLAIM), F.col("t").rlike(fixed.CUSTOMER_PUSHBACK)).collect()
+    assert [tuple(r) for r in texts] == [(True, False), (False, True), (False, False)]
+    rows = [(f"c{c:02d}", i, rng.choice(["agent", "customer"]), rng.choice([claim, push, other])) for c in range(60) for i in range(6)]
     t = spark.createDataFrame(rows, "call_id string, turn_index int, speaker string, text string")
-    assert [tuple(r) for r in contradiction.contradictions(t).collect()] == [("yes", 1, 2)]
-    judged = spark.createDataFrame([("yes", "partial")], "call_id string, resolution_status string")
-    assert contradiction.resolved_contradictions(t, judged).count() == 0
+    got = {r[0]: tuple(r)[1:] for r in contradiction.contradictions(t).collect()}
+    for c in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == c]
+        pairs = [(a[1], b[1]) for a in own for b in own if a[2:] == ("agent", claim) and b[2:] == ("customer", push) and b[1] > a[1]]
+        assert (c in got) == bool(pairs) and (c not in got or got[c] in pairs)
+    assert 10 < len(got) < 60
+    judged = spark.createDataFrame([(c, "resolved" if c < "c30" else "partial") for c in got], "call_id string, resolution_status string")
+    assert {r["call_id"] for r in contradiction.resolved_contradictions(t, judged).collect()} == {c for c in got if c < "c30"}

@@ -1,4 +1,8 @@
+import datetime as dt
+import itertools
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,12 +10,18 @@ from pyspark.sql import functions as F
 from voxlake.functions import text as tx
 from voxlake.sources import readers, tables
 
-SAMPLE = {
-    "sid": "call-7", "start_time_ms": 1600000000125, "end_time_ms": 1600000061625,
-    "agent": {"metadata": {"agent_name": "Paula"}, "speaker_id": 3},
-    "caller": {"metadata": {"first and last name": "Omar Diaz"}, "speaker_id": 8},
-    "labels": {"lhvb_script": 4.0, "caller_mos": 3.5, "agent_mos": 2.0}, "session": "batch 9",
-}
+NAMES = ["Iva Lund", "Bo", "Zoë d'Arc", "N. 7 Quist-Ek"]
+
+
+def record(i):
+    """Metadata of made-up call number i: an hour and i minutes after day i, i + 2.25 seconds long."""
+    start = (i * 86_400 + 3_600 + 60 * i) * 1000
+    return {
+        "sid": f"m{i:03d}", "start_time_ms": start, "end_time_ms": start + i * 1000 + 2250, "session": f"s{i % 3}",
+        "agent": {"metadata": {"agent_name": NAMES[(i + 1) % 4]}, "speaker_id": i},
+        "caller": {"metadata": {"first and last name": NAMES[i % 4]}, "speaker_id": i * 2},
+        "labels": {"lhvb_script": 1.0, "caller_mos": i / 8, "agent_mos": None},
+    }
 
 
 def put(folder, name, obj):
@@ -19,36 +29,50 @@ def put(folder, name, obj):
     (folder / name).write_text(obj if isinstance(obj, str) else json.dumps(obj, indent=1), encoding="utf-8")
 
 
-def test_metadata(spark, tmp_path):
-    other = json.loads(json.dumps(SAMPLE))
-    other.update(sid="call-8")
-    other["caller"]["speaker_id"] = 999
-    put(tmp_path / "m", "a.json", SAMPLE)
-    put(tmp_path / "m", "b.json", other)
+def test_metadata_of_many_files(spark, tmp_path):
+    for i in range(40):
+        put(tmp_path / "m", f"{i}.json", record(i))
     rows = readers.read_call_metadata(spark, str(tmp_path / "m")).orderBy("call_id").collect()
-    first = rows[0]
-    assert (first["customer_name"], first["agent_name"], first["customer_id"], first["agent_id"]) == ("Omar Diaz", "Paula", "omar-diaz", "paula")
-    assert str(first["call_date"]) == "2020-09-13" and first["duration_seconds"] == pytest.approx(61.5)
-    assert first["caller_mos"] == 3.5 and first["session"] == "batch 9" and rows[1]["customer_id"] == "omar-diaz"
+    day = dt.date(1970, 1, 1)
+    assert [(r["call_id"], r["customer_name"], r["agent_name"], r["session"]) for r in rows] == [(f"m{i:03d}", NAMES[i % 4], NAMES[(i + 1) % 4], f"s{i % 3}") for i in range(40)]
+    assert [(r["call_date"], r["duration_seconds"], r["caller_mos"]) for r in rows] == [(day + dt.timedelta(days=i), pytest.approx(i + 2.25), i / 8) for i in range(40)]
+    slugs = {r["customer_name"]: r["customer_id"] for r in rows}
+    assert slugs == {"Iva Lund": "iva-lund", "Bo": "bo", "Zoë d'Arc": "zo-d-arc", "N. 7 Quist-Ek": "n-7-quist-ek"}
+
+
+@pytest.mark.parametrize(("path", "said"), [(("sid",), "sid"), (("caller", "metadata", "first and last name"), "first and last name"), (("agent", "metadata", "agent_name"), "agent_name"), (("end_time_ms",), "end_time_ms")])
+def test_a_missing_field_fails_loudly(spark, tmp_path, path, said):
+    broken = record(3)
+    *above, last = path
+    at = broken
+    for k in above:
+        at = at[k]
+    at[last] = None
+    put(tmp_path / "m", "x.json", broken)
+    with pytest.raises(Exception, match=said):
+        readers.read_call_metadata(spark, str(tmp_path / "m")).collect()
 
 
-def test_missing_name_fails_loudly(spark, tmp_path):
-    broken = json.loads(json.dumps(SAMPLE))
-    broken["caller"]["metadata"] = {"name": "Omar Diaz"}
-    put(tmp_path / "m", "a.json", broken)
-    with pytest.raises(Exception, match="first and last name"):
-        readers.read_call_metadata(spark, str(tmp_path / "m")).collect()
+def test_clocks_go_back_and_forth(spark):
+    rng = random.Random(1)
+    seconds = [rng.randint(0, 200_000) for _ in range(200)]
+    t = spark.createDataFrame([(float(s),) for s in seconds], "s double")
+    clock, short = zip(*t.select(tx.clock(F.col("s")), tx.short_clock(F.col("s"))).collect())
+    plain = lambda s: f"{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    assert list(clock) == [plain(s) for s in seconds]
+    assert list(short) == [f"{s // 60:02d}:{s % 60:02d}" if s < 3600 else f"{s // 3600}:{s // 60 % 60:02d}:{s % 60:02d}" for s in seconds]
+    back = spark.createDataFrame([(c,) for c in clock], "t string").select(tx.clock_seconds(F.col("t"))).collect()
+    assert [r[0] for r in back] == seconds
 
 
-def test_slugs_and_clocks(spark):
-    df = spark.createDataFrame([("Omar Diaz",), ("  Paula  ",), ("O'Hara-Lee",), ("?!",)], "n string")
-    assert [r[0] for r in df.select(tx.slug(F.col("n"))).collect()] == ["omar-diaz", "paula", "o-hara-lee", "unknown"]
-    t = spark.createDataFrame([(59.9,), (3661.0,), (-1.0,), (None,), (float("nan"),)], "s double")
-    assert [r[0] for r in t.select(tx.short_clock(F.col("s"))).collect()] == ["00:59", "1:01:01", "00:00", "00:00", "00:00"]
-    back = spark.createDataFrame([("01:01:01",), ("02:03",), ("x:1",)], "t string")
-    assert [r[0] for r in back.select(tx.clock_seconds(F.col("t"))).collect()] == [3661.0, 123.0, 0.0]
-    o = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 11, 12, 13, 21, 112)], "n int")
-    assert [r[0] for r in o.select(tx.ordinal(F.col("n"))).collect()] == ["1st", "2nd", "3rd", "4th", "11th", "12th", "13th", "21st", "112th"]
+def test_ordinals_and_slugs(spark):
+    o = spark.range(0, 130).select(tx.ordinal(F.col("id").cast("int"))).collect()
+    ends = {n: "th" if n % 100 in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th") for n in range(130)}
+    assert [r[0] for r in o] == [f"{n}{e}" for n, e in ends.items()]
+    rng = random.Random(2)
+    names = ["".join(rng.choice("aB7 -_'é") for _ in range(rng.randint(0, 9))) for _ in range(200)]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(tx.slug(F.col("n"))).collect()]
+    assert got == [re.sub("[^a-z0-9]+", "-", n.strip().lower()).strip("-") or "unknown" for n in names]
 
 
 def test_only_calls_with_audio(spark, tmp_path):
@@ -75,16 +99,19 @@ def test_transcripts_with_quarantine_and_references(spark, tmp_path):
     assert readers.read_reference_texts(spark, str(tmp_path / "gold")).first().asDict() == {"call_id": "a", "reference": "line one\nline two"}
 
 
-def test_channel_roles(spark):
+def test_roles_by_channel_then_by_label(spark):
     from voxlake import schemas
 
-    said = lambda c, s: (c, s, 1000, 2500, "t", [("t", 1000, 1500, None)])
-    raw = spark.createDataFrame([("a", [said("1", "B"), said("2", "A"), said("9", "a"), said(None, "B"), said(None, None)])], schemas.UTTERANCES)
-    rows = readers.multichannel_segments(raw).orderBy("segment_no").collect()
-    assert [r["speaker"] for r in rows] == ["agent", "customer", "agent", "customer", "customer"]
-    assert [r["channel_fallback"] for r in rows] == [False, False, True, False, False]
-    assert rows[0]["start"] == 1.0 and rows[0]["words"][0]["confidence"] == 1.0
-    assert readers.channel_fallbacks(readers.multichannel_segments(raw)).first().asDict() == {"segments": 5, "channel_fallbacks": 1}
+    cases = list(itertools.product([None, "1", " 2 ", "3", "x"], [None, "", "a", " A", "1", "C"]))
+    said = [(c, s, 40 * i, 40 * i + 30, f"t{i}", [(f"t{i}", 40 * i, 40 * i + 30, None if i % 2 else 0.25)]) for i, (c, s) in enumerate(cases)]
+    rows = readers.multichannel_segments(spark.createDataFrame([("q", said)], schemas.UTTERANCES)).orderBy("segment_no").collect()
+    for i, ((channel, label), r) in enumerate(zip(cases, rows)):
+        by_channel = {"1": "agent", "2": "customer"}.get((channel or "").strip())
+        assert r["speaker"] == (by_channel or ("agent" if (label or "").strip().upper() in ("A", "1") else "customer"))
+        assert r["channel_fallback"] == (channel is not None and by_channel is None)
+        assert (r["start"], r["end"], r["words"][0]["confidence"]) == (i * 0.04, pytest.approx(i * 0.04 + 0.03), 1.0 if i % 2 else 0.25)
+    counted = readers.channel_fallbacks(readers.multichannel_segments(spark.createDataFrame([("q", said)], schemas.UTTERANCES))).first()
+    assert (counted["segments"], counted["channel_fallbacks"]) == (30, 12)
 
 
 def test_upkeep(spark):
@@ -108,7 +135,8 @@ def test_runs_and_clusters(spark, tmp_path):
     row = lambda *r: spark.createDataFrame(list(r), "call_id string, quote string")
     assert tables.read_or_empty(spark, path, "call_id string, quote string, run_id bigint").count() == 0
     tables.append_run(row(("a", "1"), ("a", "2"), ("b", "1")), path, 1)
-    tables.append_run(row(("a", "3")), path, 2)
+    for _ in range(2):  # a run that is written again is there once
+        tables.append_run(row(("a", "3")), path, 2)
     stored = spark.read.parquet(path)
     assert sorted((r["call_id"], r["quote"]) for r in tables.latest(stored).collect()) == [("a", "3"), ("b", "1")]
     emptied = spark.createDataFrame([("b", 3)], "call_id string, run_id int")
