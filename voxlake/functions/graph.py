@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions.similarity import unit
-from voxlake.session import checkpoint_ready, settle
+from voxlake.session import settle
 
 MAX_PIVOTS = 1024
 
@@ -146,49 +146,23 @@ def spanning_edges(vectors: DataFrame, min_cosine: float, block_rows: int = 2048
     return tiles.groupBy("cell", "tile").applyInPandas(forest, f"src {kind}, dst {kind}, cosine double").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """`(node, component)` with component = smallest node reachable. In: `src, dst`, any comparable type.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """`(node, component)` with component = smallest node reachable. In: `src, dst`, any comparable type; loops don't count.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014). The number of edges never grows, minima are
-    combined before the shuffle, and each round is cut off with a reliable checkpoint.
+    Each round gives a node the smallest label around it and then that label's own label, so paths shorten by more than
+    half. Minima are combined before the shuffle, and every join is between two tables that are read afresh from reliable
+    checkpoints, so that a node with very many edges is split at run time.
     """
-    checkpoint_ready(edges.sparkSession)
-
-    def neighbours(e: DataFrame) -> DataFrame:
-        return e.select(F.col("u"), F.col("v")).union(e.select(F.col("v"), F.col("u")))
-
-    def large_star(e: DataFrame) -> DataFrame:
-        both = neighbours(e)
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-    def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(low, "u")
-        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            low.select("u", F.col("m").alias("v"))
-        )
-
-    def tidy(e: DataFrame) -> DataFrame:
-        return e.where(F.col("u") != F.col("v")).distinct()
-
-    def mark(e: DataFrame):
-        hashed = F.xxhash64("u", "v").cast("decimal(38,0)")
-        return e.agg(F.count("*"), F.sum(hashed)).first()
-
-    current = tidy(
-        edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    ).checkpoint()
-    seen = mark(current)
-    for _ in range(max_rounds):
-        current = tidy(small_star(tidy(large_star(current)))).checkpoint()
-        now = mark(current)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
-    leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return leaves.union(roots)
+    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a != b")
+    both = settle(pairs.union(pairs.select("b", "a")).distinct())
+    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    state = lambda df: df.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
+    before = state(labels)
+    while True:
+        around = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "component")
+        lowest = settle(around.union(labels).groupBy("node").agg(F.min("component").alias("component")))
+        if state(lowest) == before:
+            return lowest
+        upper = lowest.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        labels = settle(lowest.join(upper, F.col("component") == F.col("_node")).select("node", F.col("_component").alias("component")))
+        before = state(labels)

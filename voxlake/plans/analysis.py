@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.operators import attention, changepoint, contradiction, evidence, judgments, mood, repeats
+from voxlake.operators import attention, changepoint, contradiction, evidence, issues, judgments, mood, repeats
 from voxlake.operators.evidence import Support
 from voxlake.session import settle
 
@@ -120,3 +120,27 @@ def rescore(
         calls, judged, points, shifts, turns, repeats.prior_same_cluster(calls, call_clusters), against
     )
     return evidence.cite_factors(stage("scores", attention.attention_scores(inputs)), rebuilt, turns, support)
+
+
+@dataclass(frozen=True)
+class Batch:
+    analysis: Analysis
+    call_clusters: DataFrame
+    names: DataFrame
+    attention: DataFrame
+    evidence: DataFrame
+
+
+def analyse_cluster_rescore(
+    calls: DataFrame, turns: DataFrame, lexicon: DataFrame, judge: Any = judgments.rule_judge, support: Support = Support(), stage: Stage = checkpointed,
+) -> Batch:
+    """The batch job: analyse all calls, group them into named issues by what they were about, and score them again with
+    repeat contact by issue."""
+    done = analyse(calls, turns, lexicon, judge, support=support, stage=stage)
+    texts = stage("issue_texts", issues.cluster_texts(done.judged.withColumn("analyzed_at", F.current_timestamp())))
+    labels = stage("call_clusters", issues.density_clusters(issues.text_vectors(texts)))
+    names = stage("issues", issues.name_clusters(labels.join(texts.withColumnRenamed("call_id", "id"), "id")))
+    clusters = labels.select(F.col("id").alias("call_id"), "cluster_id")
+    judged = calls.join(done.judged.select("call_id", "resolution_status"), "call_id")
+    again, every = rescore(judged, turns, done.points, done.evidence, clusters, support, stage)
+    return Batch(done, clusters, names, stage("rescored_attention", again), stage("rescored_evidence", every))

@@ -1010,3 +1010,12 @@ def full_analysis(spark, sf):
         "call_id", "attention_score", F.size("factors").alias("n_factors"),
         F.array_join(F.transform("factors", lambda f: F.concat_ws("@", f["factor"], f["turn_index"].cast("string"))), "|").alias("factors"),
     )
+
+
+@query
+def analysed_clustered_rescored(spark, sf):
+    t = settle(fx.turns(spark, sf))
+    done = analysis.analyse_cluster_rescore(_conversation_calls(t), t, fx.lexicon(spark))
+    return done.attention.join(done.call_clusters, "call_id", "left").select(
+        "call_id", "cluster_id", "attention_score", F.size("factors").alias("n_factors"),
+    )
