@@ -1,29 +1,14 @@
-"""Connected components of a graph of links, as Spark jobs."""
+"""Connected components of links between documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.session import settle
+from voxlake.functions.graph import connected_components
 
 
 def components(links: DataFrame) -> DataFrame:
-    """`(node, component)` for every node of the links `(a, b)`; the component is the smallest node reachable.
-
-    Each round gives a node the smallest label around it and then that label's own label, so paths shorten by more than
-    half. Minima are combined before the shuffle, and every join is between two tables that are read afresh, so that a
-    node with very many links is split at run time. Without links there are no nodes.
-    """
-    edges = settle(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    labels = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    state = lambda df: df.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
-    before = state(labels)
-    while True:
-        around = edges.join(labels, edges["b"] == labels["node"]).select(F.col("a").alias("node"), "component")
-        lowest = settle(around.union(labels).groupBy("node").agg(F.min("component").alias("component")))
-        if state(lowest) == before:
-            return lowest
-        upper = lowest.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-        labels = settle(lowest.join(upper, F.col("component") == F.col("_node")).select("node", F.col("_component").alias("component")))
-        before = state(labels)
+    """`(node, component)` for every node of the links `(a, b)`; the component is the smallest node reachable. Without links
+    there are no nodes."""
+    return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))

@@ -2,7 +2,7 @@
 
 A document is the set of its word shingles; equal sets are folded into one. Independent trees branch the sets by selected
 minwise tokens: two sets of similarity s stay together at a token with probability s. Every node first compares its members
-with its smallest one. Links join components, and what a node still has to compare are members of different components:
+with its smallest one and a few others. Links join components, and what a node still has to compare are members of different components:
 where that is little for its size it is done exhaustively, whatever the size; else the node branches on, each member into
 two children, so that similar sets hardly get lost. The number of trees follows from the recall that is asked for. Sketches
 of one bit a token throw out unlike pairs; the links are confirmed on the full sets, from the texts.
@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from voxlake.llm.batches import RollingHash, mix, pieces
 from voxlake.llm.components import components
+from voxlake.llm.filters import bitmap_of, passes
 from voxlake.session import settle
 
 TOKENS = 128
 #: A node compares exhaustively if that takes so many pairs a member at most.
-PAIRS_A_MEMBER = 32
+PAIRS_A_MEMBER = 512
+#: Members of a node, on average, that all others of it are compared with first.
+ANCHORS = 4
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _ODD = mix(np.arange(1, TOKENS + 1, dtype="uint64")) | np.uint64(1)
@@ -112,8 +115,14 @@ def _alike(a: str, b: str, percent: int, unlike_bits: int) -> Column:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough. A pair's texts meet in one row; a popular side is split at run time."""
-    needed = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    own = texts.join(needed, "doc_id", "left_semi")
+    hashed = F.xxhash64("doc_id").alias("h")
+    needed = bitmap_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).select(hashed).distinct(), "h")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([1, 2]).filter(pa.array(passes(needed, batch.column(0).to_numpy())))
+
+    own = texts.select(hashed, "doc_id", "text").mapInArrow(likely, texts.schema)
     with_b = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -129,7 +138,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, recall: float = 1 - 1e-7) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, recall: float = 1 - 1e-6) -> DataFrame:
     """`(doc_id, n_shingles, component_id, kept)` for each row: the size of its set, the smallest id that links reach, and
     whether that is its own.
 
@@ -152,16 +161,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     members = settle(filled.join(heads, ["doc_id", "f1", "f2", "n"]).select(F.col("doc_id").alias("id"), "n", "s1", "s2", "tokens", "paths"))
     attributes = ["id", "n", "s1", "s2"]
     placed = members.select(*attributes, F.col("id").alias("component"), F.posexplode("paths").alias("tree", "node"))
-    links, level = None, 2
+    links, known, level = None, None, 2
     while True:
         sizes = settle(placed.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1"))
         crowd = settle(placed.join(sizes, "node"))
         if crowd.isEmpty():
             break
+        known = None
         side = lambda name: F.struct(*attributes, "component").alias(name)
-        pivots = crowd.where("id = pivot").select("node", side("x"))
-        stars = crowd.select("node", side("y")).join(pivots, "node").where("y.id > x.id and y.component != x.component")
-        star_pairs = settle(stars.where(_alike("x", "y", percent, unlike)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        # Every member meets the smallest one and some others, of whom a hash of the id chooses about ANCHORS a node.
+        chosen = (F.col("id") == F.col("pivot")) | (F.pmod(F.xxhash64("id", F.lit(level)), F.greatest(F.lit(1), F.expr(f"m div {ANCHORS}"))) == 0)
+        anchors = crowd.where(chosen).select("node", side("x"))
+        stars = crowd.select("node", side("y")).join(anchors, "node").where("y.id != x.id and y.component != x.component")
+        ordered = stars.where(_alike("x", "y", percent, unlike)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        star_pairs = settle(ordered.distinct())
         found = settle(_confirmed(star_pairs, rows, shingle, percent))
         links = found if links is None else links.union(found)
         known = components(links)
@@ -178,7 +191,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         # A pair of two outsiders is met twice and taken once.
         across = outside.join(named.select("node", side("y")), "node").where("x.component != y.component and (y.component = largest or x.id < y.id)")
         ordered = across.where(_alike("x", "y", percent, unlike)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        links = links.union(settle(_confirmed(settle(ordered.join(star_pairs, ["a", "b"], "left_anti")), rows, shingle, percent)))
+        rest = settle(ordered.join(star_pairs, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            more = settle(_confirmed(rest, rows, shingle, percent))
+            links = links.union(more)
+            known = None if not more.isEmpty() else known
 
         going = named.join(work.where(~small).select("node"), "node", "left_semi").select("id", "component", "tree", "node")
         if last or going.isEmpty():
@@ -193,7 +210,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if links is None:
         result = joined.withColumn("component", F.lit(None).cast(rows.schema["doc_id"].dataType))
     else:
-        result = joined.join(components(links).select(F.col("node").alias("rep"), "component"), "rep", "left")
+        known = known or components(links)
+        result = joined.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", F.when(F.col("n") == 0, F.col("doc_id")))
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
