@@ -168,7 +168,17 @@ BOOST_DOWN = (
     "scarcely", "slightly", "somewhat", "sorta",
 )
 
-# A small default lexicon (word, valence); pass a larger one where it matters.
+# What each factor of the attention score says about itself, in the order of the factors.
+DETAIL_RESOLUTION = "resolution status: "
+DETAIL_MOOD = "worst mood score %.2f"
+DETAIL_SHIFT = "mood fell by %.2f"
+DETAIL_ESCALATION = "%d escalation phrase(s)"
+DETAIL_REPEAT = "%d earlier call(s) about this issue"
+DETAIL_HANDLE_TIME = "%.1fx the median handle time"
+DETAIL_CONTRADICTION = "resolution reality check"
+
+# A small default lexicon (word, valence), with valences as in the published VADER lexicon (Hutto and Gilbert
+# 2014); pass a larger one where it matters.
 DEFAULT_LEXICON = (
     ("angry", -2.3), ("annoyed", -1.6), ("appreciate", 1.7), ("awful", -2.0), ("bad", -2.5), ("broken", -2.1),
     ("charged", -0.8), ("complaint", -1.7), ("confused", -1.3), ("disappointed", -1.8), ("excellent", 2.7),

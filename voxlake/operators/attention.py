@@ -115,7 +115,7 @@ def attention_scores(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
             F.concat(F.lit("issue "), F.coalesce(F.nullif(status, F.lit("")), F.lit("unknown"))),
             c("_resolution"),
             c("resolution_turn_index"),
-            F.concat(F.lit("resolution status: "), F.coalesce(status, F.lit("None"))),
+            F.concat(F.lit(fixed.DETAIL_RESOLUTION), F.coalesce(status, F.lit("None"))),
             True,
         ),
         _factor(
@@ -123,7 +123,7 @@ def attention_scores(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
             F.lit(fixed.FACTOR_MOOD),
             c("_mood"),
             c("worst_mood_turn_index"),
-            F.format_string("worst mood score %.2f", c("worst_mood")),
+            F.format_string(fixed.DETAIL_MOOD, c("worst_mood")),
             False,
         ),
         _factor(
@@ -131,7 +131,7 @@ def attention_scores(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
             F.lit(fixed.FACTOR_SHIFT),
             c("_shift"),
             c("shift_turn_index"),
-            F.format_string("mood fell by %.2f", F.abs(c("shift_delta"))),
+            F.format_string(fixed.DETAIL_SHIFT, F.abs(c("shift_delta"))),
             False,
         ),
         _factor(
@@ -139,7 +139,7 @@ def attention_scores(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
             F.concat(F.lit('escalation language: "'), c("escalation_phrase"), F.lit('"')),
             c("_escalation"),
             c("escalation_turn_index"),
-            F.format_string("%d escalation phrase(s)", c("escalation_count")),
+            F.format_string(fixed.DETAIL_ESCALATION, c("escalation_count")),
             True,
         ),
         _factor(
@@ -147,7 +147,7 @@ def attention_scores(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
             F.concat(tx.ordinal(c("repeat_count") + 1), F.lit(" call about this issue")),
             c("_repeat"),
             c("intent_turn_index"),
-            F.format_string("%d earlier call(s) about this issue", c("repeat_count")),
+            F.format_string(fixed.DETAIL_REPEAT, c("repeat_count")),
             False,
         ),
         _factor(
@@ -155,7 +155,7 @@ def attention_scores(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
             F.lit(fixed.FACTOR_LONG),
             c("_handle"),
             none,
-            F.format_string("%.1fx the median handle time", duration / c("median_duration")),
+            F.format_string(fixed.DETAIL_HANDLE_TIME, duration / c("median_duration")),
             False,
         ),
         _factor(
@@ -163,7 +163,7 @@ def attention_scores(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
             F.lit(fixed.FACTOR_CONTRADICTION),
             F.lit(fixed.WEIGHT_CONTRADICTION),
             c("contradiction_turn_index"),
-            F.lit("resolution reality check"),
+            F.lit(fixed.DETAIL_CONTRADICTION),
             False,
         ),
     )
