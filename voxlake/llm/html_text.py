@@ -260,8 +260,12 @@ def varied(page: str, rng: np.random.Generator) -> str:
 
 
 def fit(pages: DataFrame, *, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, seed: int = 11) -> Labeller | None:
-    """Train on at most `sample_pages` pages, the first by a seeded hash, plain and varied. None without pages."""
-    rows = pages.select(F.col(html_col).cast("string").alias("html")).where("html is not null").orderBy(F.xxhash64("html", F.lit(seed)), "html").limit(sample_pages).collect()
+    """Train on at most `sample_pages` different pages, the first by a seeded hash, plain and varied. None without pages."""
+    hashed = pages.select(F.xxhash64(F.col(html_col).cast("string"), F.lit(seed)).alias("h"), F.col(html_col).cast("string").alias("html")).where("html is not null")
+    first = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
+    # Copies are folded before anything is sent, so that as many rows as there are hashes reach the driver.
+    chosen = hashed.where(F.col("h").isin(first)).dropDuplicates(["h"]) if first else hashed.limit(0)
+    rows = sorted(chosen.collect())
     rng = np.random.default_rng(seed)
     forms = [p for r in rows for p in (r["html"], varied(r["html"], rng), varied(r["html"], rng), varied(r["html"], rng))]
     read = [b for b in map(blocks, forms) if b and len(b) < 200]
