@@ -101,7 +101,9 @@ def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -
     each = max(1, sample_rows // len(counts))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sample = sorted((r["lang"], r["text"]) for r in usable.where(draw < share[F.col("lang")]).collect())
+    # Copies of a text are drawn together; they are folded before anything is sent.
+    drawn = usable.where(draw < share[F.col("lang")]).withColumn("h", F.xxhash64("text", "lang")).dropDuplicates(["h"])
+    sample = sorted((r["lang"], r["text"]) for r in drawn.collect())
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(sample))
     return KernelClassifier([sample[i][1] for i in order], [sample[i][0] for i in order]) if sample else None
