@@ -165,12 +165,12 @@ def _across_buckets(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows as `(d1, d2, row, text)`: two hashes of id and text together, nulls told from empty, and all columns."""
+    """Rows as `(d1, d2, row, text)`: two hashes of id and text together, nulls told from empty, and all other columns."""
     missing = F.concat_ws("", F.col(doc_id).isNull().cast("string"), F.col(text).isNull().cast("string"))
     return docs.select(
         F.xxhash64(doc_id, text, missing).alias("d1"),
         F.xxhash64(F.lit(7), missing, text, doc_id).alias("d2"),
-        F.struct(*docs.columns).alias("row"),
+        F.struct(*[c for c in docs.columns if c != text]).alias("row"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
 
@@ -213,7 +213,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """Every row as `(row, n_bytes, n_removed, spans, kept, text)`: all its columns in `row`, the bytes of its text, how many of them
+    """Every row as `(row, n_bytes, n_removed, spans, kept, text)`: all its columns but the text in `row`, the bytes of its text, how many of them
     a string of `length` bytes covers that starts also anywhere else (in this or another text of the input, overlaps
     included), the maximal removed runs as ascending `(start, end)`, the remaining bytes, and these as `text`, without
     characters that were cut in two.
