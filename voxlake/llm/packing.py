@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from voxlake.llm.batches import pieces
 
 #: Pieces of text whose ids a worker remembers, in each of two generations.
-CACHE = 600_000
+CACHE = 250_000
 #: A line of letters of Latin-1 and then marks of ASCII: the tokenizer makes one word of the letters, in lower case, and one of
 #: the marks. Any other line is the third group.
 _LINE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#$%&()*+,./:;<=>?@\\^_`{|}~\[\]\"-]*)|(.*))$", re.MULTILINE)
@@ -188,7 +188,7 @@ def packed(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
             return out
 
         id_kind = None
-        for batch, texts in pieces(batches, "text", 4 << 20):
+        for batch, texts in pieces(batches, "text", 2 << 20):
             id_kind = batch.column(0).type
             out = []
             for key, ids in zip(batch.column(0).to_pylist(), encode([x.decode() for x in texts])):
