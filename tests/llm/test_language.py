@@ -57,3 +57,25 @@ def test_folds_follow_the_checksum_of_the_id(spark):
     docs = frame(spark, ROWS)
     got = {r[0]: r[1] for r in docs.select("doc_id", fold(docs["doc_id"])).collect()}
     assert all(v == zlib.crc32(str(k).encode()) % 4 for k, v in got.items())
+
+
+def test_copies_change_neither_the_sample_nor_the_languages(spark):
+    once = [(i, t, lang) for i, (_, t, lang, _) in enumerate(ROWS[:90])]
+    often = once + [(1000 + i, ROWS[0][1], "aa") for i in range(6000)] + [(9000 + i, ROWS[1][1], "bb") for i in range(3000)]
+    plain, copied = (fit(frame(spark, rows), sample_rows=30) for rows in (once, often))
+    assert plain.languages == copied.languages == sorted(PARTS) and np.array_equal(plain.weights, copied.weights)
+
+
+def test_a_language_of_one_text_in_many_copies_is_a_class(spark):
+    rows = [(i, ROWS[i % 2][1], "aa" if i % 2 == 0 else "bb") for i in range(4000)]
+    model = fit(frame(spark, rows), sample_rows=4)
+    assert model is not None and model.languages == ["aa", "bb"]
+    found = identify(frame(spark, rows[:2]), model).collect()
+    assert [r["lang_pred"] for r in found] == ["aa", "bb"]
+
+
+def test_the_pipeline_keeps_documents_when_no_language_is_labelled(spark):
+    from corpus_pipeline import language
+
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in language(spark, docs, "").collect()] == [1]

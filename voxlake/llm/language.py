@@ -15,10 +15,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxlake.llm.batches import pieces
 
-#: At most about so many labelled rows, shared evenly by the languages, are fitted.
+#: At most so many different labelled texts, shared evenly by the languages, are fitted; one a language at least.
 SAMPLE_ROWS = 2000
 LANDMARKS = 256
 RIDGE = 1e-3
@@ -93,20 +94,26 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> KernelClassifier | None:
-    """Fit on `text` and `lang`: an even, seeded sample of at most about `sample_rows` rows, which meets in the driver."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
+    """Fit on `text` and `lang`: of each language as many different texts, the first by a seeded hash and one at least.
+
+    At most `sample_rows` texts (one a language, if there are more languages) meet in the driver. Copies of a text change
+    neither the sample nor the languages. None if there is no labelled text with a letter.
+    """
+    hashed = F.xxhash64("text", "lang", F.lit(seed)).alias("h")
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", hashed)
+    languages = usable.select("lang").distinct().count()
+    if not languages:
         return None
-    each = max(1, sample_rows // len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # Copies of a text are drawn together; they are folded before anything is sent.
-    drawn = usable.where(draw < share[F.col("lang")]).withColumn("h", F.xxhash64("text", "lang")).dropDuplicates(["h"])
+    each = max(1, sample_rows // languages)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # Spark limits each task's rows before they meet
+    first = usable.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= each)
+    chosen = [r["h"] for r in first.select("h").collect()]
+    # Copies are folded before anything is sent.
+    drawn = usable.where(F.col("h").isin(chosen)).dropDuplicates(["h"])
     sample = sorted((r["lang"], r["text"]) for r in drawn.collect())
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(sample))
-    return KernelClassifier([sample[i][1] for i in order], [sample[i][0] for i in order]) if sample else None
+    return KernelClassifier([sample[i][1] for i in order], [sample[i][0] for i in order])
 
 
 def identify(docs: DataFrame, model: KernelClassifier | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
