@@ -70,3 +70,14 @@ def test_odd_pages(spark):
 def test_no_pages(spark):
     assert fit(frame(spark, [])) is None and main_text(frame(spark, []), None).collect() == []
     assert main_text(frame(spark, [(1, "<article><p>x</p></article>")]), None).collect()[0]["text"] == ""
+
+
+def test_hidden_elements_without_an_end_hide_nothing_else():
+    def texts(h):
+        return [b[1] for b in blocks(h)]
+
+    for x in ("<svg class='i'/>", "<svg/>", "<svg>", "<select name=a>", "<select-menu></select-menu>", "<template-card>", "<template>", "<noscript>", "<iframe-box>", "<script-x>", "<!-->", "<!--->", "<svg class=a><svg><text>no</text></svg>", "<script>no</script x>"):
+        assert texts(f"<article><p>a</p>{x}<p>main text</p></article>") == ["a", "main text"], x
+    for x in ("<svg><g/><svg><text>no</text></svg><text>no</text></svg>", "<select><option>no</select>", "<template><p>no</p></template >", "<NOSCRIPT><p>no</noscript>", "<!-- <svg> --!>", "<script>'<svg>'</script>", "<textarea><svg></textarea>"):
+        assert texts(f"<p>a</p>{x}<p>main text</p>") == ["a", "main text"], x
+    assert texts("<p>a</p><script>if(a<b)<p>no</p>") == ["a"]

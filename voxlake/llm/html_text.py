@@ -25,7 +25,11 @@ from voxlake.llm.batches import pieces
 SAMPLE_PAGES = 160
 PATH, WORDS, SHAPE, HIDDEN = 192, 24, 6, 14
 SIZE = PATH + WORDS + SHAPE
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|select)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>|<[a-zA-Z][^>]*>", re.S | re.I)
+#: Only the content of raw text elements goes on to the end of the page if nothing ends it.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|textarea|iframe)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>|<[a-zA-Z][^>]*>", re.S | re.I)
+#: Elements that are skipped with all they hold, where their end is there.
+_HIDDEN = frozenset("noscript template svg select".split())
+_ANY_HIDDEN = re.compile(r"<(?:noscript|template|svg|select)[\s/>]", re.I)
 _NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements inside a line of text; all others end a block. Void elements have no end.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -35,6 +39,22 @@ _NOT_MAIN = frozenset("nav header footer aside form head title button menu menub
 _MAIN = frozenset("article main content post entry story body-text articlebody".split())
 
 
+def _hidden(page: str) -> dict[int, int]:
+    """Where each hidden element starts and ends. An end belongs to the last start of its name; what has none isn't hidden."""
+    spans: dict[int, int] = {}
+    if _ANY_HIDDEN.search(page):
+        opened: dict[str, list[int]] = {x: [] for x in _HIDDEN}
+        for m in _TOKEN.finditer(page):
+            name = m[3] and m[3].lower()
+            if name in _HIDDEN:
+                if not m[2]:
+                    if name != "svg" or not m[4].endswith("/"):
+                        opened[name].append(m.start())
+                elif opened[name]:
+                    spans[opened[name].pop()] = m.end()
+    return spans
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """`(path, text, part of it in links)` of every leaf block with text; character references decoded, white space single."""
     out: list[tuple[tuple[str, ...], str, float]] = []
@@ -52,7 +72,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             text.clear()
         linked = 0
 
+    hidden = _hidden(page)
     for m in _TOKEN.finditer(page):
+        if m.start() < at:
+            continue
         if m.start() > at:
             text.append(page[at : m.start()])
             if in_link:
@@ -64,6 +87,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                 close()
             continue
         name = name.lower()
+        if m.start() in hidden:
+            at = hidden[m.start()]
+            close()
+            continue
         if name in _INLINE:
             if name == "br":
                 text.append("\n")
@@ -81,7 +108,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                 stack.pop()  # its end may be left out
             elif stack and stack[-1][0] == "p":
                 stack.pop()  # a block element ends a paragraph
-            if name not in _VOID and not m[4].endswith("/"):
+            if name not in _VOID and name not in _HIDDEN and not m[4].endswith("/"):
                 said = [x.lower() for g in _NAMES.findall(m[4]) for x in re.split(r"[\s_-]+", "".join(g))] if m[4] else []
                 stack.append((name, (name, *["." + x for x in said if x])))
     if at < len(page):
