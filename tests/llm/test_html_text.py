@@ -81,3 +81,23 @@ def test_hidden_elements_without_an_end_hide_nothing_else():
     for x in ("<svg><g/><svg><text>no</text></svg><text>no</text></svg>", "<select><option>no</select>", "<template><p>no</p></template >", "<NOSCRIPT><p>no</noscript>", "<!-- <svg> --!>", "<script>'<svg>'</script>", "<textarea><svg></textarea>"):
         assert texts(f"<p>a</p>{x}<p>main text</p>") == ["a", "main text"], x
     assert texts("<p>a</p><script>if(a<b)<p>no</p>") == ["a"]
+
+
+def test_long_pages_are_learned_from(spark):
+    rng = np.random.default_rng(5)
+    pages = [(i, page(i, rng).replace("</article>", "".join(f"<p>{' '.join(rng.choice(WORDS, 6))}</p>" for _ in range(230)) + "</article>")) for i in range(10)]
+    assert all(len(blocks(h)) > 200 for _, h in pages)
+    model = fit(frame(spark, pages[:6]))
+    got = {r["page_id"]: r["text"] for r in main_text(frame(spark, pages), model).collect()}
+    assert all(got[i] == truth(blocks(h)) for i, h in pages)
+
+
+def test_pages_without_a_main_element_teach_nothing(spark):
+    rng = np.random.default_rng(6)
+    unnamed = [(i, page(i, rng).replace("article>", "section>")) for i in range(60)]
+    kept = {r["page_id"]: r["text"] for r in main_text(frame(spark, unnamed), fit(frame(spark, unnamed))).collect()}
+    assert all(kept[i] == "\n".join(b[1] for b in blocks(h)) for i, h in unnamed)
+    named = [(100 + i, page(i, rng)) for i in range(40)]
+    alone, mixed = fit(frame(spark, named)), fit(frame(spark, named + unnamed), sample_pages=40)
+    assert all(np.array_equal(alone.w[k], mixed.w[k]) for k in alone.w)
+    assert weak_labels(blocks('<div class="body-text"><p>x</p></div><body class="text"><p>y</p>')).tolist() == [1, 0]

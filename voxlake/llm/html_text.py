@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from voxlake.llm.batches import pieces
 
 #: Pages that are fitted, at most; each is seen plain and in several changed forms.
 SAMPLE_PAGES = 160
+#: Blocks that are trained on in one go; longer pages are trained on in windows of so many.
+WINDOW = 199
 PATH, WORDS, SHAPE, HIDDEN = 192, 24, 6, 14
 SIZE = PATH + WORDS + SHAPE
 #: Only the content of raw text elements goes on to the end of the page if nothing ends it.
@@ -37,6 +39,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: What an element's name, class or id says about the text in it, for the training labels alone.
 _NOT_MAIN = frozenset("nav header footer aside form head title button menu menubar navbar sidebar ad ads advert advertisement promo sponsored banner cookie cookies notice alert newsletter subscribe comment comments reply replies related share social breadcrumb pagination login search widget".split())
 _MAIN = frozenset("article main content post entry story body-text articlebody".split())
+#: For Spark: whether any element may be a main one. A name is ended by a blank, a mark or its quote.
+_ANY_MAIN = "|".join(sorted(_MAIN))
+_SAYS_MAIN = rf"""(?i)<(?:{_ANY_MAIN})[\s/>]|(?:class|id|role|itemprop)\s*=\s*(?:"(?:[^"]*[\s_-])?(?:{_ANY_MAIN})[\s_"-]|'(?:[^']*[\s_-])?(?:{_ANY_MAIN})[\s_'-]|(?:[^\s"'>]*[_-])?(?:{_ANY_MAIN})[\s_/>-])"""
 
 
 def _hidden(page: str) -> dict[int, int]:
@@ -131,6 +136,23 @@ def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     return out
 
 
+class Windows(Sequence):
+    """The vectors of many pages and windows, with a bit for each path feature."""
+
+    def __init__(self):
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def append(self, v: np.ndarray) -> None:
+        self.kept.append((np.packbits(v[:, :PATH] > 0, axis=1), v[:, PATH:].copy()))
+
+    def __len__(self) -> int:
+        return len(self.kept)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        bits, rest = self.kept[i]
+        return np.concatenate([np.unpackbits(bits, axis=1, count=PATH), rest], axis=1, dtype="float32")
+
+
 class Labeller:
     """A bidirectional LSTM with one output a block."""
 
@@ -143,6 +165,13 @@ class Labeller:
             self.w["c" + d] = np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)  # gates: in, forget, out, cell
         self.w = {k: v.astype("float32") for k, v in self.w.items()}
 
+    @classmethod
+    def keeping_all(cls) -> Labeller:
+        """Takes every block for main text."""
+        model = cls()
+        model.w = {k: np.zeros_like(v) for k, v in model.w.items()} | {"bias": np.ones(1, "float32")}
+        return model
+
     @staticmethod
     def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Time first; the mask says where there is a block."""
@@ -206,12 +235,12 @@ class Labeller:
             grads |= {"x" + d: x.reshape(-1, SIZE).T @ flat, "h" + d: before.reshape(-1, HIDDEN).T @ flat, "c" + d: flat.sum(axis=0)}
         return loss, grads
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 30, batch: int = 16, rate: float = 0.02, seed: int = 1) -> None:
+    def fit(self, pages: Sequence[np.ndarray], labels: list[np.ndarray], epochs: int = 30, batch: int = 16, rate: float = 0.02, seed: int = 1) -> None:
         """Adam, until an epoch's loss is small."""
         rng = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         step = 0
-        by_length = np.argsort([len(p) for p in pages], kind="stable")
+        by_length = np.argsort([len(y) for y in labels], kind="stable")
         groups = [by_length[i : i + batch] for i in range(0, len(pages), batch)]
         for _ in range(epochs):
             losses = []
@@ -237,10 +266,12 @@ def weak_labels(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     """What the elements around each block say: inside a main element, and since then in none of another kind."""
     out = np.zeros(len(page), "float32")
     for i, (path, _, _) in enumerate(page):
-        main = False
-        for x in path:
-            x = x.removeprefix(".")
-            main = False if x in _NOT_MAIN else True if x in _MAIN else main
+        main, before = False, ""
+        for said in path:
+            x = said.removeprefix(".")
+            both = (before + said).replace(".", "-")[1:]  # `body-text` is two names
+            main = False if x in _NOT_MAIN else True if x in _MAIN or both in _MAIN else main
+            before = said
             if x in _NOT_MAIN:
                 break
         out[i] = main
@@ -287,19 +318,31 @@ def varied(page: str, rng: np.random.Generator) -> str:
 
 
 def fit(pages: DataFrame, *, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, seed: int = 11) -> Labeller | None:
-    """Train on at most `sample_pages` different pages, the first by a seeded hash, plain and varied. None without pages."""
+    """Train on at most `sample_pages` different pages with a main element, the first by a seeded hash, plain and varied.
+
+    Long pages are trained on whole, in windows. None without pages; if no page has a main element there is nothing to
+    learn from, and the labeller keeps every block.
+    """
     hashed = pages.select(F.xxhash64(F.col(html_col).cast("string"), F.lit(seed)).alias("h"), F.col(html_col).cast("string").alias("html")).where("html is not null")
-    first = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample_pages).collect()]
+    first = [r["h"] for r in hashed.where(F.col("html").rlike(_SAYS_MAIN)).select("h").distinct().orderBy("h").limit(sample_pages).collect()]
     # Copies are folded before anything is sent, so that as many rows as there are hashes reach the driver.
-    chosen = hashed.where(F.col("h").isin(first)).dropDuplicates(["h"]) if first else hashed.limit(0)
-    rows = sorted(chosen.collect())
+    rows = sorted(hashed.where(F.col("h").isin(first)).dropDuplicates(["h"]).collect()) if first else []
     rng = np.random.default_rng(seed)
-    forms = [p for r in rows for p in (r["html"], varied(r["html"], rng), varied(r["html"], rng), varied(r["html"], rng))]
-    read = [b for b in map(blocks, forms) if b and len(b) < 200]
-    if not read:
-        return None
+    seen, labels = Windows(), []
+    for r in rows:
+        for form in range(4):
+            read = blocks(varied(r["html"], rng) if form else r["html"])
+            main = weak_labels(read)
+            if not main.any():
+                continue
+            v = vectors(read)
+            for start in range(0, len(read), WINDOW):
+                seen.append(v[start : start + WINDOW])
+                labels.append(main[start : start + WINDOW])
+    if not labels:
+        return None if hashed.isEmpty() else Labeller.keeping_all()
     model = Labeller()
-    model.fit([vectors(b) for b in read], [weak_labels(b) for b in read])
+    model.fit(seen, labels)
     return model
 
 
