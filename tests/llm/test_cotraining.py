@@ -60,3 +60,20 @@ def test_shapes_and_calibration():
     p = 1 / (1 + np.exp(-(2 * x - 1)))
     a, b = _line(x, 1000 * p, 1000 * (1 - p))
     assert abs(a - 2) < 0.01 and abs(b + 1) < 0.01
+
+
+def test_vocabulary_alone_tells_apart(spark):
+    """All words are five small letters and the metadata are the same; a third of a bad document's words are of another kind."""
+    usual, bad = (["".join(rng.choice(letters) for _ in range(5)) for _ in range(n)] for letters, n in (("abcdefgh", 200), ("mnopqrst", 40)))
+    rows = [(i, " ".join(rng.choice(bad if i % 3 == 0 and rng.random() < 0.33 else usual) for _ in range(60)), "xx", "s", 100) for i in range(600)]
+    out = quality_scores(docs(spark, rows), labels(spark, range(0, 300))).collect()
+    assert sum(r["kept"] == (r["doc_id"] % 3 != 0) for r in out) >= 590
+
+
+def test_words_are_coded_and_read_again():
+    from voxlake.llm.cotraining import WORDS, hashed_words, word_buckets
+
+    texts = [b"", b"one", "Zwei wörter, zwei Wörter".encode(), b"  ", b" ".join(b"w%d" % i for i in range(5000))]
+    row, bucket = word_buckets([hashed_words(t) for t in texts])
+    assert np.bincount(row, minlength=5).tolist()[:4] == [0, 1, 4, 0] and 9000 < (row == 4).sum() < 9999
+    assert bucket.min() >= 0 and bucket.max() < WORDS and all((np.diff(bucket[row == r]) > 0).all() for r in range(5))

@@ -1,6 +1,6 @@
 """Quality scores by co-training a text view and a metadata view.
 
-The text view sees the shapes of a document's words, the metadata view its language, source and length. Each is a naive
+The text view sees a document's words, pairs of neighbouring words and the shapes of words, the metadata view its language, source and length. Each is a naive
 Bayes classifier, whose counts are sums over all rows and are made by Spark. In every round each view names the rows
 without a label that it is sure of, and the other view learns from those too. Views are calibrated on a fold of labelled
 rows that neither learned from, and their calibrated odds together score every document.
@@ -22,6 +22,8 @@ from voxlake.session import settle
 
 ROUNDS, SURE = 3, 0.97
 SHAPES, FACTS = 2048, 512
+#: Buckets of words and word pairs; a word that fewer documents than RARE have held says little.
+WORDS, RARE = 1 << 18, 4
 #: Every so many-th labelled row, by a hash of its id, calibrates and is not learned from.
 CALIBRATE = 4
 #: A document of so many features counts half of what they say on average.
@@ -29,6 +31,30 @@ FEW = 4
 _BINS, _WIDTH = 800, 0.025
 #: A letter is A or a, a digit 0; blanks of all kinds are one; marks stand for themselves.
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else 32 if c <= 32 else c for c in range(256))
+#: Small letters, digits and bytes beyond ASCII are in words; all else is blank.
+_WORD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
+_FAR = 65535
+
+
+def hashed_words(text: bytes) -> bytes:
+    """The buckets of all words and pairs of neighbours, each once, in order: the steps between them in two bytes each."""
+    h = np.array([zlib.crc32(w) for w in text.translate(_WORD).split()], dtype="uint64")
+    pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(46)
+    steps = np.diff(np.unique(np.concatenate([h % np.uint64(WORDS), pairs])).astype("int64"), prepend=0)
+    far = steps // _FAR  # _FAR stands for a step that goes on
+    out = np.full(len(steps) + int(far.sum()), _FAR, dtype="<u2")
+    out[np.cumsum(far + 1) - 1] = steps % _FAR
+    return out.tobytes()
+
+
+def word_buckets(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the bucket of every word and pair of the rows."""
+    steps = np.frombuffer(b"".join(coded), "<u2").astype("int64")
+    row = np.repeat(np.arange(len(coded)), [len(x) // 2 for x in coded])
+    sums = np.concatenate([[0], np.cumsum(steps)])
+    start = np.cumsum([0, *[len(x) // 2 for x in coded]])[:-1]
+    last = steps != _FAR
+    return row[last], (sums[1:] - sums[start][row])[last]
 
 
 def word_shapes(text: bytes) -> Counter:
@@ -59,11 +85,15 @@ class Views:
         for view, size in ((0, SHAPES), (1, FACTS)):
             bad, good = (counts.get((view, c), np.zeros(size)) + 0.5 for c in (0, 1))
             self.odds.append(np.log(good / good.sum()) - np.log(bad / bad.sum()))
+        bad, good = (counts.get((2, c), np.zeros(WORDS + 1)) for c in (0, 1))  # documents with the word, and at the end all
+        n_bad, n_good = bad[-1] + 0.5, good[-1] + 0.5
+        shares = [(x[:-1] + RARE * n / (n_bad + n_good)) / n for x, n in ((bad, n_bad), (good, n_good))]
+        self.word_odds = (np.log(shares[1]) - np.log(shares[0])).astype("float32")
         self.lines = [(1.0, 0.0), (1.0, 0.0)]
         self.prior = 0.0
 
-    def raw(self, batch: pa.RecordBatch) -> np.ndarray:
-        """A row for each document: the mean log odds of its features in each view; none is 0."""
+    def raw(self, batch: pa.RecordBatch, coded: list[bytes]) -> np.ndarray:
+        """A row for each document: the mean log odds of its features in each view; none is 0. Those of words and shapes add up."""
         out = np.zeros((batch.num_rows, 2))
         for view, (i, n) in enumerate((("shape", "shape_n"), ("fact", "fact_n"))):
             ids, sizes = batch.column(i), np.diff(batch.column(i).offsets.to_numpy())
@@ -72,6 +102,8 @@ class Views:
             total = np.bincount(row, weight, batch.num_rows)
             value = np.bincount(row, weight * self.odds[view][ids.flatten().to_numpy()], batch.num_rows)
             out[:, view] = value / (total + FEW)
+        row, bucket = word_buckets(coded)
+        out[:, 0] += np.bincount(row, self.word_odds[bucket], batch.num_rows) / (np.bincount(row, minlength=batch.num_rows) + FEW)
         return out
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
@@ -105,12 +137,12 @@ def features(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, qual
             ids = [[zlib.crc32(k) % SHAPES for k in s] for s in shapes]
             facts = [_facts(*x) for x in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)])]
             ints = pa.list_(pa.int32())
-            columns = [batch.column(0), pa.array(ids, ints), pa.array([list(s.values()) for s in shapes], ints), pa.array(facts, ints), pa.array([[1] * len(x) for x in facts], ints)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shape", "shape_n", "fact", "fact_n"])
+            columns = [batch.column(0), pa.array(ids, ints), pa.array([list(s.values()) for s in shapes], ints), pa.array(facts, ints), pa.array([[1] * len(x) for x in facts], ints), pa.array([hashed_words(x) for x in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shape", "shape_n", "fact", "fact_n", "words"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))])
-    seen = named.mapInArrow(see, f"doc_id {kind}, shape array<int>, shape_n array<int>, fact array<int>, fact_n array<int>")
+    seen = named.mapInArrow(see, f"doc_id {kind}, shape array<int>, shape_n array<int>, fact array<int>, fact_n array<int>, words binary")
     known = labels.where(F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.avg(quality) >= 0.5).cast("int").alias("label"))
     return settle(seen.join(known, "doc_id", "left").withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)) == 0))
 
@@ -119,15 +151,13 @@ def _learn(rows: DataFrame, views: Views | None) -> Views:
     """Counts over all rows: labels teach both views, what one view is sure of teaches the other."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {(v, c): np.zeros(n) for v, n in ((0, SHAPES), (1, FACTS)) for c in (0, 1)}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        totals = {(v, c): np.zeros(n) for v, n in ((0, SHAPES), (1, FACTS), (2, WORDS + 1)) for c in (0, 1)}
+        for batch, coded in pieces(batches, "words"):
             label = batch.column("label").fill_null(-1).to_numpy()
             own = np.where(batch.column("calibrates").to_numpy(zero_copy_only=False), -2, label)
             told = np.stack([own, own])
             if views is not None:
-                odds = views.calibrated(views.raw(batch))
+                odds = views.calibrated(views.raw(batch, coded))
                 limit = np.log(SURE / (1 - SURE))
                 for v in (0, 1):
                     other = odds[:, 1 - v]
@@ -139,21 +169,33 @@ def _learn(rows: DataFrame, views: Views | None) -> Views:
                 for c in (0, 1):
                     mine = told[v][row] == c
                     totals[v, c] += np.bincount(ids[mine], share[mine], len(totals[v, c]))
+            row, bucket = word_buckets(coded)
+            for c in (0, 1):
+                mine = told[0] == c
+                totals[2, c] += np.bincount(bucket[mine[row]], minlength=WORDS + 1)
+                totals[2, c][WORDS] += mine.sum()
         for (v, c), x in totals.items():
             used = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), v)), pa.array(np.full(len(used), c)), pa.array(used), pa.array(x[used])], ["view", "label", "feature", "n"])
 
-    sums = rows.mapInArrow(count, "view long, label long, feature long, n double").groupBy("view", "label", "feature").agg(F.sum("n").alias("n"))
+    # Few tasks that stream over many rows: each gives as many sums as there are features.
+    few = rows.coalesce(max(2, rows.sparkSession.sparkContext.defaultParallelism))
+    sums = few.mapInArrow(count, "view long, label long, feature long, n double").groupBy("view", "label", "feature").agg(F.sum("n").alias("n"))
     counts: dict[tuple[int, int], np.ndarray] = {}
-    for r in sums.collect():  # at most two numbers for each feature
-        counts.setdefault((r["view"], r["label"]), np.zeros(SHAPES if r["view"] == 0 else FACTS))[r["feature"]] = r["n"]
+    found = sums.toArrow()  # at most two numbers for each feature
+    view, label, feature, n = (found.column(i).to_numpy() for i in range(4))
+    for v, size in ((0, SHAPES), (1, FACTS), (2, WORDS + 1)):
+        for c in (0, 1):
+            mine = (view == v) & (label == c)
+            counts[v, c] = np.zeros(size)
+            counts[v, c][feature[mine]] = n[mine]
     return Views(counts)
 
 
 def _calibrate(rows: DataFrame, views: Views) -> None:
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.clip(np.round(views.raw(batch) / _WIDTH), -_BINS, _BINS).astype("int64")
+        for batch, coded in pieces(batches, "words"):
+            at = np.clip(np.round(views.raw(batch, coded) / _WIDTH), -_BINS, _BINS).astype("int64")
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(at[:, 0]), pa.array(at[:, 1])], ["label", "b0", "b1"])
 
     found = rows.where("calibrates and label is not null").mapInArrow(bins, "label int, b0 long, b1 long")
@@ -173,7 +215,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     and whether the last is at least one half.
 
     Whole texts are seen. `lang`, `source` and `n_chars` are used where there are such columns; nulls are values of their
-    own. A null or empty text has no shapes, so the text view says only what is usual. A document with several labels has
+    own. A null or empty text has no words, so the text view says only what is usual. A document with several labels has
     their majority, good in a tie; repeated rows are scored alike and each counts; a row without an id has no label.
     Without labels of both kinds nothing is told apart and everything is kept. An empty table gives an empty one.
     """
@@ -184,8 +226,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
         _calibrate(rows, views)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = 1 / (1 + np.exp(-np.clip(views.calibrated(views.raw(batch)), -30, 30)))
+        for batch, coded in pieces(batches, "words"):
+            p = 1 / (1 + np.exp(-np.clip(views.calibrated(views.raw(batch, coded)), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(p[:, i]) for i in range(3)], pa.array(p[:, 2] >= 0.5)], ["doc_id", "p_content", "p_metadata", "score", "kept"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
