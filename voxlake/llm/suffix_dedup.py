@@ -1,4 +1,4 @@
-"""Removal of long byte strings that repeat anywhere in the corpus, by sorting suffixes in range-partitioned buckets.
+"""Removal of long byte strings that repeat anywhere in the corpus, by hashes of runs and, for the rest, by sorting suffixes by keys.
 
 A string of `length` bytes repeats if the suffixes that start with it are neighbours in the sorted order. Two suffixes can be
 that only if they share a leading token: the piece of `GRAM` bytes with the smallest hash among the first `length` bytes.
@@ -7,8 +7,8 @@ Suffixes in a row that have the same token at the same place form a run, which i
 1. Tokens are counted; runs whose token is met once hold nothing that repeats.
 2. A run that occurs as a whole again (token, place and a hash of all its bytes) repeats from end to end.
 3. The bytes of the other runs are range-partitioned by token with Spark's sampled splitters. A bucket sorts the suffixes of
-   its runs by multikey quicksort (tokens and places first, then bytes, then hashes of the longer rest) and drops what
-   stands alone at each key; what is left repeats. Buckets share no token, except those of
+   its runs key by key with lexsort (token, place, 16 bytes, then two hashes of the rest) and drops what stands alone at
+   each key; what is left repeats. No order of suffixes by all their bytes comes about. Buckets share no token, except those of
 4. tokens with very many runs: their suffixes are spread over all buckets by the whole key, and counted across them.
 """
 
@@ -79,7 +79,7 @@ def _all_runs(docs: DataFrame, length: int, gram: int, tokens: Broadcast | None)
 
 
 def repeated_in_sorted_order(texts: list[bytes], token: np.ndarray, lead: np.ndarray, length: int) -> list[np.ndarray]:
-    """For the suffixes of each run (its text less `length` - 1 bytes) whether they repeat, by multikey quicksort."""
+    """For the suffixes of each run (its text less `length` - 1 bytes) whether they repeat, by lexsort key by key."""
     data = b"".join(texts) + bytes(16)
     size = np.array([len(t) for t in texts])
     many = size - length + 1
