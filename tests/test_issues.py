@@ -56,10 +56,46 @@ def test_components_equal_union_find(spark, rows):
     assert got == {i: find(i) for i in range(len(x))}
 
 
-def test_chain_of_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "src int, dst int")
-    got = {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
-    assert set(got.values()) == {0, 100} and len(got) == 63
+def shapes():
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(500).tolist()
+    path, star, ring, hub = ids[:100], ids[100:200], ids[200:250], ids[250:]
+    links = list(zip(path, path[1:])) + [(star[0], x) for x in star[1:]] + list(zip(ring, ring[1:] + ring[:1]))
+    links += [(hub[0], x) for x in hub[1:225]] + list(zip(hub[224:], hub[225:])) + [(5000, 5000)]
+    return links, {x: min(part) for part in (path, star, ring, hub) for x in part}
+
+
+@pytest.mark.parametrize(("finish", "kind"), [(0, "long"), (100, "string"), (1 << 18, "string")])
+def test_components_of_paths_stars_rings_and_hubs(spark, finish, kind):
+    links, want = shapes()
+    if kind == "string":
+        links = [(f"{a:05d}", f"{b:05d}") for a, b in links]
+        want = {f"{a:05d}": f"{b:05d}" for a, b in want.items()}
+    edges = spark.createDataFrame(links, f"src {kind}, dst {kind}").repartition(3)
+    assert {r["node"]: r["component"] for r in graph.connected_components(edges, finish).collect()} == want
+
+
+def test_components_without_edges(spark):
+    assert graph.connected_components(spark.createDataFrame([(1, 1)], "src long, dst long")).collect() == []
+
+
+def test_a_shuffled_path_takes_few_rounds(spark):
+    n = 100_000
+    ids = np.random.default_rng(8).permutation(n).tolist()
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+    rounds = []
+    found = graph.connected_components(edges, 1000, rounds)
+    assert found.count() == n and found.where("component != 0").isEmpty()
+    assert all(b < 0.7 * a for a, b in zip(rounds, rounds[1:]))  # so the rest takes 20 rounds more at most
+
+
+def test_more_links_merge_known_components(spark):
+    links, want = shapes()
+    frame_of = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    known = graph.connected_components(frame_of(links[::2]))
+    found = graph.merged_components(known, frame_of(links[1::2] + [(7000, 7001)]))
+    assert {r["node"]: r["component"] for r in found.collect() if r["node"] < 5000} == want
+    assert {r["node"]: r["component"] for r in found.where("node > 5000").collect()} == {7000: 7000, 7001: 7000}
 
 
 @pytest.fixture(scope="module")

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from voxlake.functions.similarity import unit
 from voxlake.session import settle
@@ -146,23 +148,76 @@ def spanning_edges(vectors: DataFrame, min_cosine: float, block_rows: int = 2048
     return tiles.groupBy("cell", "tile").applyInPandas(forest, f"src {kind}, dst {kind}, cosine double").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: So many edges, in codes of 8 bytes, are few enough for one task to finish.
+FINISH_EDGES = 1 << 18
+
+
+def _whole_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of one task: each node takes the least label around it and then that label's own."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    ends = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
+    nodes, codes = ends.dictionary, ends.indices.to_numpy()
+    a, b = codes[: table.num_rows], codes[table.num_rows :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        following = label.copy()
+        for end in (a, b):
+            np.minimum.at(following, end, low)
+            np.minimum.at(following, label[end], low)
+        following = following[following]
+        if (following == label).all():
+            break
+        label = following
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], ["node", "root"])
+
+
+def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES, rounds: list[int] | None = None) -> DataFrame:
     """`(node, component)` with component = smallest node reachable. In: `src, dst`, any comparable type; loops don't count.
 
-    Each round gives a node the smallest label around it and then that label's own label, so paths shorten by more than
-    half. Minima are combined before the shuffle, and every join is between two tables that are read afresh from reliable
-    checkpoints, so that a node with very many edges is split at run time.
+    Contraction: in each round a seeded hash orders the nodes, every node joins the least of its closed neighbourhood, and
+    the edges are renamed to these representatives and made distinct, so that a constant share of the nodes goes whatever
+    the shape of the graph. The number of rounds grows with the logarithm of the number of nodes. Minima are combined
+    before the shuffle, and joins read both sides from reliable checkpoints, so that a node with very many edges is split
+    at run time. The last `finish_edges` edges are finished in one task. `rounds` takes the number of edges of each round.
     """
-    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a != b")
-    both = settle(pairs.union(pairs.select("b", "a")).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    state = lambda df: df.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
-    before = state(labels)
-    while True:
-        around = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "component")
-        lowest = settle(around.union(labels).groupBy("node").agg(F.min("component").alias("component")))
-        if state(lowest) == before:
-            return lowest
-        upper = lowest.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-        labels = settle(lowest.join(upper, F.col("component") == F.col("_node")).select("node", F.col("_component").alias("component")))
-        before = state(labels)
+    kind = edges.schema["src"].dataType
+    src, dst = F.col("src"), F.col("dst")
+    left = settle(edges.where("src != dst").select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct())
+    steps = []
+    while n := left.count():
+        if rounds is not None:
+            rounds.append(n)
+        if n <= finish_edges and not isinstance(kind, (StructType, ArrayType)):
+            steps.append(settle(left.coalesce(1).mapInArrow(_whole_components, StructType().add("node", kind).add("root", kind))))
+            break
+        order = lambda c: F.xxhash64(F.lit(len(steps)), c)
+        around = left.union(left.select("b", "a")).groupBy("a").agg(F.min_by("b", order("b")).alias("root"), F.min(order("b")).alias("least"))
+        step = settle(around.select(F.col("a").alias("node"), F.when(F.col("least") < order("a"), F.col("root")).otherwise(F.col("a")).alias("root")))
+        at = lambda end: step.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        renamed = left.join(at("a"), "a").join(at("b"), "b").where("root_a != root_b")
+        least, greatest = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
+        left = settle(renamed.select(least.alias("a"), greatest.alias("b")).distinct())
+        steps.append(step)
+    if not steps:
+        return left.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    roots = steps.pop()
+    for step in reversed(steps):
+        upper = roots.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        roots = settle(step.join(upper, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
+    smallest = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return settle(roots.join(smallest, "root").select("node", "component"))
+
+
+def merged_components(known: DataFrame, links: DataFrame) -> DataFrame:
+    """`known`, as `connected_components` gives it, after more links `src, dst`: only these are contracted, by component."""
+    at = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
+    named = links.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    named = settle(named.select("src", "dst", F.coalesce("component_src", "src").alias("a"), F.coalesce("component_dst", "dst").alias("b")))
+    joined = connected_components(named.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    new = named.select(F.col("src").alias("node"), F.col("a").alias("component")).union(named.select("dst", "b")).distinct()
+    nodes = known.unionByName(new.join(known, "node", "left_anti"))
+    upper = joined.select(F.col("node").alias("component"), F.col("component").alias("last"))
+    return settle(nodes.join(upper, "component", "left").select("node", F.coalesce("last", "component").alias("component")))
