@@ -50,6 +50,10 @@ class PairRanks:
         # Of a pair that is listed twice the later rank counts.
         self.rank = len(keys) - 1 - np.unique(keys[::-1], return_index=True)[1].astype("int32")
         self.keys = keys[self.rank]
+        # Whether no product leads to a pair of a lower rank than its own, as where the ranks were learned one by one.
+        made = np.full(1 + max([0, *vocabulary.values()]), -1)
+        made[self.product] = np.arange(len(keys))
+        self.rising = bool((np.maximum(made[self.left], made[self.right]) < np.arange(len(keys))).all())
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype("int64") << 32 | right
@@ -60,7 +64,12 @@ class PairRanks:
 
 
 def merge_all(symbols: np.ndarray, last: np.ndarray, pairs: PairRanks) -> np.ndarray:
-    """Merge the symbols (in place) of all words, whose last ones are flagged; returns which positions are left."""
+    """Merge the symbols (in place) of all words, whose last ones are flagged; returns which positions are left.
+
+    A word merges its pair of the lowest rank first, the leftmost of equal ones. Where ranks rise from pair to product, all
+    occurrences of a pair can go at once; else a word gives one at a time.
+    """
+    word = None if pairs.rising else np.cumsum(last) - last
     n = len(symbols)
     following, before, last = np.arange(1, n + 1), np.arange(-1, n - 1), last.copy()
     rank = np.full(n, _NONE)
@@ -94,7 +103,14 @@ def merge_all(symbols: np.ndarray, last: np.ndarray, pairs: PairRanks) -> np.nda
         at = at[rank[at] == r]
         if not len(at):
             continue
-        if left[r] == right[r] and len(at) > 1:  # of overlapping ones every second, from the left
+        if word is not None:
+            at = np.sort(at)
+            first = np.concatenate([[True], word[at[1:]] != word[at[:-1]]])
+            if not first.all():
+                index[r] = [at[~first]]
+                heapq.heappush(active, r)
+            at = at[first]
+        elif left[r] == right[r] and len(at) > 1:  # of overlapping ones every second, from the left
             at = np.sort(at)
             head = np.concatenate([[True], following[at[:-1]] != at[1:]])
             run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))

@@ -38,6 +38,7 @@ class Layout:
     dims: int
     largest: float
     scale: int
+    window: int = WINDOW
 
     @property
     def stored(self) -> str:
@@ -93,9 +94,9 @@ def _padded(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def _windows(angles: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, ...]:
+def _windows(angles: np.ndarray, norms: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Least and greatest angles and norms of each window of consecutive rows."""
-    at = np.arange(0, len(norms), WINDOW)
+    at = np.arange(0, len(norms), size)
     return np.minimum.reduceat(angles, at), np.maximum.reduceat(angles, at), np.minimum.reduceat(norms, at), np.maximum.reduceat(norms, at)
 
 
@@ -187,12 +188,12 @@ def _find_positives(rows: DataFrame, block: Block, layout: Layout, size: int) ->
                 first, end = block.of_label(labels[a])
                 for c in range(first, end, ANCHORS_AT_ONCE):
                     d = min(end, c + ANCHORS_AT_ONCE)
-                    _, upper = bounds(block.angles[c:d], norms[c:d], _windows(angles[a:b], _norms(vectors[a:b])))
-                    for w, at in enumerate(range(a, b, WINDOW)):
+                    _, upper = bounds(block.angles[c:d], norms[c:d], _windows(angles[a:b], _norms(vectors[a:b]), layout.window))
+                    for w, at in enumerate(range(a, b, layout.window)):
                         open_ = np.flatnonzero(upper[:, w] >= best.needed[c:d]) + c
                         if not len(open_):
                             continue
-                        to = min(b, at + WINDOW)
+                        to = min(b, at + layout.window)
                         scores = _scored(layout, numbers[open_], layout.numbers(vectors[at:to]))
                         i, j = np.nonzero((scores >= best.needed[open_][:, None]) & (block.ids[open_][:, None] != ids[None, at:to]))
                         best.add(open_[i], scores[i, j], ids[at + j])
@@ -201,8 +202,8 @@ def _find_positives(rows: DataFrame, block: Block, layout: Layout, size: int) ->
     return rows.mapInArrow(search, "slot long, score long, id long")
 
 
-def _find_negatives(rows: DataFrame, block: Block, positives: np.ndarray, layout: Layout, size: int, window: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """`(slot, score, id)` with slot = anchor * positives + number of the positive: rows of other labels in its window.
+def _find_negatives(rows: DataFrame, block: Block, positives: np.ndarray, layout: Layout, size: int, span: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """`(slot, score, id)` with slot = anchor * positives + number of the positive: rows of other labels in its span of scores.
 
     `positives` holds the scores (anchors x positives), the least long where there is none.
     """
@@ -213,19 +214,19 @@ def _find_negatives(rows: DataFrame, block: Block, positives: np.ndarray, layout
         norms, numbers = _norms(block.vectors), layout.numbers(block.vectors)
         k = positives.shape[1]
         none = positives == np.iinfo("int64").min
-        low, high = window(np.where(none, 0, positives))
+        low, high = span(np.where(none, 0, positives))
         low, high = np.where(none, np.iinfo("int64").max, low), np.where(none, np.iinfo("int64").min, high)
         best = Best(size, low.ravel())
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, labels, vectors, angles = _parsed(batch, layout)
-            spans = _windows(angles, _norms(vectors))
+            spans = _windows(angles, _norms(vectors), layout.window)
             for c in range(0, len(norms), ANCHORS_AT_ONCE):
                 d = min(len(norms), c + ANCHORS_AT_ONCE)
                 lower, upper = bounds(block.angles[c:d], norms[c:d], spans)
-                for w, at in enumerate(range(0, len(ids), WINDOW)):
-                    to = min(len(ids), at + WINDOW)
+                for w, at in enumerate(range(0, len(ids), layout.window)):
+                    to = min(len(ids), at + layout.window)
                     needed = best.needed.reshape(-1, k)[c:d]
                     overlap = (upper[:, w, None] >= needed) & (lower[:, w, None] <= high[c:d]) & (needed <= high[c:d])
                     if labels[at] == labels[to - 1] == labels[at:to].min() == labels[at:to].max():
@@ -303,6 +304,8 @@ def hard_negatives(
     negatives: int = 3,
     least: int = 50,
     most: int = 95,
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """`(anchor_id, positive_id, rank, negative_id, positive_score, negative_score)` for the rows where `anchor` holds.
 
@@ -324,11 +327,11 @@ def hard_negatives(
     out = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if shape["dims"] is None:
         return rows.sparkSession.createDataFrame([], out)
-    layout = Layout(max(1, shape["dims"]), (shape["largest"] or 0.0) * scale + 1, scale)
+    layout = Layout(max(1, shape["dims"]), (shape["largest"] or 0.0) * scale + 1, scale, window)
     stored = stored_angles(kept, layout, _directions(kept, layout))
 
     anchors = stored.where("anchor")
-    limit = max(1, BLOCK_BYTES // (8 * layout.dims))
+    limit = max(1, block_bytes // (8 * layout.dims))
     count = -(-2 * anchors.count() // limit)
     while count:  # blocks by a hash of the id, until the largest keeps to the limit
         number = F.pmod(F.xxhash64("id"), F.lit(count))
@@ -336,7 +339,7 @@ def hard_negatives(
             break
         count *= 2
 
-    window = lambda p: (-(-least * p // 100), most * p // 100)
+    span = lambda p: (-(-least * p // 100), most * p // 100)
     results = None
     for i in range(count):
         table = anchors.where(F.pmod(F.xxhash64("id"), F.lit(count)) == i).orderBy("label", "id").toArrow().combine_chunks()
@@ -349,7 +352,7 @@ def hard_negatives(
         scores[slot, rank] = found.column("score").to_numpy()
         partners = np.zeros_like(scores)
         partners[slot, rank] = found.column("id").to_numpy()
-        near = _first(_find_negatives(stored, block, scores, layout, negatives, window), negatives)
+        near = _first(_find_negatives(stored, block, scores, layout, negatives, span), negatives)
         named = rows.sparkSession.sparkContext.broadcast((block.ids, partners, scores))
 
         def name(batches: Iterator[pa.RecordBatch], named=named) -> Iterator[pa.RecordBatch]:

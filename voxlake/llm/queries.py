@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm import sql
+from voxlake.llm.bpe import decoded, encoded
+from voxlake.llm.collocations import collocations
 from voxlake.llm.cotraining import quality_scores
 from voxlake.llm.decontaminate import contamination
 from voxlake.llm.fingerprints import fingerprints
+from voxlake.llm.hard_negatives import hard_negatives
 from voxlake.llm.html_text import fit as fit_labeller
 from voxlake.llm.html_text import main_text
 from voxlake.llm.language import fit, fold, identify
@@ -131,6 +134,28 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(pages, fit_labeller(pages)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents to ids and back, as digests."""
+    path = word_tokenizer()
+    return decoded(encoded(_table(spark, sf_dir, "documents"), path), path).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive, under labels of which a part is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
@@ -142,5 +167,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
+    "op11_collocations": op11_collocations,
+    "op12_bpe": op12_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 SQL: dict[str, str] = sql.SQL

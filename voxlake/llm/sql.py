@@ -57,4 +57,46 @@ select page_id, n as payload_bytes,
   if(page_id = head, 'response', 'revisit') as record_type, if(page_id = head, null, head) as refers_to
 from bits join k using (hex)"""
 
-SQL = {"op1_decontamination": OP1, "op2_near_dedup": near_dedup("documents", 2), "op9_warc": OP9}
+OP11 = f"""
+with cut as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_ASCII_LOWER.format("text")}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from cut),
+total as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+f as (
+  select lang, m, p, count(*) as f from (
+    select lang, m, w[i : i + m - 1] as p from (
+      select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (select unnest(range(1, 6)) as m)))
+  group by all having count(*) >= 100),
+cuts as (select lang, m, p, f as a, unnest(range(1, m)) as k from f where m > 1),
+scored as (
+  select c.lang, c.m, c.p, a, k, x.f as l, y.f as r, n, (1000::hugeint * a * n) // (x.f::hugeint * y.f) as score
+  from cuts c join f x on c.lang = x.lang and x.p = c.p[1 : k] join f y on c.lang = y.lang and y.p = c.p[k + 1 : c.m] join total t on c.lang = t.lang),
+best as (select * from scored qualify row_number() over (partition by lang, p order by score, k) = 1),
+longer as (
+  select lang, p, max(f) as f from (select lang, p[1 : m - 1] as p, f from f where m > 2 union all select lang, p[2 : m] as p, f from f where m > 2)
+  group by all),
+kept as (
+  select b.lang, array_to_string(b.p, ' ') as phrase, a, l, r, n, cast(score as bigint) as score
+  from best b left join longer o on b.lang = o.lang and b.p = o.p where o.f is null or 100 * o.f < 100 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept qualify rank <= 2000"""
+
+OP13 = """
+with e as (
+  select vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+  from embeddings
+  where label is not null and embedding is not null and vec_id is not null and coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)),
+s as (
+  select a.vec_id as anchor_id, e.vec_id, a.label = e.label as same,
+    cast(list_dot_product(cast(a.q as double[]), cast(e.q as double[])) as bigint) as score
+  from e a join e on a.vec_id % 50 = 0 and a.vec_id <> e.vec_id),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select p.*, vec_id as negative_id, score as negative_score
+  from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id) as int) as rank,
+  negative_id, positive_score, negative_score
+from n qualify rank <= 3"""
+
+SQL = {"op11_collocations": OP11, "op13_hard_negatives": OP13, "op1_decontamination": OP1, "op2_near_dedup": near_dedup("documents", 2), "op9_warc": OP9}
