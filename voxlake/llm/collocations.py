@@ -19,14 +19,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.llm.batches import RollingHash, mix, pieces
+from voxlake.llm.batches import CHUNK_BYTES, RollingHash, mix, pieces
 from voxlake.llm.filters import bitmap_of, passes
 from voxlake.session import settle
 
 #: Bytes of text that are counted together before they leave a task.
 SLICE_BYTES = 4 << 20
 #: The first words opened occur so many times the least count at most; each further round opens so many times more.
-OPENING = 8
+OPENING = 64
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _BLANK, _BREAK = 1, 2
 _CLASS = np.zeros(256, "uint8")
@@ -42,14 +42,27 @@ class _Words:
 
     def __init__(self, texts: list[bytes], langs: list[str]):
         self.data = b"\n".join(texts).lower() + b"\n"
-        kind = _CLASS[np.frombuffer(self.data, "uint8")]
+        raw = np.frombuffer(self.data, "uint8")
+        kind = _CLASS[raw]
         edges = np.diff(np.concatenate([[True], kind > 0]).astype("int8"))
         self.start, self.end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
         self.piece = np.cumsum(kind == _BREAK)[self.start]
         self.text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.start, "right")
-        named = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in set(langs)}
-        salt = np.array([named[x] for x in langs], "uint64")
-        self.hash = mix(RollingHash(self.data).of(self.start, self.end) + salt[self.text]) if len(self.start) else np.zeros(0, "uint64")
+        self.names, self.lang = np.unique(np.array(langs, object), return_inverse=True)
+        # A word and the next one with a single blank between are a phrase as they stand.
+        self.tight = (self.start[1:] - self.end[:-1] == 1) & (raw[self.end[:-1]] == 0x20)
+        salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.names.tolist()], "uint64")
+        self.hash = mix(self._hashes() + salt[self.lang[self.text]]) if len(self.start) else np.zeros(0, "uint64")
+
+    def _hashes(self) -> np.ndarray:
+        """A hash of each word alone, over parts of the text that begin with a word."""
+        cut = [0, *(np.searchsorted(self.start, np.arange(CHUNK_BYTES, len(self.data), CHUNK_BYTES)).tolist()), len(self.start)]
+        parts = []
+        for a, b in zip(cut, cut[1:]):
+            if a < b:
+                base = self.start[a]
+                parts.append(RollingHash(self.data[base : self.end[b - 1]]).of(self.start[a:b] - base, self.end[a:b] - base))
+        return np.concatenate(parts)
 
     def phrases(self, words: int) -> tuple[np.ndarray, np.ndarray]:
         """By first word: the hash of so many words, and whether they lie in one piece. Shorter by words - 1."""
@@ -59,8 +72,24 @@ class _Words:
             out = out * _STEP + self.hash[i : i + n]
         return mix(out), self.piece[:n] == self.piece[words - 1 : words - 1 + n]
 
-    def string(self, first: int, words: int) -> str:
-        return b" ".join(self.data[self.start[i] : self.end[i]] for i in range(first, first + words)).decode()
+    def strings(self, first: np.ndarray, words: int) -> pa.Array:
+        """The phrases of so many words that begin there, with a blank between the words."""
+        last = first + words - 1
+        loose = np.zeros(len(first), bool)
+        for i in range(words - 1):
+            loose |= ~self.tight[first + i]
+        begin, end, data = self.start[first].copy(), self.end[last].copy(), self.data
+        if loose.any():
+            made = [b" ".join(data[self.start[i] : self.end[i]] for i in range(f, f + words)) for f in first[loose].tolist()]
+            ends = len(data) + np.cumsum([len(x) for x in made])
+            begin[loose], end[loose], data = ends - [len(x) for x in made], ends, data + b"".join(made)
+        offsets = np.concatenate([[0], np.cumsum(end - begin)])
+        taken = np.frombuffer(data, "uint8")[np.repeat(begin - offsets[:-1], end - begin) + np.arange(offsets[-1])]
+        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype("int64")), pa.py_buffer(taken)).cast(pa.string())
+
+    def langs(self, first: np.ndarray) -> pa.Array:
+        codes = pa.array(self.lang[self.text[first]].astype("int32"))
+        return pa.DictionaryArray.from_arrays(codes, pa.array(self.names.tolist(), pa.string())).cast(pa.string())
 
 
 def _asked(about: int, hashes: np.ndarray) -> np.ndarray:
@@ -89,11 +118,9 @@ def _counted(docs: DataFrame, emit, least: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text", SLICE_BYTES):
-            langs = batch.column(0).to_pylist()
-            words = _Words(texts, langs)
+            words = _Words(texts, batch.column(0).to_pylist())
             for first, length, number in emit(words):
-                of = [langs[i] for i in words.text[first].tolist()]
-                columns = [pa.array(of, pa.string()), pa.array([words.string(i, length) for i in first.tolist()], pa.string()), pa.array(np.full(len(first), length, "int32")), pa.array(number)]
+                columns = [words.langs(first), words.strings(first, length), pa.array(np.full(len(first), length, "int32")), pa.array(number)]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "number"])
 
     found = docs.mapInArrow(scan, "lang string, phrase string, words int, number long")
