@@ -74,8 +74,8 @@ class KernelClassifier:
         """A row for each text: its value for each language, about 1 for the right one and -1 for others."""
         seen = self.__dict__.setdefault("_seen", np.zeros(_SIZE, dtype="int32"))
         out = np.empty((len(texts), len(self.languages)))
-        for start in range(0, len(texts), 64):
-            some = texts[start : start + 64]
+        for start in range(0, len(texts), 16):
+            some = texts[start : start + 16]
             present = np.zeros((len(some), len(self.weights) + 1), dtype="float32")
             size = np.ones(len(some))
             for row, text in enumerate(some):
@@ -84,7 +84,7 @@ class KernelClassifier:
                 seen[grams] = order
                 size[row] = np.count_nonzero(seen[grams] == order)  # each distinct one was written last by one place
                 present[row, self.index[grams]] = 1
-            out[start : start + 64] = present[:, :-1] @ self.weights / np.sqrt(size)[:, None]
+            out[start : start + 16] = present[:, :-1] @ self.weights / np.sqrt(size)[:, None]
         return out
 
 

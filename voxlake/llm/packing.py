@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from voxlake.llm.batches import pieces
 
 #: Pieces of text whose ids a worker remembers, in each of two generations.
-CACHE = 250_000
+CACHE = 600_000
 #: A line of letters of Latin-1 and then marks of ASCII: the tokenizer makes one word of the letters, in lower case, and one of
 #: the marks. Any other line is the third group.
 _LINE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#$%&()*+,./:;<=>?@\\^_`{|}~\[\]\"-]*)|(.*))$", re.MULTILINE)
@@ -156,12 +156,14 @@ def _close(pieces_of: dict[int, list[list]], levels: dict[int, int], size: int)
                 low += 1
 
 
-def packed(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, release: bool = False) -> DataFrame:
     """One row for each piece of a document: `doc_id`, `start` (ids of its document before it), `ids` (little-endian
     unsigned 32-bit), `doc_tokens`, `sequence_id`, `offset` (in the sequence, gapless from 0).
 
     A document is its ids and the end id; a null or empty text is the end id alone. Every row counts, repeated ones too;
-    sequence ids are unique, not gapless. An empty table gives no pieces. Only the two columns named are read.
+    sequence ids are unique, not gapless. An empty table gives no pieces. Only the two columns named are read. A very long
+    text is encoded whole and cut into windows like any other. With `release`, what a worker remembers goes when its task
+    ends, so that stages that reuse the worker have its memory; else the next task starts with it.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -213,6 +215,8 @@ def packed(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
             _close(waiting, levels, size)
             for window in [w for w, x in waiting.items() if x]:
                 yield rows(finished(window))
+        if release:
+            _tokenizers.clear()
 
     out = f"doc_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, out)
