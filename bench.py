@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from voxlake.plans.registry import QUERIES
@@ -45,6 +46,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(
             {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}
