@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from test_density import brute
 from voxlake.functions import graph
 from voxlake.operators import issues
 
@@ -108,11 +109,17 @@ def test_planted_groups_are_found(rows, clustered):
         members = [r[0] for r in rows if r[2] == g]
         labels = [clustered[m] for m in members]
         assert len(set(labels)) == 1 and labels[0] == min(members)
-    # A stray vector may lie close enough to a group to belong to it at its loosest level.
-    assert sum(clustered[r[0]] is None for r in rows if r[2] == -1) >= 8
     assert len({c for c in clustered.values() if c is not None}) == 4
 
 
+def test_clusters_equal_single_linkage_over_all_pairs(rows, clustered):
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    want = brute([(i, j, s[i, j]) for i in range(len(x)) for j in range(i)], {i: 1 for i in range(len(x))}, 5)
+    assert {i: c for i, c in clustered.items() if c is not None} == {i: min(g) for i, g in want.items()}
+
+
 def test_clusters_do_not_depend_on_order_or_partitions(spark, rows, clustered):
     shuffled = frame(spark, rows[::-1]).repartition(7)
     got = {r["id"]: r["cluster_id"] for r in issues.density_clusters(shuffled, min_size=5, block_rows=10).collect()}

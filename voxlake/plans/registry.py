@@ -718,7 +718,7 @@ def vector_components(spark, sf):
 
 @query
 def density_clusters(spark, sf):
-    return issues.density_clusters(fx.vectors(spark, sf).select("id", "vector"), levels=(0.30, 0.33, 0.36, 0.40))
+    return issues.density_clusters(fx.vectors(spark, sf).select("id", "vector"))
 
 
 @query
