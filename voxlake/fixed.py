@@ -131,6 +131,8 @@ FACTOR_LONG = "unusually long call"
 FACTOR_CONTRADICTION = "customer's later words contradict the agent's \"resolved\" claim"
 
 # Words too general to name an issue.
+#: Texts whose term vectors have a smaller cosine are not linked when issues are formed.
+TEXT_LINK = 0.2
 ISSUE_STOP_WORDS = (
     "the", "a", "an", "and", "or", "but", "to", "of", "in", "on", "for", "with",
     "customer", "agent", "call", "caller", "bank", "account", "wants", "wanted",

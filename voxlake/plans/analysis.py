@@ -138,7 +138,7 @@ def analyse_cluster_rescore(
     repeat contact by issue."""
     done = analyse(calls, turns, lexicon, judge, support=support, stage=stage)
     texts = stage("issue_texts", issues.cluster_texts(done.judged.withColumn("analyzed_at", F.current_timestamp())))
-    labels = stage("call_clusters", issues.density_clusters(issues.text_vectors(texts)))
+    labels = stage("call_clusters", issues.text_clusters(issues.text_vectors(texts)))
     names = stage("issues", issues.name_clusters(labels.join(texts.withColumnRenamed("call_id", "id"), "id")))
     clusters = labels.select(F.col("id").alias("call_id"), "cluster_id")
     judged = calls.join(done.judged.select("call_id", "resolution_status"), "call_id")

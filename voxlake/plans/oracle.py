@@ -384,6 +384,14 @@ select cluster_id, list(v order by dim) as c from (
   select cluster_id, dim, avg(x) as v from (select cluster_id, unnest(range(64)) as dim, unnest(embedding)::double as x from embeddings join clabels on vec_id = id) group by 1, 2) group by 1"""
 BLOCKS["csym"] = "select a.cluster_id as src, b.cluster_id as dst from cent a join cent b on a.cluster_id <> b.cluster_id where list_cosine_similarity(a.c, b.c) >= 0.16"
 BLOCKS["creach"] = "select distinct cluster_id as node, cluster_id as seen from clabels union select r.node, s.dst from creach r join csym s on s.src = r.seen"
+BLOCKS["dwords"] = f"""
+select doc_id, w as term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as w from documents)
+where length(w) > 2 and w not in {strings(fixed.ISSUE_STOP_WORDS)} group by 1, 2"""
+BLOCKS["draw"] = """
+select doc_id, term, df, tf, tf * ln(((select count(*) from documents) + 1) / (df + 1)) as raw
+from dwords join (select term, count(*) as df from dwords group by 1) using (term)"""
+BLOCKS["dterms"] = "select doc_id, term, df, tf, raw / sqrt(sum(raw * raw) over (partition by doc_id)) as weight from draw where raw > 0"
+BLOCKS["dheads"] = "select min(doc_id) as doc_id from (select doc_id, list((term, tf) order by term) as v from dterms group by 1) group by v"
 BLOCKS["ctexts"] = "select doc_id as id, text, case when doc_id % 9 <> 8 then doc_id % 9 end as cluster_id from documents"
 BLOCKS["terms"] = f"""
 select distinct id, cluster_id, term from (select id, cluster_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from ctexts)
@@ -542,6 +550,10 @@ where (customer_id, cluster_id) in (select (customer_id, cluster_id) from groups
     # Issues
     "issue_texts": "select call_id, coalesce(intent_label, '') || '. ' || coalesce(summary, '') as text from done",
     "min_cluster_sizes": "select count(*) as n, cast(greatest(5, round_even(count(*) * 0.015, 0)) as int) as min_size from documents",
+    "text_vectors": "select doc_id, term, df, round(weight, 6) as weight from dterms",
+    "similar_texts": """select a.doc_id as src, b.doc_id as dst, round(sum(a.weight * b.weight), 6) as cosine
+from (select * from dterms semi join dheads using (doc_id)) a join (select * from dterms semi join dheads using (doc_id)) b on a.term = b.term and a.doc_id < b.doc_id
+group by 1, 2 having sum(a.weight * b.weight) >= 0.8""",
     "similar_vector_pairs": "select src, dst, round(cosine, 6) as cosine from vpairs",
     "vector_components": "select node as id, min(seen) as component from reach group by 1",
     "similar_clusters_merged": "select id, m as cluster_id from clabels join (select node, min(seen) as m from creach group by 1) on node = cluster_id",

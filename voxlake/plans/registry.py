@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.functions import graph
+from voxlake.functions import graph, sparse
 from voxlake.functions import similarity as sim
 from voxlake.functions import text as tx
 from voxlake.operators import (
@@ -693,11 +693,21 @@ def issue_texts(spark, sf):
     return issues.cluster_texts(fx.calls(spark, sf))
 
 
+def _document_vectors(spark, sf):
+    return issues.text_vectors(fx.documents(spark, sf).select(F.col("doc_id").alias("call_id"), "text"))
+
+
 @query
 def text_vectors(spark, sf):
-    d = fx.documents(spark, sf).select(F.col("doc_id").alias("call_id"), "text")
-    v = issues.text_vectors(d)
-    return v.select(F.col("id").alias("doc_id"), F.size("vector").alias("dims"), r6(sim.dot(F.col("vector"), F.col("vector")), "norm"))
+    """Every term of every document with its weight."""
+    v = _document_vectors(spark, sf).select(F.col("id").alias("doc_id"), F.explode("terms").alias("t"))
+    return v.select("doc_id", "t.term", F.col("t.df").alias("df"), r6("t.weight", "weight"))
+
+
+@query
+def similar_texts(spark, sf):
+    """Pairs of different texts with a cosine of 0.8 or more; of equal vectors the first stands for all."""
+    return rounded(sparse.similar_vectors(sparse.folded(_document_vectors(spark, sf)).select("id", "terms"), 0.8))
 
 
 @query
