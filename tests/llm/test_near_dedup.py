@@ -93,3 +93,28 @@ def test_components_of_paths_stars_and_rings(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: min(part) for part in (path, star, ring) for x in part}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_trees_answer_for_branching_too():
+    """Simulated: how often a link of 0.8 lasts over two choices and six rounds of two children each."""
+    rng = random.Random(3)
+
+    def lasts(level=6):
+        return level == 0 or any(rng.random() < 0.8 and lasts(level - 1) for _ in range(2))
+
+    share = sum(rng.random() < 0.64 and lasts() for _ in range(20_000)) / 20_000
+    assert abs(share - 0.64 * near_dedup._survival(0.8)) < 0.015
+
+
+def test_links_at_the_threshold_are_found(spark):
+    """Pairs of exactly 80 %: the stated recall is far above the 0.9 asked for."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        w = [f"p{i}w{j}" for j in range(10)]
+        rows += [(2 * i, " ".join(w[:9])), (2 * i + 1, " ".join(w[:10]))]  # 8 of 9 shingles
+        own = [f"q{i}w{j}" for j in range(9)]
+        rows += [(1000 + 2 * i, " ".join(own)), (1001 + 2 * i, " ".join([*own[:8], own[8], f"z{rng.random()}", f"y{rng.random()}"]))]  # 8 of 10
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    linked = sum(got[b] == got[a] for a, b in [(2 * i, 2 * i + 1) for i in range(120)] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(120)])
+    assert linked >= 0.999 * 240

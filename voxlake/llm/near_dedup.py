@@ -67,6 +67,14 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _survival(similar: float) -> float:
+    """The chance that a link of this similarity is in some descendant, however often a node with it branches into two."""
+    lost = 0.0
+    for _ in range(200):
+        lost = (1 - similar + similar * lost) ** 2
+    return 1 - lost
+
+
 def _choice(tree: int) -> np.ndarray:
     """The tokens in the order in which a tree chooses them."""
     rest = np.random.default_rng(99).permutation(TOKENS)
@@ -138,7 +146,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, recall: float = 1 - 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, recall: float = 1 - 1e-7) -> DataFrame:
     """`(doc_id, n_shingles, component_id, kept)` for each row: the size of its set, the smallest id that links reach, and
     whether that is its own.
 
@@ -146,10 +154,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     intersection is at least `percent` of their union. A null text or one without words has an empty set and is linked
     with nothing. Repeated rows are in one component, and where they share its id all are kept. A row without an id is in
     the component of rows with an equal set, or else in none, and then kept. An empty table gives an empty one; only the
-    two columns named are read. A link at exactly `percent` is missed with a probability of about 1 - `recall`.
+    two columns named are read. A link at exactly `percent` is missed with a probability of about
+    1 - `recall`, also in nodes that branch again and again.
     """
     similar = percent / 100
-    trees = min(TOKENS // 2, math.ceil(math.log(1 - recall) / math.log(1 - similar**2)))
+    # Two sets stay together over the first two choices, and then for ever with the survival of branching into two children.
+    lasting = similar**2 * _survival(similar)
+    trees = min(TOKENS // 2, math.ceil(math.log(1 - recall) / math.log(1 - lasting)))
     mean, spread = TOKENS * (1 - similar) / 2, math.sqrt(TOKENS * (1 - similar) / 2 * (1 + similar) / 2)
     unlike = math.ceil(mean + 6.5 * spread)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -161,13 +172,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     members = settle(filled.join(heads, ["doc_id", "f1", "f2", "n"]).select(F.col("doc_id").alias("id"), "n", "s1", "s2", "tokens", "paths"))
     attributes = ["id", "n", "s1", "s2"]
     placed = members.select(*attributes, F.col("id").alias("component"), F.posexplode("paths").alias("tree", "node"))
-    links, known, level = None, None, 2
+    known, level = None, 2
     while True:
         sizes = settle(placed.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1"))
         crowd = settle(placed.join(sizes, "node"))
         if crowd.isEmpty():
             break
-        known = None
         side = lambda name: F.struct(*attributes, "component").alias(name)
         # Every member meets the smallest one and some others, of whom a hash of the id chooses about ANCHORS a node.
         chosen = (F.col("id") == F.col("pivot")) | (F.pmod(F.xxhash64("id", F.lit(level)), F.greatest(F.lit(1), F.expr(f"m div {ANCHORS}"))) == 0)
@@ -176,8 +186,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         ordered = stars.where(_alike("x", "y", percent, unlike)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         star_pairs = settle(ordered.distinct())
         found = settle(_confirmed(star_pairs, rows, shingle, percent))
-        links = found if links is None else links.union(found)
-        known = components(links)
+        known = components(found, known)
 
         # Members by component. What is left to compare in a node are pairs across its components.
         named = crowd.drop("component").join(known.select(F.col("node").alias("id"), "component"), "id", "left")
@@ -193,9 +202,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         ordered = across.where(_alike("x", "y", percent, unlike)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         rest = settle(ordered.join(star_pairs, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            more = settle(_confirmed(rest, rows, shingle, percent))
-            links = links.union(more)
-            known = None if not more.isEmpty() else known
+            known = components(settle(_confirmed(rest, rows, shingle, percent)), known)
 
         going = named.join(work.where(~small).select("node"), "node", "left_semi").select("id", "component", "tree", "node")
         if last or going.isEmpty():
@@ -207,10 +214,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         level += 2
 
     joined = signed.select("doc_id", "n", "f1", "f2").join(folded, ["f1", "f2", "n"], "left")
-    if links is None:
+    if known is None:
         result = joined.withColumn("component", F.lit(None).cast(rows.schema["doc_id"].dataType))
     else:
-        known = known or components(links)
         result = joined.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", F.when(F.col("n") == 0, F.col("doc_id")))
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
