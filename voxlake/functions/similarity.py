@@ -7,6 +7,7 @@ already decided the row.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,6 +132,43 @@ def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     )
 
 
+def _alignment(reference, hypothesis) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of the best alignment: fewest edits, then most words right.
+
+    One row of costs at a time: an edit costs `unit`, a substitution one more, so that the last cost holds both counts, and
+    the lengths tell deletions from insertions.
+    """
+    codes: dict[str, int] = {}
+    a, b = (np.array([codes.setdefault(w, len(codes)) for w in words], "int64") for words in (reference, hypothesis))
+    m, n = len(a), len(b)
+    same = int(np.argmin(np.append(a[: min(m, n)] == b[: min(m, n)], False)))
+    a, b = a[same:], b[same:]
+    tail = int(np.argmin(np.append((a[::-1][: min(len(a), len(b))] == b[::-1][: min(len(a), len(b))]), False)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if len(b) > len(a):
+        a, b = b, a  # the shorter one makes the row; deletions and insertions follow from m and n in any case
+    unit = len(a) + len(b) + 1
+    steps = unit * np.arange(len(b) + 1)
+    row = steps.copy()
+    for word in a.tolist():
+        entry = row + unit
+        np.minimum(entry[1:], row[:-1] + (unit + 1) * (b != word), out=entry[1:])
+        row = np.minimum.accumulate(entry - steps) + steps  # insertions add a unit a place
+    edits, substitutions = divmod(int(row[-1]), unit)
+    gaps = edits - substitutions
+    return substitutions, (gaps + m - n) // 2, (gaps - m + n) // 2
+
+
+_KINDS = T.StructType([T.StructField(x, T.IntegerType()) for x in ("substitutions", "deletions", "insertions")])
+
+
+@F.pandas_udf(_KINDS)
+def word_alignment(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    """Kinds of word errors between two token arrays; null if one is."""
+    found = [(None, None, None) if r is None or h is None else _alignment(r, h) for r, h in zip(reference, hypothesis)]
+    return pd.DataFrame(found, columns=_KINDS.names, dtype="Int32")
+
+
 def _distinct_words(text: Column) -> Column:
     return F.array_distinct(tx.words(F.lower(text)))
 

@@ -89,6 +89,21 @@ def word_error_rates(hypotheses: DataFrame, references: DataFrame) -> DataFrame:
     ).withColumn("wer", F.col("edits") / F.nullif(F.col("reference_words"), F.lit(0)))
 
 
+def word_error_kinds(hypotheses: DataFrame, references: DataFrame) -> DataFrame:
+    """Per call: substitutions, deletions and insertions of words against the reference, and the words that are right.
+
+    Of the alignments with the fewest edits the one with the most words right counts. A call without one of the texts has
+    null counts. The two texts of a call meet in one row; the alignment takes memory for the shorter one.
+    """
+    ref, hyp = tx.words(F.lower("reference")), tx.words(F.lower("hypothesis"))
+    joined = references.join(hypotheses, "call_id").select("call_id", ref.alias("_r"), hyp.alias("_h"))
+    differs = F.col("_r") != F.col("_h")
+    found = joined.withColumn("_k", sim.word_alignment(F.when(differs, F.col("_r")), F.when(differs, F.col("_h"))))
+    kind = lambda name: F.when(differs, F.col(f"_k.{name}")).when(~differs, 0).alias(name)
+    counted = found.select("call_id", F.size("_r").alias("reference_words"), kind("substitutions"), kind("deletions"), kind("insertions"))
+    return counted.withColumn("correct", F.col("reference_words") - F.col("substitutions") - F.col("deletions"))
+
+
 def word_error_summary(rates: DataFrame) -> DataFrame:
     return rates.agg(
         F.count("*").alias("calls"),

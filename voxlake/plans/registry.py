@@ -968,6 +968,27 @@ def word_error_rates(spark, sf):
     )
 
 
+@query
+def word_error_kinds(spark, sf):
+    """Documents against a hearing of them in which words are taken for others, left out and put in."""
+    d = fx.documents(spark, sf)
+    words = tx.words(F.col("text"))
+
+    def heard(word, i):
+        return (
+            F.when(i % 12 == 3, F.array(F.reverse(word)))
+            .when(i % 12 == 7, F.array().cast("array<string>"))
+            .when(i % 12 == 11, F.array(word, F.lit("uh")))
+            .otherwise(F.array(word))
+        )
+
+    text = F.array_join(F.flatten(F.transform(words, heard)), " ")
+    return quality.word_error_kinds(
+        d.select(F.col("doc_id").alias("call_id"), text.alias("hypothesis")),
+        d.select(F.col("doc_id").alias("call_id"), F.col("text").alias("reference")),
+    )
+
+
 @query
 def word_error_summary(spark, sf):
     d = fx.turns(spark, sf)
