@@ -144,5 +144,6 @@ def test_runs_and_clusters(spark, tmp_path):
     labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", None)], "id string, cluster_id string")
     names = spark.createDataFrame([("a", "card / lost")], "cluster_id string, label string")
     for _ in range(2):
-        tables.refresh_clusters(labels, names, str(tmp_path / "i"), str(tmp_path / "b"))
-    assert spark.read.parquet(str(tmp_path / "i")).count() == 1 and spark.read.parquet(str(tmp_path / "b")).count() == 2
+        state = tables.refresh_clusters(labels, names, str(tmp_path / "clusters"))
+    assert state.number == 2
+    assert state.read(spark, "issue_clusters").count() == 1 and state.read(spark, "call_clusters").count() == 2

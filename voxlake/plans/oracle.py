@@ -661,3 +661,5 @@ left join (select call_id, {_first('intent', 'quote')} as intent_quote, {_first(
   {_first('resolution_contradiction_agent', 'quote')} as agent_quote, {_first('resolution_contradiction_customer', 'quote')} as customer_quote from ev group by 1) using (call_id)"""
 
 ORACLE: dict[str, str] = {name: sql(final) for name, final in FINAL.items()}
+
+ORACLE["clusters_refreshed"] = ORACLE["cluster_sizes"]

@@ -5,6 +5,7 @@ Columns are flat and floats are rounded so that results can be compared with SQL
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from voxlake.operators import (
     attention, changepoint, contradiction, evidence, issues, judgments, mood, repeats, turns,
 )
 from voxlake.plans import analysis, fixtures as fx, quality, views
-from voxlake.session import settle
+from voxlake.session import settle, shared_folder
 from voxlake.sources import readers, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -754,6 +755,17 @@ def cluster_sizes(spark, sf):
     return issues.cluster_sizes(t, issues.name_clusters(t))
 
 
+@query
+def clusters_refreshed(spark, sf):
+    """Issues and their calls written as one state, twice, and read back from the last one."""
+    t = fx.cluster_texts(spark, sf)
+    folder = f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}"
+    tables.refresh_clusters(t.where("id % 2 = 0"), issues.name_clusters(t), folder)
+    state = tables.refresh_clusters(t, issues.name_clusters(t), folder, min_age=0.0)
+    sizes = state.read(spark, "call_clusters").groupBy("cluster_id").agg(F.count("*").alias("size"))
+    return sizes.join(state.read(spark, "issue_clusters").select("cluster_id", "label"), "cluster_id")
+
+
 # Views
 
 

@@ -41,6 +41,12 @@ def checkpoint_ready(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one that checkpoints go to."""
+    checkpoint_ready(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a reliable checkpoint, so that lost executors cost a re-read only."""
     checkpoint_ready(df.sparkSession)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 from pyspark.sql.utils import AnalysisException
 
+from voxlake.sources.snapshots import Snapshots, State
+
 
 def write_transcripts(segments: DataFrame, path: str) -> None:
     """Segments by provider; running again replaces that provider's partition only."""
@@ -136,10 +138,13 @@ def cluster_tables(labels: DataFrame, names: DataFrame) -> tuple[DataFrame, Data
     return issues, bridge
 
 
-def refresh_clusters(labels: DataFrame, names: DataFrame, issues_path: str, bridge_path: str) -> None:
+def refresh_clusters(labels: DataFrame, names: DataFrame, root: str, min_age: float = 86_400.0) -> State:
+    """Replace both tables as one state, and remove what earlier and failed runs have left."""
     issues, bridge = cluster_tables(labels, names)
-    issues.write.mode("overwrite").parquet(issues_path)
-    bridge.write.mode("overwrite").parquet(bridge_path)
+    store = Snapshots(labels.sparkSession, root)
+    state = store.commit({"issue_clusters": issues, "call_clusters": bridge})
+    store.clean(keep=2, min_age=min_age)
+    return state
 
 
 def split_failures(outcome: DataFrame) -> tuple[DataFrame, DataFrame]:
