@@ -663,3 +663,13 @@ left join (select call_id, {_first('intent', 'quote')} as intent_quote, {_first(
 ORACLE: dict[str, str] = {name: sql(final) for name, final in FINAL.items()}
 
 ORACLE["clusters_refreshed"] = ORACLE["cluster_sizes"]
+ORACLE["transcripts_stored"] = """
+select 'p' || (turn % 3) as provider, count(*) as turns, sum(length(text)) as characters from conversations where turn % 3 <> 1 or conv_id % 2 = 0 group by 1"""
+ORACLE["newest_runs"] = """
+select doc_id as call_id, case when doc_id % 7 = 0 then 3 when doc_id % 3 = 0 then 2 else 1 end as run_id,
+  n_chars + case when doc_id % 7 = 0 then 2 when doc_id % 3 = 0 then 1 else 0 end as n_chars
+from documents where doc_id % 7 <> 0 or doc_id % 2 = 0"""
+ORACLE["failures_split"] = """
+select doc_id as call_id, case when quality is distinct from 0 then n_chars end as n_chars, case when quality = 0 then 'unusable' end as error
+from documents left join labels using (doc_id)"""
+ORACLE["live_day_counts"] = "select cast(ts as date) as call_date, count(*) as call_count from events where ts is not null group by 1"

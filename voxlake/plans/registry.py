@@ -20,6 +20,7 @@ from voxlake.operators import (
 from voxlake.plans import analysis, fixtures as fx, quality, views
 from voxlake.session import settle, shared_folder
 from voxlake.sources import readers, tables
+from voxlake.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -755,6 +756,52 @@ def cluster_sizes(spark, sf):
     return issues.cluster_sizes(t, issues.name_clusters(t))
 
 
+@query
+def transcripts_stored(spark, sf):
+    """Turns by provider, of which one is written again; the other partitions stay."""
+    folder = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    turns = fx.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.concat(F.lit("p"), (F.col("turn") % 3).cast("string")).alias("provider"))
+    tables.write_transcripts(turns, folder)
+    tables.write_transcripts(turns.where("provider = 'p1' and conv_id % 2 = 0"), folder)
+    return spark.read.parquet(folder).groupBy("provider").agg(F.count("*").alias("turns"), F.sum(F.char_length("text")).alias("characters"))
+
+
+@query
+def newest_runs(spark, sf):
+    """Documents of three runs, the second written twice; of each the newest one, some of them emptied."""
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    docs = fx.documents(spark, sf).select(F.col("doc_id").alias("call_id"), "n_chars")
+    tables.append_run(docs, folder, 1)
+    tables.append_run(docs.where("call_id % 5 = 0"), folder, 2)
+    tables.append_run(docs.where("call_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1), folder, 2)
+    tables.append_run(docs.where("call_id % 7 = 0 and call_id % 2 = 0").withColumn("n_chars", F.col("n_chars") + 2), folder, 3)
+    touched = docs.where("call_id % 7 = 0").select("call_id", F.lit(3).alias("run_id"))
+    return tables.latest(spark.read.parquet(folder), touched=touched).select("call_id", F.col("run_id").cast("bigint").alias("run_id"), "n_chars")
+
+
+@query
+def failures_split(spark, sf):
+    """Rows that a stage commits and those that it reports, of documents whose quality label says that they failed."""
+    label = fx.table(spark, sf, "labels").select("doc_id", "quality")
+    outcome = fx.documents(spark, sf).join(label, "doc_id", "left").select(
+        F.col("doc_id").alias("call_id"), "n_chars", F.when(F.col("quality") == 0, F.lit("unusable")).alias("error")
+    )
+    good, bad = tables.split_failures(outcome)
+    return good.select("call_id", "n_chars", F.lit(None).cast("string").alias("error")).unionByName(bad.select("call_id", F.lit(None).cast(good.schema["n_chars"].dataType).alias("n_chars"), "error"))
+
+
+@query
+def live_day_counts(spark, sf):
+    """Calls per day of a stream over the events, as its last batch leaves them."""
+    folder = f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
+    schema = fx.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select(F.col("ts").cast("timestamp").alias("started_at"))
+    save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")
+    counts = live.daily_counts(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/progress")
+    counts.foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("call_date date, call_count bigint").parquet(f"{folder}/counts")
+
+
 @query
 def clusters_refreshed(spark, sf):
     """Issues and their calls written as one state, twice, and read back from the last one."""
