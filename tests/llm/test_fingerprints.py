@@ -54,3 +54,14 @@ def test_one_row_and_none(spark):
     one = fingerprints(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()[0]
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1
     assert fingerprints(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_ids_of_any_type(spark):
+    rows = [(f"id{i:04d}", f"text number {i} " * (i % 5)) for i in range(300)] + [("hot", f"again {i}") for i in range(150)] + [(None, "none")]
+    out = fingerprints(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), per_bucket=20).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in out) == sorted((str(k), len(t)) for k, t in rows)
+    texts = dict(rows)
+    got = {r["doc_id"]: r["edited_sha256"] for r in out}
+    for i in range(1, 300):
+        changed = edited(texts[f"id{i:04d}"], texts[f"id{i - 1:04d}"])
+        assert got[f"id{i:04d}"] == hashlib.sha256(changed.encode()).hexdigest()

@@ -1,7 +1,7 @@
 import zlib
 from collections import Counter
 
-from voxlake.llm.shards import shuffled_shards, write_shards
+from voxlake.llm.shards import bucketed, shuffled_shards, write_shards
 
 
 def table(spark, rows):
@@ -47,3 +47,22 @@ def test_empty_table_and_files(spark, tmp_path):
     write_shards(placed, str(tmp_path / "out"))
     assert sorted(p.name for p in (tmp_path / "out").glob("shard=*")) == [f"shard={i}" for i in range(4)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(ROWS)
+
+
+def test_rows_of_one_key_are_spread_over_buckets(spark):
+    """A third of the rows under one id, a third under none."""
+    rows = [(i if i % 3 == 0 else 7 if i % 3 == 1 else None, f"text {i}", "s", i) for i in range(3000)]
+    docs = table(spark, rows)
+    buckets, bucket = bucketed(docs, "doc_id", 4, 17, bucket_rows=25)
+    sizes = [r["count"] for r in docs.groupBy(bucket).count().collect()]
+    assert buckets == 30 and max(sizes) < 130
+    out = shuffled_shards(docs, "doc_id", 4, bucket_rows=25).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((r[0], r[1]) for r in rows)
+    assert len({r["shard"] for r in out if r["doc_id"] == 7}) == len({r["shard"] for r in out if r["doc_id"] is None}) == 1
+    for s in range(4):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
+def test_long_texts_make_more_buckets(spark):
+    docs = table(spark, [(i, "x" * 1000, "s", i) for i in range(64)])
+    assert bucketed(docs, "doc_id", 2, 17, bucket_bytes=4000)[0] == 9  # 64,064 bytes with the slots

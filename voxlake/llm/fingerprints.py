@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from voxlake.llm.batches import BYTE_VALUES, RollingHash
 
@@ -88,6 +89,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _borders(docs: DataFrame, buckets: int) -> list:
+    """Ids that cut the table in about equal parts: quantiles of numbers, or of 16 ids a bucket that a hash draws."""
+    if isinstance(docs.schema["doc_id"].dataType, NumericType):
+        return sorted(set(docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    drawn = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "doc_id").limit(16 * buckets)
+    ids = sorted(r["doc_id"] for r in drawn.collect())
+    return sorted({ids[i * len(ids) // buckets] for i in range(1, buckets)}) if ids else []
+
+
 def _followed(docs: DataFrame, per_bucket: int) -> DataFrame:
     """Rows in buckets of falling ids, as `(_bucket, _guest, doc_id, text)`. Each bucket also has, as a guest, the row that
     comes after its last one; after the very last, the first.
@@ -97,7 +107,7 @@ def _followed(docs: DataFrame, per_bucket: int) -> DataFrame:
     n = docs.count()
     spark = docs.sparkSession
     buckets = max(1, min(4096, -(-n // per_bucket)))
-    borders = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)))) if buckets > 1 else []
+    borders = _borders(docs.where("doc_id is not null"), buckets) if buckets > 1 else []
     below = F.array(*[F.lit(x) for x in borders]) if borders else None
     place = F.lit(0) if below is None else F.aggregate(below, F.lit(0), lambda n, b: n + F.when(F.col("doc_id") <= b, 1).otherwise(0))
     # Falling ids, nulls at the end: bucket 0 has the largest ids.

@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 from pyspark.sql.window import Window
 
 #: Records in a bucket, on average. At a few kB each that is some MB in memory.
 BUCKET_ROWS = 1000
+#: Bytes of text in a bucket, on average.
+BUCKET_BYTES = 16 << 20
 
 
 def _hash(key: Column, *salt: Column | int) -> Column:
@@ -27,20 +30,30 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(ranked)["shard"]
 
 
+def bucketed(rows: DataFrame, key: str, shards: int, seed: int, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, Column]:
+    """The number of buckets of a shard, from the rows and from the bytes of their texts, and the bucket of a row.
+
+    The key decides the shard; the whole record decides the bucket in it, so that rows of one key are spread.
+    """
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in rows.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    size = rows.agg(F.count("*").alias("n"), F.sum(sum(wide, F.lit(0).cast("long"))).alias("bytes")).first()
+    buckets = max(1, -(-size["n"] // (bucket_rows * shards)), -(-(size["bytes"] or 0) // (bucket_bytes * shards)))
+    inside = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.lit(seed + 1)), F.lit(buckets))
+    return buckets, (shard_of(F.col(key), shards, seed) * F.lit(buckets).cast("long") + inside).alias("_bucket")
+
+
 def shuffled_shards(records: DataFrame, key: str, shards: int, *, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All records with `shard` (0 to `shards` - 1), `slot` (place in the shard, gapless from 0) and `grown_shard`
     (the shard, were there one more).
 
     The order is a seeded permutation: the same for the same input, however often a task runs. A null key is a key like
-    others; records of one key share a shard and a bucket, so the key should be an id. Equal records are all kept. An
-    empty table gives an empty one. Columns of the records with the names of the new ones are replaced.
+    others; records of one key share a shard, but only those that are equal in all columns share a bucket for certain, and
+    a bucket passes through one task. Equal records are all kept. An empty table gives an empty one. Columns of the records with the names of the new ones are replaced.
     """
     spark = records.sparkSession
     fields = [c for c in records.columns if c not in ("shard", "slot", "grown_shard")]
     rows = records.select("*") if len(fields) == len(records.columns) else records.select(*fields)
-    size = rows.select(key).count()
-    buckets = max(1, -(-size // (bucket_rows * shards)))
-    bucket = (shard_of(F.col(key), shards, seed) * F.lit(buckets).cast("long") + F.pmod(_hash(F.col(key), seed + 1), F.lit(buckets))).alias("_bucket")
+    buckets, bucket = bucketed(rows, key, shards, seed, bucket_rows)
 
     shard = F.expr(f"cast(_bucket div {buckets} as int)")
     counts = rows.select(bucket).groupBy("_bucket").agg(F.count("*").alias("_n"))
