@@ -77,3 +77,15 @@ def test_words_are_coded_and_read_again():
     row, bucket = word_buckets([hashed_words(t) for t in texts])
     assert np.bincount(row, minlength=5).tolist()[:4] == [0, 1, 4, 0] and 9000 < (row == 4).sum() < 9999
     assert bucket.min() >= 0 and bucket.max() < WORDS and all((np.diff(bucket[row == r]) > 0).all() for r in range(5))
+
+
+def test_labels_are_drawn_and_features_stay_where_they_are(spark):
+    """More labels than asked for: about so many are drawn, whatever the type of the ids, and the rest still get a score."""
+    given = labels(spark, range(0, 400))
+    drawn = features(docs(spark, ROWS), given, doc_id="doc_id", text="text", quality="quality", labelled=100).where("label is not null").collect()
+    assert 60 < len(drawn) < 140 and all(r["label"] == int(r["doc_id"] % 3 != 0) for r in drawn)
+    out = quality_scores(docs(spark, ROWS), given, labelled=150).collect()
+    assert len(out) == 600 and sum(r["kept"] == (r["doc_id"] % 3 != 0) for r in out) >= 590
+    narrow = given.selectExpr("cast(doc_id as int) doc_id", "quality", "toxic")
+    seen = features(docs(spark, ROWS), narrow, doc_id="doc_id", text="text", quality="quality")
+    assert seen.where("label is not null").count() == 400

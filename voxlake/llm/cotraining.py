@@ -24,6 +24,8 @@ ROUNDS, SURE = 3, 0.97
 SHAPES, FACTS = 2048, 512
 #: Buckets of words and word pairs; a word that fewer documents than RARE have held says little.
 WORDS, RARE = 1 << 18, 4
+#: Labelled documents to learn from, about: more are drawn by a hash of their ids, and the rest count as rows without a label.
+LABELLED = 200_000
 #: Every so many-th labelled row, by a hash of its id, calibrates and is not learned from.
 CALIBRATE = 4
 #: A document of so many features counts half of what they say on average.
@@ -128,8 +130,22 @@ def _line(score: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float,
     return max(0.0, float(a)), float(b)
 
 
-def features(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, quality: str) -> DataFrame:
-    """What both views see of each row, with its label (0, 1 or null) and whether it calibrates; texts don't move."""
+def drawn_labels(labels: DataFrame, *, doc_id: str, quality: str, labelled: int) -> DataFrame:
+    """`(key, label)` of about `labelled` documents at most: a hash of the id, and the majority of its labels, good in a tie."""
+    told = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull())
+    known = settle(told.groupBy(F.col(doc_id).alias("doc_id")).agg((F.avg(quality) >= 0.5).cast("int").alias("label")))
+    n = known.count()
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 32)) * n < F.lit(labelled) * F.lit(1 << 32)
+    chosen = known if n <= labelled else known.where(draw)
+    return chosen.select(F.xxhash64(F.col("doc_id").cast("string")).alias("key"), "label")
+
+
+def features(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, quality: str, labelled: int = LABELLED) -> DataFrame:
+    """What both views see of each row, with its label (0, 1 or null) and whether it calibrates.
+
+    Neither texts nor features move: the drawn labels, whose number is bounded, are sent to where the documents are read.
+    They are told by a 64-bit hash of the id.
+    """
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
@@ -143,8 +159,10 @@ def features(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, qual
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))])
     seen = named.mapInArrow(see, f"doc_id {kind}, shape array<int>, shape_n array<int>, fact array<int>, fact_n array<int>, words binary")
-    known = labels.where(F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.avg(quality) >= 0.5).cast("int").alias("label"))
-    return settle(seen.join(known, "doc_id", "left").withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)) == 0))
+    known = drawn_labels(labels, doc_id=doc_id, quality=quality, labelled=labelled).dropDuplicates(["key"])
+    keyed = seen.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("string"))))
+    told = keyed.join(F.broadcast(known), "key", "left").drop("key")
+    return settle(told.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)) == 0))
 
 
 def _learn(rows: DataFrame, views: Views | None) -> Views:
@@ -210,16 +228,17 @@ def _calibrate(rows: DataFrame, views: Views) -> None:
         views.prior = float(np.log((good.sum() + 1) / (bad.sum() + 1)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", rounds: int = ROUNDS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", rounds: int = ROUNDS, labelled: int = LABELLED) -> DataFrame:
     """`(doc_id, p_content, p_metadata, score, kept)` of every row: the probability of good quality by each view and by both,
     and whether the last is at least one half.
 
     Whole texts are seen. `lang`, `source` and `n_chars` are used where there are such columns; nulls are values of their
     own. A null or empty text has no words, so the text view says only what is usual. A document with several labels has
     their majority, good in a tie; repeated rows are scored alike and each counts; a row without an id has no label.
-    Without labels of both kinds nothing is told apart and everything is kept. An empty table gives an empty one.
+    Without labels of both kinds nothing is told apart and everything is kept. An empty table gives an empty one. Of more
+    than `labelled` labelled documents about so many are drawn by a hash of the id; the others count as unlabelled.
     """
-    rows = features(docs, labels, doc_id=doc_id, text=text, quality=quality)
+    rows = features(docs, labels, doc_id=doc_id, text=text, quality=quality, labelled=labelled)
     views = None
     for _ in range(rounds + 1):
         views = _learn(rows, views)
