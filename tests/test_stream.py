@@ -84,3 +84,70 @@ def test_rescore_from_stage_tables_equals_analysis(spark, tmp_path):
     assert pick(again) == pick(first.attention)
     assert evidence.count() == first.evidence.count()
     assert spark.read.parquet(str(tmp_path / "evidence")).where("run_id = 1").count() == evidence.count()
+
+
+def names(factors):
+    return {f["factor"] for f in factors} - {"unusually long call"}
+
+
+def test_late_calls_correct_stored_counts_and_scores(spark, tmp_path):
+    """Calls arrive in the wrong order: what is stored in the end equals a batch over all of them."""
+    source, root = tmp_path / "in", tmp_path / "out"
+    arriving = [[7, 5, 6], [8, 2], [1, 3, 0], [4, 9]]
+    for k, ids in enumerate(arriving):
+        write(source, f"{k}.json", [call(i) for i in ids])
+        run(spark, source, root)
+    raw = spark.read.schema(live.INCOMING).json(str(source))
+    calls = live.with_defaults(raw)
+    segments = calls.select("call_id", F.posexplode("segments").alias("segment_no", "s")).select("call_id", "segment_no", "s.*")
+    batch = analyse(calls, build_turns(segments), mood.default_lexicon(spark))
+    stored = spark.read.parquet(str(root / "calls"))
+    want = {r["call_id"]: r["repeat_count"] for r in live.recount(stored).collect()}
+    got = {r["call_id"]: r["repeat_count"] for r in live.current_scores(spark, str(root)).collect()}
+    assert got == want and len(got) == 10
+    first = {r["call_id"]: r["repeat_count"] for r in stored.collect()}
+    late = {c for c in want if want[c] != first[c]}
+    assert late
+    fixed = spark.read.parquet(str(root / "corrections"))
+    newest = {}
+    for r in sorted(fixed.collect(), key=lambda r: r["batch_id"]):
+        newest[r["call_id"]] = r
+    assert late <= newest.keys()
+    factors = {r["call_id"]: r["factors"] for r in batch.attention.collect()}
+    assert all(names(r["factors"]) == names(factors[c]) for c, r in newest.items())
+    pointing = [f for r in newest.values() for f in r["factors"] if f["turn_index"] is not None]
+    assert all(f["evidence"] is not None for f in pointing)
+    for name, key in (("customers", "customer_id"), ("agents", "agent_id")):
+        people = spark.read.parquet(str(root / name))
+        assert people.count() == people.select(key).distinct().count() == calls.select(key).distinct().count()
+
+
+def test_replayed_batch_counts_durations_once(spark, tmp_path):
+    calls = spark.createDataFrame([(1.5,), (2.0,), (1.5,), (None,)], "duration_seconds double")
+    for batch_id in (0, 0, 1, 1):
+        counts = live.duration_counts(spark, str(tmp_path / "d"), batch_id, calls)
+    assert {r["value"]: r["n"] for r in counts.collect()} == {1.5: 4, 2.0: 2}
+
+
+def test_touched_reads_only_the_buckets_of_the_batch(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("cast(id as string) customer_id").withColumn("bucket", live.bucket_of("customer_id"))
+    rows.coalesce(1).write.partitionBy("bucket").parquet(str(tmp_path / "t"))
+    stored = spark.read.schema("customer_id string, bucket int").parquet(str(tmp_path / "t"))
+    few = spark.createDataFrame([("17",)], "customer_id string")
+    near = live.touched(stored, few, "customer_id")
+    assert len(stored.inputFiles()) > 200 and near.where("customer_id = '17'").count() == 1
+    assert near.select("bucket").distinct().count() == 1
+    assert "PartitionFilters: [isnotnull(bucket" in near._jdf.queryExecution().toString()
+
+
+def test_median_of_counts(spark):
+    from statistics import median
+
+    from voxlake.functions.scan import added_counts, median_of_counts, value_counts
+
+    rng = random.Random(3)
+    for n in (0, 1, 2, 7, 200):
+        values = [rng.choice([1.0, 2.5, rng.random() * 1e4]) for _ in range(n)]
+        parts = [value_counts(spark.createDataFrame([(v,) for v in values[k::2]] + [(None,)], "v double"), "v") for k in (0, 1)]
+        got = median_of_counts(added_counts(*parts)).first()[0]
+        assert got == (median(values) if values else None)

@@ -107,3 +107,30 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
     lower = F.min(F.when(F.col("_cum") >= F.floor((F.col("_n") + 1) / 2), F.col("_v")))
     upper = F.min(F.when(F.col("_cum") >= F.floor(F.col("_n") / 2) + 1, F.col("_v")))
     return ranked.groupBy(*keys).agg(((lower + upper) / 2).alias(name))
+
+
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """`(value, n)`: how often each value occurs; nulls are left out. Such counts are added up, not read again."""
+    return df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+
+
+def added_counts(*counts: DataFrame) -> DataFrame:
+    """The counts of several parts together."""
+    rows = counts[0]
+    for more in counts[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("value").agg(F.sum("n").alias("n"))
+
+
+def median_of_counts(counts: DataFrame, name: str = "median", blocks: int = 1024) -> DataFrame:
+    """One row: the exact, interpolated median of what `(value, n)` stands for; null if that is nothing.
+
+    Values are ranked in blocks of their range, so no task sorts all of them.
+    """
+    ends = counts.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("all")).alias("_e"))
+    rows = counts.withColumn("_e", ends.scalar()).select("value", "n", "_e.lo", "_e.hi", "_e.all")
+    block = F.coalesce(F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * blocks), F.lit(0))
+    ranked = running_totals(rows, [], [F.col("value")], block, {"_cum": F.col("n")})
+    lower = F.min(F.when(F.col("_cum") >= F.floor((F.col("all") + 1) / 2), F.col("value")))
+    upper = F.min(F.when(F.col("_cum") >= F.floor(F.col("all") / 2) + 1, F.col("value")))
+    return ranked.agg(((lower + upper) / 2).alias(name))

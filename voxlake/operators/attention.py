@@ -35,8 +35,10 @@ def median_duration(calls: DataFrame) -> DataFrame:
 
 
 def with_median_duration(calls: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """Attach the corpus median as a scalar subquery, so no join is planned."""
-    one = median_duration(corpus if corpus is not None else calls)
+    """Attach the corpus median as a scalar subquery, so no join is planned. `corpus` has the durations, or one row with
+    their `median_duration`."""
+    known = corpus is not None and "median_duration" in corpus.columns
+    one = corpus.select("median_duration") if known else median_duration(corpus if corpus is not None else calls)
     return calls.withColumn("median_duration", F.coalesce(one.scalar(), F.lit(0.0)))
 
 

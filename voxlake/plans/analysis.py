@@ -96,13 +96,16 @@ def rescore(
     turns: DataFrame,
     points: DataFrame,
     stored: DataFrame,
-    call_clusters: DataFrame,
+    call_clusters: DataFrame | None,
     support: Support = Support(),
     stage: Stage = checkpointed,
+    earlier: DataFrame | None = None,
+    corpus: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """`(attention, evidence)` again from stage tables, without a new judgment.
 
     `calls` are judged calls; `stored` is their evidence. Shift and factor citations are rebuilt, the others reused.
+    `earlier` gives repeat counts that are known already, `corpus` what the median handle time comes from.
     """
     shifts = stage("mood_shifts", changepoint.reportable_shifts(points))
     kept = stored.where(~F.col("claim_type").isin("mood_shift", "attention_factor"))
@@ -116,9 +119,9 @@ def rescore(
     against = where.where(F.col("contradiction_turn_index").isNotNull()).select(
         "call_id", F.col("contradiction_turn_index").alias("customer_turn_index")
     )
-    inputs = attention_inputs(
-        calls, judged, points, shifts, turns, repeats.prior_same_cluster(calls, call_clusters), against
-    )
+    if earlier is None:
+        earlier = repeats.prior_same_cluster(calls, call_clusters)
+    inputs = attention_inputs(calls, judged, points, shifts, turns, earlier, against, corpus)
     return evidence.cite_factors(stage("scores", attention.attention_scores(inputs)), rebuilt, turns, support)
 
 
