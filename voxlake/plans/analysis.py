@@ -9,9 +9,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake import fixed
 from voxlake.operators import attention, changepoint, contradiction, evidence, issues, judgments, mood, repeats
 from voxlake.operators.evidence import Support
+from voxlake.operators.turns import flip_speakers, swapped_calls
 from voxlake.session import settle
+from voxlake.sources.tables import invalidate
 
 Stage = Callable[[str, DataFrame], DataFrame]
 
@@ -147,3 +150,46 @@ def analyse_cluster_rescore(
     judged = calls.join(done.judged.select("call_id", "resolution_status"), "call_id")
     again, every = rescore(judged, turns, done.points, done.evidence, clusters, support, stage)
     return Batch(done, clusters, names, stage("rescored_attention", again), stage("rescored_evidence", every))
+
+
+@dataclass(frozen=True)
+class Repair:
+    """The stage tables after a repair, the calls it touched, and their new analysis where one was asked for."""
+
+    calls: DataFrame
+    turns: DataFrame
+    evidence: DataFrame
+    call_clusters: DataFrame
+    swapped: DataFrame
+    analysis: Analysis | None
+
+
+def repair_channel_swaps(
+    calls: DataFrame,
+    turns: DataFrame,
+    evidence_rows: DataFrame,
+    call_clusters: DataFrame,
+    pattern: str = fixed.GREETING,
+    lexicon: DataFrame | None = None,
+    judge: Any = judgments.rule_judge,
+    support: Support = Support(),
+    stage: Stage = checkpointed,
+) -> Repair:
+    """Find calls whose channels were swapped, turn their speakers round, forget what was judged of them, and with a
+    `lexicon` analyse just these calls again.
+
+    The calls are found once, from their first turns. Repeat contact of the new analysis counts all judged calls, the median
+    handle time is that of all calls. Without a swapped call everything stays as it is and the analysis is empty.
+    """
+    swapped = stage("swapped_calls", swapped_calls(turns, pattern))
+    flipped = flip_speakers(turns, swapped)
+    cleared, kept, bridge = invalidate(calls, evidence_rows, call_clusters, swapped)
+    done = None
+    if lexicon is not None:
+        again = stage("swapped_turns", flipped.join(swapped, "call_id", "left_semi"))
+        judged = cleared.where(F.col("intent_label").isNotNull()) if "intent_label" in cleared.columns else None
+        done = analyse(
+            cleared.join(swapped, "call_id", "left_semi"), again, lexicon, judge, support=support, history=judged,
+            corpus=calls.select("duration_seconds"), stage=stage,
+        )
+    return Repair(cleared, flipped, kept, bridge, swapped, done)

@@ -470,6 +470,11 @@ from calls left join (select call_id, count(*) as citations from ev group by 1)
     "turns_merged": f"select call_id, turn_index, speaker, {r6('start_seconds', 'end_seconds')}, text, n_words, overlapping from merged",
     "swapped_calls": "select call_id from swapped",
     "speakers_flipped": """select call_id, turn_index, case when call_id not in (select call_id from swapped) then speaker when speaker = 'agent' then 'customer' else 'agent' end as speaker from turns""",
+    "channel_swaps_repaired": """select call_id, case when hit then null else intent_label end as intent_label, case when hit then null else attention_score end as attention_score,
+  customer_turns, case when hit then null else citations end as citations, case when hit then null else cluster_id end as cluster_id
+from (select *, call_id in (select call_id from swapped) as hit from calls)
+left join (select call_id, count(*) filter (where speaker = case when call_id in (select call_id from swapped) then 'agent' else 'customer' end) as customer_turns from turns group by 1) using (call_id)
+left join (select call_id, count(*) as citations from ev group by 1) using (call_id) left join clusters using (call_id)""",
     "transcript_lines": "select call_id, turn_index, line from lines",
     "transcripts": "select call_id, cast(turn_index // 3 as int) as part, string_agg(line, chr(10) order by turn_index) as transcript, count(*) as n_turns from lines group by 1, 2",
     "clock_formats": f"""select event_id, {clock('value * 60')} as clock,

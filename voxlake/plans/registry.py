@@ -222,6 +222,16 @@ def speakers_flipped(spark, sf):
     return turns.flip_speakers(t, turns.swapped_calls(fx.turns(spark, sf), fx.GREETING))
 
 
+@query
+def channel_swaps_repaired(spark, sf):
+    t = fx.turns(spark, sf)
+    done = analysis.repair_channel_swaps(fx.calls(spark, sf), t, fx.call_evidence(spark, sf), fx.call_clusters(spark, sf), fx.GREETING, stage=lambda name, df: df)
+    said = done.turns.groupBy("call_id").agg(F.count_if(F.col("speaker") == "customer").alias("customer_turns"))
+    cited = done.evidence.groupBy("call_id").agg(F.count("*").alias("citations"))
+    kept = done.calls.select("call_id", "intent_label", "attention_score").join(said, "call_id", "left").join(cited, "call_id", "left")
+    return kept.join(done.call_clusters.select("call_id", "cluster_id"), "call_id", "left")
+
+
 @query
 def transcript_lines(spark, sf):
     return turns.transcript_lines(fx.turns(spark, sf))
