@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from voxlake.llm import near_dedup
@@ -118,3 +119,13 @@ def test_links_at_the_threshold_are_found(spark):
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
     linked = sum(got[b] == got[a] for a, b in [(2 * i, 2 * i + 1) for i in range(120)] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(120)])
     assert linked >= 0.999 * 240
+
+
+def test_parity_bitmaps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 7, 300, 3000):
+        for apart in (0, 1, n // 9, n // 2):
+            both, one, two = (rng.integers(0, 1 << 64, k, dtype="uint64") for k in (n, apart, n // 5))
+            left, right = near_dedup.parity(np.concatenate([both, one])), near_dedup.parity(np.concatenate([both, two]))
+            assert sum(int(x).bit_count() for x in (left ^ right).view("uint64")) <= apart + n // 5
+    assert not near_dedup.parity(np.zeros(0, dtype="uint64")).any()

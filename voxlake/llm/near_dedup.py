@@ -5,13 +5,16 @@ minwise tokens: two sets of similarity s stay together at a token with probabili
 with its smallest one and a few others. Links join components, and what a node still has to compare are members of different components:
 where that is little for its size it is done exhaustively, whatever the size; else the node branches on, each member into
 two children, so that similar sets hardly get lost. The number of trees follows from the recall that is asked for. Sketches
-of one bit a token throw out unlike pairs; the links are confirmed on the full sets, from the texts.
+of one bit a token throw out unlike pairs, and so do parity bitmaps of the sets, which lose no link: a shingle that only one of
+two sets has flips one bit, so that bitmaps differ in at most as many bits as the sets do in shingles. What is left is
+confirmed on the full sets, from the texts.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,9 @@ from voxlake.llm.filters import bitmap_of, passes
 from voxlake.session import settle
 
 TOKENS = 128
+#: 64-bit words of a set's parity bitmap. Up to about 1,000 shingles it tells most pairs below the similarity asked for.
+BITMAP = 8
+PARITY = tuple(f"p{i}" for i in range(BITMAP))
 #: A node compares exhaustively if that takes so many pairs a member at most.
 PAIRS_A_MEMBER = 512
 #: Members of a node, on average, that all others of it are compared with first.
@@ -67,6 +73,12 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each bit that shingles fall on, whether an odd number of them does, as 64-bit words."""
+    odd = np.bincount((shingles >> np.uint64(64 - (64 * BITMAP - 1).bit_length())).astype("int64"), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype("uint8")).view("<i8")
+
+
 def _survival(similar: float) -> float:
     """The chance that a link of this similarity is in some descendant, however often a node with it branches into two."""
     lost = 0.0
@@ -82,8 +94,8 @@ def _choice(tree: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, size: int, trees: int) -> DataFrame:
-    """`(doc_id, n, f1, f2, s1, s2, tokens, paths)`: size of the set, its fingerprint, the sketch, its tokens, and where
-    the first two choices of each tree lead."""
+    """`(doc_id, n, f1, f2, s1, s2, p0, p1, ..., tokens, paths)`: size of the set, its fingerprint, the sketch, its parity
+    bitmap, its tokens, and where the first two choices of each tree lead."""
     order = np.stack([_choice(t)[:2] for t in range(trees)])
     salt = np.arange(1, trees + 1, dtype="uint64") * _STEP
 
@@ -93,6 +105,7 @@ def _signed(docs: DataFrame, size: int, trees: int) -> DataFrame:
             tokens = np.array([minwise(s) for s in sets])
             bits = np.packbits(tokens.astype("uint8") & 1, axis=1).view("<i8")
             paths = mix((tokens[:, order[:, 0]] << np.uint64(32) | tokens[:, order[:, 1]]) * _STEP + salt)
+            odd = np.array([parity(s) for s in sets])
             total = np.array([s.sum() if len(s) else 0 for s in sets], dtype="uint64").view("int64")
             crossed = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], dtype="uint64").view("int64")
             offset = lambda width: pa.array(np.arange(len(sets) + 1, dtype="int32") * width)
@@ -104,21 +117,26 @@ def _signed(docs: DataFrame, size: int, trees: int) -> DataFrame:
                     pa.array(crossed),
                     pa.array(bits[:, 0].copy()),
                     pa.array(bits[:, 1].copy()),
+                    *[pa.array(odd[:, i].copy()) for i in range(BITMAP)],
                     pa.ListArray.from_arrays(offset(TOKENS), pa.array(tokens.astype("uint32").view("int32").ravel())),
                     pa.ListArray.from_arrays(offset(trees), pa.array(paths.view("int64").ravel())),
                 ],
-                ["doc_id", "n", "f1", "f2", "s1", "s2", "tokens", "paths"],
+                ["doc_id", "n", "f1", "f2", "s1", "s2", *PARITY, "tokens", "paths"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"doc_id {kind}, n long, f1 long, f2 long, s1 long, s2 long, tokens array<int>, paths array<long>")
+    longs = ", ".join(f"{c} long" for c in ("n", "f1", "f2", "s1", "s2", *PARITY))
+    return docs.mapInArrow(sign, f"doc_id {kind}, {longs}, tokens array<int>, paths array<long>")
 
 
 def _alike(a: str, b: str, percent: int, unlike_bits: int) -> Column:
-    """Whether sizes and sketches allow the similarity."""
+    """Whether sizes, sketches and parity bitmaps allow the similarity."""
     c = lambda side, name: F.col(f"{side}.{name}")
     apart = F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1"))) + F.bit_count(c(a, "s2").bitwiseXOR(c(b, "s2")))
-    return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (apart <= unlike_bits)
+    near = (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (apart <= unlike_bits)
+    odd = reduce(Column.__add__, [F.bit_count(c(a, p).bitwiseXOR(c(b, p))) for p in PARITY])
+    # Sets with intersection / union >= percent / 100 differ in (100 - percent) / (100 + percent) of their sizes' sum at most.
+    return near & (odd * (100 + percent) <= (c(a, "n") + c(b, "n")) * (100 - percent))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -169,8 +187,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     folded = settle(filled.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
 
     heads = folded.where("rep is not null").select(F.col("rep").alias("doc_id"), "f1", "f2", "n")
-    members = settle(filled.join(heads, ["doc_id", "f1", "f2", "n"]).select(F.col("doc_id").alias("id"), "n", "s1", "s2", "tokens", "paths"))
-    attributes = ["id", "n", "s1", "s2"]
+    members = settle(filled.join(heads, ["doc_id", "f1", "f2", "n"]).select(F.col("doc_id").alias("id"), "n", "s1", "s2", *PARITY, "tokens", "paths"))
+    attributes = ["id", "n", "s1", "s2", *PARITY]
     placed = members.select(*attributes, F.col("id").alias("component"), F.posexplode("paths").alias("tree", "node"))
     known, level = None, 2
     while True:
