@@ -164,6 +164,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _tokens_of(sets: DataFrame, filled: DataFrame) -> DataFrame:
+    """`(f1, tokens)` of the given sets, one row each. Rows of other sets hardly leave their tasks."""
+    needed = bitmap_of(sets, "f1")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(needed, batch.column(0).to_numpy())))
+
+    own = filled.select("f1", "tokens")
+    return own.mapInArrow(likely, own.schema).groupBy("f1").agg(F.first("tokens").alias("tokens"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, recall: float = 1 - 1e-7) -> DataFrame:
     """`(doc_id, n_shingles, component_id, kept)` for each row: the size of its set, the smallest id that links reach, and
     whether that is its own.
@@ -184,19 +196,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = settle(_signed(rows, shingle, trees))
     filled = signed.where("n > 0")
-    folded = settle(filled.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
-
-    heads = folded.where("rep is not null").select(F.col("rep").alias("doc_id"), "f1", "f2", "n")
-    members = settle(filled.join(heads, ["doc_id", "f1", "f2", "n"]).select(F.col("doc_id").alias("id"), "n", "s1", "s2", *PARITY, "tokens", "paths"))
-    attributes = ["id", "n", "s1", "s2", *PARITY]
-    placed = members.select(*attributes, F.col("id").alias("component"), F.posexplode("paths").alias("tree", "node"))
+    # What tells a set is the same in all of its rows; rows move with it only where a node has others to compare with.
+    attributes = ["n", "s1", "s2", *PARITY]
+    once = [F.first(c).alias(c) for c in ("s1", "s2", *PARITY, "paths")]
+    folded = settle(filled.drop("tokens").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), *once))
+    members = folded.where("rep is not null").withColumnRenamed("rep", "id")
+    told = members.select("id", "f1", *attributes)
+    placed = members.select("id", "f1", F.col("id").alias("component"), F.posexplode("paths").alias("tree", "node"))
     known, level = None, 2
     while True:
         sizes = settle(placed.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1"))
-        crowd = settle(placed.join(sizes, "node"))
+        crowd = settle(placed.join(sizes, "node").join(told, ["id", "f1"]))
         if crowd.isEmpty():
             break
-        side = lambda name: F.struct(*attributes, "component").alias(name)
+        side = lambda name: F.struct("id", *attributes, "component").alias(name)
         # Every member meets the smallest one and some others, of whom a hash of the id chooses about ANCHORS a node.
         chosen = (F.col("id") == F.col("pivot")) | (F.pmod(F.xxhash64("id", F.lit(level)), F.greatest(F.lit(1), F.expr(f"m div {ANCHORS}"))) == 0)
         anchors = crowd.where(chosen).select("node", side("x"))
@@ -207,31 +220,33 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         known = components(found, known)
 
         # Members by component. What is left to compare in a node are pairs across its components.
-        named = crowd.drop("component").join(known.select(F.col("node").alias("id"), "component"), "id", "left")
+        named = crowd.select("id", "f1", "tree", "node").join(known.select(F.col("node").alias("id"), "component"), "id", "left")
         named = settle(named.withColumn("component", F.coalesce("component", "id")))
         parts = named.groupBy("node", "component").agg(F.count("*").alias("c"))
         work = parts.groupBy("node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("component", "c").alias("largest"))
         work = settle(work.withColumn("pairs", F.expr("(m * m - squares) div 2")).where("pairs > 0").drop("squares"))
         last = level + 2 > TOKENS  # no token is left to branch by: all of the node is compared
         small = F.lit(last) | (F.col("pairs") <= F.col("m") * PAIRS_A_MEMBER)
-        outside = named.join(work.where(small).select("node", "largest"), "node").where("component != largest").select("node", "largest", side("x"))
+        inside = settle(named.join(work.where(small).select("node", "largest"), "node").join(told, ["id", "f1"]))
+        outside = inside.where("component != largest").select("node", "largest", side("x"))
         # A pair of two outsiders is met twice and taken once.
-        across = outside.join(named.select("node", side("y")), "node").where("x.component != y.component and (y.component = largest or x.id < y.id)")
+        across = outside.join(inside.select("node", side("y")), "node").where("x.component != y.component and (y.component = largest or x.id < y.id)")
         ordered = across.where(_alike("x", "y", percent, unlike)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         rest = settle(ordered.join(star_pairs, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             known = components(settle(_confirmed(rest, rows, shingle, percent)), known)
 
-        going = named.join(work.where(~small).select("node"), "node", "left_semi").select("id", "component", "tree", "node")
+        going = settle(named.join(work.where(~small).select("node"), "node", "left_semi").select("id", "f1", "component", "tree", "node"))
         if last or going.isEmpty():
             break
         # Two children for each member, by the next two tokens of the tree.
         choices = F.lit([_choice(t).tolist() for t in range(trees)])
         child = lambda n: F.xxhash64("node", F.lit(n), F.get("tokens", F.get(F.get(choices, F.col("tree")), F.lit(n))))
-        placed = settle(going.join(members, "id").select(*attributes, "component", "tree", F.explode(F.array(child(level), child(level + 1))).alias("node")))
+        tokens = _tokens_of(going.select("f1").distinct(), filled)
+        placed = settle(going.join(tokens, "f1").select("id", "f1", "component", "tree", F.explode(F.array(child(level), child(level + 1))).alias("node")))
         level += 2
 
-    joined = signed.select("doc_id", "n", "f1", "f2").join(folded, ["f1", "f2", "n"], "left")
+    joined = signed.select("doc_id", "n", "f1", "f2").join(folded.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
     if known is None:
         result = joined.withColumn("component", F.lit(None).cast(rows.schema["doc_id"].dataType))
     else:
