@@ -665,6 +665,13 @@ from calls join customers cu using (customer_id) join agents a using (agent_id)
 left join (select call_id, {_first('intent', 'quote')} as intent_quote, {_first('resolution', 'quote')} as resolution_quote, {_first('mood_shift', 'turn_index')} as mood_shift_cited,
   {_first('resolution_contradiction_agent', 'quote')} as agent_quote, {_first('resolution_contradiction_customer', 'quote')} as customer_quote from ev group by 1) using (call_id)"""
 
+FINAL["call_detail_factors"] = """select c.call_id, cu.name as customer_name, a.name as agent_name, evidence_coverage, cast(place as int) as place, factor, round(weight, 6) as weight, quote, timestamp, verified
+from (select distinct call_id, call_id % 13 + 1 as customer_id, call_id % 7 + 1 as agent_id from turns) c
+join customers cu using (customer_id) join agents a using (agent_id)
+left join (select call_id, round(avg(case when verified then 1.0 else 0.0 end) * 100, 1) as evidence_coverage from fevidence group by 1) v on v.call_id = c.call_id
+left join (select f.call_id as fc, place, factor, weight, quote, timestamp, verified from fplaced f left join
+  (select call_id as ec, turn_index as et, quote, timestamp, verified from ffirst) on ec = f.call_id and et = f.turn_index) g on fc = c.call_id"""
+
 ORACLE: dict[str, str] = {name: sql(final) for name, final in FINAL.items()}
 
 ORACLE["clusters_refreshed"] = ORACLE["cluster_sizes"]

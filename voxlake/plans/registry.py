@@ -853,6 +853,20 @@ def call_details(spark, sf):
     )
 
 
+@query
+def call_detail_factors(spark, sf):
+    t = settle(fx.turns(spark, sf))
+    scores, every = evidence.cite_factors(settle(_scored(spark, t)), settle(_evidence(t)), t)
+    c = _conversation_calls(t).withColumn("customer_id", F.col("call_id") % 13 + 1).withColumn("agent_id", F.col("call_id") % 7 + 1)
+    d = views.call_detail(c, fx.customers(spark, sf), fx.agents(spark, sf), every, attention=scores)
+    f = d.select("call_id", "customer_name", "agent_name", "evidence_coverage", F.posexplode_outer("attention_factors").alias("place", "f"))
+    return f.select(
+        "call_id", "customer_name", "agent_name", "evidence_coverage", "place", "f.factor", r6("f.weight", "weight"),
+        F.col("f.evidence.quote").alias("quote"), F.col("f.evidence.timestamp").alias("timestamp"),
+        F.col("f.evidence.verified").alias("verified"),
+    )
+
+
 @query
 def call_turns(spark, sf):
     t = settle(fx.turns(spark, sf))

@@ -114,9 +114,13 @@ def overview_counters(calls: DataFrame, evidence: DataFrame, day=None) -> DataFr
 # One call
 
 
-def call_detail(calls: DataFrame, customers: DataFrame, agents: DataFrame, evidence: DataFrame, call_id=None) -> DataFrame:
+def call_detail(
+    calls: DataFrame, customers: DataFrame, agents: DataFrame, evidence: DataFrame, call_id=None, attention: DataFrame | None = None
+) -> DataFrame:
     """Header of one call (or of every call): names, judgments, first citation per claim, coverage.
 
+    With `attention`, the scores with cited factors as `analyse` or `rescore` gives them, also `attention_factors`: name,
+    weight and citation (null if the factor points at no turn) by falling weight; empty for a call without a score.
     The turns are a separate flat view, `call_turns`, so a header row never grows with the length of its call.
     """
     chosen = calls if call_id is None else calls.where(F.col("call_id") == call_id)
@@ -137,6 +141,11 @@ def call_detail(calls: DataFrame, customers: DataFrame, agents: DataFrame, evide
         F.col("_agent").isNotNull() & F.col("_customer").isNotNull(),
         F.struct(F.col("_agent").alias("agent_evidence"), F.col("_customer").alias("customer_evidence")),
     )
+    if attention is not None:
+        slim = F.transform("factors", lambda f: F.struct(f["factor"].alias("factor"), f["weight"].alias("weight"), f["evidence"].alias("evidence")))
+        scored = attention if call_id is None else attention.where(F.col("call_id") == call_id)
+        chosen = chosen.join(scored.select("call_id", slim.alias("attention_factors")), "call_id", "left")
+        chosen = chosen.withColumn("attention_factors", F.coalesce("attention_factors", F.array().cast(chosen.schema["attention_factors"].dataType)))
     return (
         chosen.join(customers.select("customer_id", F.col("name").alias("customer_name")), "customer_id")
         .join(agents.select("agent_id", F.col("name").alias("agent_name")), "agent_id")
