@@ -4,6 +4,7 @@ import pytest
 from test_density import brute
 from voxlake.functions import graph
 from voxlake.operators import issues
+from voxlake.plans.registry import QUERIES
 
 
 def planted(seed=1, groups=4, size=12, noise=10, dims=24, spread=0.12):
@@ -150,3 +151,13 @@ def test_names(spark):
     texts += [(30, "alpha", 3), (31, "beta", 3), (32, "gamma", 3), (33, "delta", 3)]
     got = {r["cluster_id"]: r["label"] for r in issues.name_clusters(spark.createDataFrame(texts, "id int, text string, cluster_id int")).collect()}
     assert got == {1: "bill / electric / pay", 2: "link / password / reset", 3: "alpha / beta / delta"}
+
+
+def test_naming_reads_the_texts_once_and_a_refresh_names_once(spark, monkeypatch, tmp_path):
+    texts = spark.createDataFrame([(i, f"router {'offline' if i % 2 else 'slow'} word{i}", i % 2) for i in range(40)], "id long, text string, cluster_id long")
+    plan = issues.name_clusters(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    spark.createDataFrame([(i, f"text about thing {i}") for i in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked, name = [], issues.name_clusters
+    monkeypatch.setattr(issues, "name_clusters", lambda t: asked.append(1) or name(t))
+    assert QUERIES["clusters_refreshed"](spark, str(tmp_path)).count() == 8 and len(asked) == 1
