@@ -15,6 +15,8 @@ from voxlake.functions.similarity import unit
 from voxlake.session import settle
 
 MAX_PIVOTS = 1024
+#: Vectors that are held against all pivots at once, and rows that are given out at once.
+IN_ROWS, OUT_ROWS = 1024, 4096
 
 
 def _choose_pivots(vectors: DataFrame, rows_per_cell: int) -> np.ndarray:
@@ -32,18 +34,20 @@ def _cells(pivots: np.ndarray, radius: float):
     order = np.arange(len(pivots))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for whole, at in ((b, i) for b in batches for i in range(0, len(b), IN_ROWS)):
+            batch = whole.iloc[at : at + IN_ROWS]
             x = np.stack(batch["vector"].to_numpy())
             to = (x**2).sum(axis=1)[:, None] + square[None, :] - 2 * x @ pivots.T
             home = to.argmin(axis=1)
             lead = to - to[np.arange(len(x)), home][:, None]
             near = (lead <= 2 * radius * apart[home] + 1e-9) & (order[None, :] < home[:, None])
             near[np.arange(len(x)), home] = True
+            # A vector may visit every lower cell, so what is given out at once is bounded, not what a batch becomes.
             row, cell = np.nonzero(near)
-            out = batch.iloc[row].reset_index(drop=True)
-            yield out.assign(cell=cell.astype("int32"), home=cell == home[row])
+            for at in range(0, len(row), OUT_ROWS):
+                r, c = row[at : at + OUT_ROWS], cell[at : at + OUT_ROWS]
+                out = batch.iloc[r].reset_index(drop=True)
+                yield out.assign(cell=c.astype("int32"), home=c == home[r])
 
     return place
 
