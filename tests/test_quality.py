@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from check import compare
 
+from voxlake.functions import similarity
 from voxlake.functions.similarity import _alignment
 from voxlake.plans import quality
 from voxlake.plans.oracle import ORACLE
@@ -71,3 +72,12 @@ def test_citations_beyond_a_call_stay_orphaned_in_long_calls(spark, tmp_path):
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     for name in ("citation_recheck", "citation_rejections", "citation_pass_rates", "stored_against_recomputed"):
         assert not compare(spark, con, QUERIES[name], ORACLE[name], str(tmp_path))[0], name
+
+
+def test_alignments_in_a_band_equal_the_full_table(monkeypatch):
+    monkeypatch.setattr(similarity, "BAND_WORDS", 0)
+    test_alignments_equal_the_full_table()
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefg") for _ in range(rng.randrange(12))] for _ in range(2))
+        assert brute(a, b) == _alignment(a, b)

@@ -132,6 +132,10 @@ def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     )
 
 
+#: From so many words on, only the cells that the fewest edits can reach are filled in.
+BAND_WORDS = 2000
+
+
 def _alignment(reference, hypothesis) -> tuple[int, int, int]:
     """Substitutions, deletions and insertions of the best alignment: fewest edits, then most words right.
 
@@ -148,12 +152,19 @@ def _alignment(reference, hypothesis) -> tuple[int, int, int]:
     if len(b) > len(a):
         a, b = b, a  # the shorter one makes the row; deletions and insertions follow from m and n in any case
     unit = len(a) + len(b) + 1
+    # Gaps are as many as the edits at most, so the path leaves neither side of a band around the diagonal. Short texts are
+    # done before the edits are counted.
+    fewest = _edits(a.tolist(), b.tolist()) if len(b) >= BAND_WORDS else len(a) + len(b)
+    down, up = (fewest + len(a) - len(b)) // 2, (fewest - len(a) + len(b)) // 2
     steps = unit * np.arange(len(b) + 1)
-    row = steps.copy()
-    for word in a.tolist():
-        entry = row + unit
-        np.minimum(entry[1:], row[:-1] + (unit + 1) * (b != word), out=entry[1:])
-        row = np.minimum.accumulate(entry - steps) + steps  # insertions add a unit a place
+    row = np.where(np.arange(len(b) + 1) <= up, steps, unit * unit)
+    for i, word in enumerate(a.tolist(), 1):
+        low, high = max(0, i - down), min(len(b), i + up) + 1
+        entry = row[low:high] + unit
+        left = max(low, 1)
+        diagonal = row[left - 1 : high - 1] + (unit + 1) * (b[left - 1 : high - 1] != word)
+        np.minimum(entry[left - low :], diagonal, out=entry[left - low :])
+        row[low:high] = np.minimum.accumulate(entry - steps[low:high]) + steps[low:high]  # insertions add a unit a place
     edits, substitutions = divmod(int(row[-1]), unit)
     gaps = edits - substitutions
     return substitutions, (gaps + m - n) // 2, (gaps - m + n) // 2
