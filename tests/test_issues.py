@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from test_density import brute
@@ -161,3 +162,13 @@ def test_naming_reads_the_texts_once_and_a_refresh_names_once(spark, monkeypatch
     asked, name = [], issues.name_clusters
     monkeypatch.setattr(issues, "name_clusters", lambda t: asked.append(1) or name(t))
     assert QUERIES["clusters_refreshed"](spark, str(tmp_path)).count() == 8 and len(asked) == 1
+
+
+def test_placing_gives_bounded_slices_and_loses_no_vector():
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 16)))
+    batch = pd.DataFrame({"id": np.arange(3000), "vector": list(unit(3000))})
+    parts = list(graph._cells(unit(40), np.sqrt(2 - 2 * 0.2))(iter([batch, batch[:0]])))
+    every = pd.concat(parts)
+    assert max(map(len, parts)) <= 4096 < len(every)
+    assert sorted(every[every["home"]]["id"]) == list(range(3000)) and not every.duplicated(["id", "cell"]).any()
