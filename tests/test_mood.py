@@ -90,3 +90,10 @@ def test_substantive_turns(spark):
     texts = ["Thank you so much.", "bye", "70021.", "$147", "my card", "I lost my debit card yesterday", "No, have a nice day"]
     got = customer(spark, *texts).orderBy("turn_index").select(is_substantive(F.col("text"))).collect()
     assert [r[0] for r in got] == [False, False, False, False, False, True, False]
+
+
+def test_no_words_go_through_the_driver(spark):
+    said = spark.range(1000).select(F.col("id").alias("call_id"), F.lit(0).alias("turn_index"), F.lit("so good and so bad").alias("text"))
+    scored = mood.text_valence(said, mood.default_lexicon(spark))
+    assert "BuildLeft" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.select("valence").distinct().count() == 1

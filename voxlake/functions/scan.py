@@ -49,7 +49,9 @@ def running_totals(
     carry = sums.select(
         *keys, BLOCK, *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in totals]
     )
-    joined = local.join(carry, [*keys, BLOCK], "left")
+    # The rows are dealt and sorted by key and block already. The size of the carry, one row a block, is a guess, so it is not
+    # sent through the driver.
+    joined = local.join(carry.hint("merge"), [*keys, BLOCK], "left")
     return joined.select(
         *df.columns,
         *[

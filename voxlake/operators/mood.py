@@ -91,7 +91,8 @@ def text_valence(turns: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("c
     """Add `valence` in [-1, 1] (0 for blank text) and `mere_decline` per turn.
 
     Only words found in the lexicon survive the join, and they are summed per turn before any shuffle. The text and its
-    refusal-free variant are scored in the same pass. Catalyst broadcasts the lexicon when it is small enough.
+    refusal-free variant are scored in the same pass. The lexicon is sent to the words: left to its guesses, Catalyst takes a
+    lexicon of unknown size for the larger side and sends all words of all turns through the driver.
     """
     turns_kept = computed_once(turns, _kept=refusal_free(F.col("text")))
     kept = F.col("_kept")
@@ -103,7 +104,7 @@ def text_valence(turns: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("c
     tokens = _token_contexts(texts, keys)
     value = _adjusted(F.col("valence"), F.col("shout"), F.col("weight"), [F.col("p1"), F.col("p2"), F.col("p3")])
     sums = (
-        tokens.join(lexicon, "token")
+        tokens.join(F.broadcast(lexicon), "token")
         .select(*keys, "variant", value.alias("_v"))
         .groupBy(*keys)
         .agg(
