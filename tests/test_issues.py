@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from test_density import brute
 from voxlake.functions import graph
@@ -172,3 +173,9 @@ def test_placing_gives_bounded_slices_and_loses_no_vector():
     every = pd.concat(parts)
     assert max(map(len, parts)) <= 4096 < len(every)
     assert sorted(every[every["home"]]["id"]) == list(range(3000)) and not every.duplicated(["id", "cell"]).any()
+
+
+def test_vectors_do_not_go_through_the_driver(spark):
+    vectors = spark.range(60).select("id", F.array(F.cos(F.col("id") % 20), F.sin(F.col("id") % 20)).alias("vector"))
+    plans = [issues.density_clusters(vectors, min_size=5), issues.components_at(vectors, 0.9)]
+    assert not [p for p in plans if "BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString()]

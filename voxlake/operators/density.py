@@ -4,7 +4,8 @@ With one-neighbour core distances hierarchical density clustering is single link
 forest. The edges are split at their median weight: the components of the near half are problems of their own, the far half
 links these components, and so on for all problems of a level at once, until each fits a task. A task then merges along the
 sorted weights, all edges of one weight together, so that ties need no order. Roots and members of problems are put together
-by joins, one for each level of splitting.
+by joins, one for each level of splitting. Their sides are read from checkpoints, whose sizes are guesses, so sides that grow with
+the points are merged by hint and not sent through the driver.
 """
 
 from __future__ import annotations
@@ -47,18 +48,18 @@ def _split(edges: DataFrame, nodes: DataFrame, problem_edges: int) -> tuple[Data
         marked = settle(edges.join(large, "s", "left").withColumn("near", (F.col("w") > F.col("mid")) | ((F.col("mid") == F.col("high")) & (F.col("w") == F.col("high")))))
         near = marked.where("near")
         found = connected_components(near.select(_key("s", "a").alias("src"), _key("s", "b").alias("dst")))
-        moved = settle(nodes.withColumn("key", _key("s", "node")).join(found.withColumnRenamed("node", "key"), "key").select("s", "node", "size", "component"))
-        at = lambda end: moved.select("s", F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        moved = settle(nodes.withColumn("key", _key("s", "node")).join(found.withColumnRenamed("node", "key").hint("merge"), "key").select("s", "node", "size", "component"))
+        at = lambda end: moved.select("s", F.col("node").alias(end), F.col("component").alias(f"{end}_in")).hint("merge")
         of_near = near.join(at("a"), ["s", "a"]).select(F.col("a_in").alias("s"), "a", "b", "w")
         rest = marked.where("near is null or not near").join(at("a"), ["s", "a"], "left").join(at("b"), ["s", "b"], "left")
         renamed = rest.select("s", F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"), "w").where("a != b")
         edges = settle(of_near.unionByName(renamed))
-        kept = nodes.join(moved.select("s", "node"), ["s", "node"], "left_anti")
+        kept = nodes.join(moved.select("s", "node").hint("merge"), ["s", "node"], "left_anti")
         joined = moved.groupBy("s", F.col("component").alias("node")).agg(F.sum("size").alias("size"))
         nodes = settle(moved.select(F.col("component").alias("s"), "node", "size").unionByName(kept).unionByName(joined))
         new = moved.select(F.col("component").alias("s"), F.col("s").alias("parent"), F.col("component").alias("node")).distinct()
         again = moved.select(F.col("s").alias("parent"), "node", "component")
-        up = up.join(again, ["parent", "node"], "left").select("s", F.coalesce("component", "parent").alias("parent"), "node")
+        up = up.join(again.hint("merge"), ["parent", "node"], "left").select("s", F.coalesce("component", "parent").alias("parent"), "node")
         up = settle(up.unionByName(new))
 
 
@@ -163,7 +164,7 @@ def tree_clusters(edges: DataFrame, points: DataFrame, least: int, problem_edges
 
     # Nodes without an edge are left as they are, in no problem.
     linked = parts.select("s", F.col("a").alias("node")).union(parts.select("s", "b")).distinct()
-    inside = nodes.join(linked, ["s", "node"])
+    inside = nodes.join(linked.hint("merge"), ["s", "node"])
     out = "kind string, x string, branch string, w double, size long, s string"
     told = settle(parts.groupBy("s").cogroup(inside.groupBy("s")).applyInPandas(solve, out))
 
@@ -189,7 +190,7 @@ def tree_clusters(edges: DataFrame, points: DataFrame, least: int, problem_edges
     # A single row that is worth the same: all points at their mean density.
     mean = (1 - F.pow(F.col("size") / F.col("d"), 2) / 2).alias("w")
     copies = points.where(F.col("weight") >= least).select(name("id").alias("node"))
-    held = nodes.join(copies, "node", "left_semi").select("s", "node", "size", F.concat(F.lit("?"), _key("s", "node")).alias("branch"))
+    held = nodes.join(copies.hint("merge"), "node", "left_semi").select("s", "node", "size", F.concat(F.lit("?"), _key("s", "node")).alias("branch"))
     held = settle(held)
     every = named.select("branch").union(held.select("branch")).distinct()
     tops = every.join(merged.select(F.col("x").alias("branch")), "branch", "left_anti")
@@ -202,14 +203,14 @@ def tree_clusters(edges: DataFrame, points: DataFrame, least: int, problem_edges
 
     # Members: a point enters where it stands, or where the group that its problem ended as enters later.
     entered = settle(joins.select("s", F.col("x").alias("node"), "branch").unionByName(held.select("s", "node", "branch")))
-    standing = nodes.join(leaves.select("node"), "node", "left_semi").select(F.col("node").alias("point"), "s", "node")
+    standing = nodes.join(leaves.select("node").hint("merge"), "node", "left_semi").select(F.col("node").alias("point"), "s", "node")
     done = None
     while True:
-        here = settle(standing.join(entered, ["s", "node"], "left").join(up.select("s", F.col("parent").alias("next"), F.col("node").alias("as")), "s", "left"))
+        here = settle(standing.join(entered.hint("merge"), ["s", "node"], "left").join(up.select("s", F.col("parent").alias("next"), F.col("node").alias("as")), "s", "left"))
         found = here.where("branch is not null").select("point", "branch")
         done = found if done is None else done.unionByName(found)
         standing = here.where("branch is null and next is not null").select("point", F.col("next").alias("s"), F.col("as").alias("node"))
         if standing.isEmpty():
             break
     labelled = done.join(choice, "branch").select("point", F.col("chosen").alias("branch"))
-    return points.select("id", name("id").alias("point")).join(labelled, "point").select("id", "branch")
+    return points.select("id", name("id").alias("point")).join(labelled.hint("merge"), "point").select("id", "branch")
