@@ -161,3 +161,10 @@ def test_contradictions_need_a_later_pushback(spark):
     assert 10 < len(got) < 60
     judged = spark.createDataFrame([(c, "resolved" if c < "c30" else "partial") for c in got], "call_id string, resolution_status string")
     assert {r["call_id"] for r in contradiction.resolved_contradictions(t, judged).collect()} == {c for c in got if c < "c30"}
+
+
+def test_turns_do_not_go_through_the_driver(spark):
+    said = spark.range(500).select(F.col("id").alias("call_id"), F.lit(0).alias("turn_index"), F.lit("the bill is wrong again").alias("text"), F.lit(1.0).alias("start_seconds"))
+    claims = evidence.judgment_claims(said.select("call_id", F.lit("a bill").alias("intent_label"), F.lit("partial").alias("resolution_status"), F.lit(0).alias("intent_turn_index"), F.lit(0).alias("resolution_turn_index")))
+    found = evidence.build_evidence(claims, said)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1000

@@ -85,7 +85,7 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
     sketch = F.percentile_approx("_v", [0.49, 0.51], F.lit(1000))
     stats = rows.groupBy(*keys).agg(F.count("*").alias("_n"), sketch.alias("_b"))
     if keys:
-        bracketed = rows.join(stats, keys)
+        bracketed = rows.join(stats.hint("merge"), keys)
     else:
         one = stats.select(F.struct("_n", "_b").alias("_s"))
         bracketed = rows.withColumn("_s", one.scalar()).select("*", "_s._n", "_s._b")

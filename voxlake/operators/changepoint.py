@@ -25,7 +25,7 @@ def positions(series: DataFrame, width: int = WIDTH) -> DataFrame:
         {"_k": F.lit(1), "cum_score": F.col("score")},
     )
     sizes = series.groupBy("call_id").agg(F.count("*").alias("n"), F.sum("score").alias("total_score"))
-    return numbered.join(sizes, "call_id").withColumn("pos", F.col("_k") - 1).drop("_k")
+    return numbered.join(sizes.hint("merge"), "call_id").withColumn("pos", F.col("_k") - 1).drop("_k")
 
 
 def smooth(placed: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -90,7 +90,7 @@ def breaks(smoothed: DataFrame, min_points: int = fixed.MIN_SERIES) -> DataFrame
     kind = smoothed.schema["call_id"].dataType.simpleString()
     # A fixed number keeps this processor-bound stage from being merged into few tasks because its rows are small.
     tasks = int(smoothed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    priced = smoothed.join(penalties(smoothed), "call_id").where(F.col("n") >= min_points)
+    priced = smoothed.join(penalties(smoothed).hint("merge"), "call_id").where(F.col("n") >= min_points)
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held, price = None, [], 0.0
@@ -139,7 +139,7 @@ def _described(placed: DataFrame, cuts: DataFrame) -> DataFrame:
         ((F.col("cum_score") - F.col("score")) / F.nullif(F.col("pos"), F.lit(0))).alias("before_mean"),
         ((F.col("total_score") - F.col("cum_score") + F.col("score")) / (F.col("n") - F.col("pos"))).alias("after_mean"),
     )
-    return cuts.join(at, ["call_id", "break_pos"]).withColumn("delta", F.col("after_mean") - F.col("before_mean"))
+    return cuts.join(at.hint("merge"), ["call_id", "break_pos"]).withColumn("delta", F.col("after_mean") - F.col("before_mean"))
 
 
 def _largest(described: DataFrame, min_delta: float) -> DataFrame:
@@ -170,7 +170,7 @@ def single_split(series: DataFrame, min_delta: float = fixed.MIN_DELTA) -> DataF
     before = (F.col("cum_smoothed") - F.col("smoothed")) / b
     after = (F.col("total_smoothed") - F.col("cum_smoothed") + F.col("smoothed")) / (n - b)
     candidates = (
-        summed.join(totals, "call_id")
+        summed.join(totals.hint("merge"), "call_id")
         .where((n >= fixed.MIN_SERIES) & (b >= 2) & (b <= n - 2))
         .select("call_id", F.col("pos").alias("break_pos"), F.abs(after - before).alias("_gap"))
     )
@@ -186,5 +186,5 @@ def reportable_shifts(points: DataFrame) -> DataFrame:
     found = mood_shifts(points.where("substantive").select("call_id", "turn_index", "score"))
     citable = points.where("citable").select("call_id", "turn_index")
     return found.where((F.col("delta") <= 0) & (F.col("after_mean") <= fixed.SHIFT_NEGATIVE_FLOOR)).join(
-        citable, ["call_id", "turn_index"], "left_semi"
+        citable.hint("merge"), ["call_id", "turn_index"], "left_semi"
     )

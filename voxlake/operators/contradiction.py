@@ -21,7 +21,7 @@ def contradictions(
     first = marked.where("_claim").groupBy("call_id").agg(F.min("turn_index").alias("agent_turn_index"))
     return (
         marked.where("_push")
-        .join(first, "call_id")
+        .join(first.hint("merge"), "call_id")
         .where(F.col("turn_index") > F.col("agent_turn_index"))
         .groupBy("call_id", "agent_turn_index")
         .agg(F.min("turn_index").alias("customer_turn_index"))
@@ -30,4 +30,4 @@ def contradictions(
 
 def resolved_contradictions(turns: DataFrame, judgments: DataFrame, **patterns: str) -> DataFrame:
     resolved = judgments.where(F.col("resolution_status") == "resolved").select("call_id")
-    return contradictions(turns, **patterns).join(resolved, "call_id", "left_semi")
+    return contradictions(turns, **patterns).join(resolved.hint("merge"), "call_id", "left_semi")

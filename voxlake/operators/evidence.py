@@ -110,7 +110,9 @@ def build_evidence(claims: DataFrame, turns: DataFrame, support: Support = Suppo
 
     In: `call_id, claim_type, claim_text, turn_index, ord, check_support`.
     """
-    cited = claims.join(turns.select("call_id", "turn_index", "text", "start_seconds"), ["call_id", "turn_index"])
+    # Merged, as a guess of the size of the turns may be low enough for Catalyst to send all texts through the driver.
+    texts = turns.select("call_id", "turn_index", "text", "start_seconds").hint("merge")
+    cited = claims.join(texts, ["call_id", "turn_index"])
     quoted = select_quotes(cited, support).withColumn(
         "claim", F.when(F.col("check_support"), claim_to_check(F.col("claim_type"), F.col("claim_text")))
     )
@@ -174,7 +176,7 @@ def cite_factors(
     )
     pointing = flat.where(F.col("turn_index").isNotNull())
     missing = (
-        pointing.join(evidence.select("call_id", "turn_index").distinct(), ["call_id", "turn_index"], "left_anti")
+        pointing.join(evidence.select("call_id", "turn_index").distinct().hint("merge"), ["call_id", "turn_index"], "left_anti")
         .groupBy("call_id", "turn_index")
         .agg(F.min(F.struct("place", "factor", "check_support")).alias("_f"))
         .select(
@@ -191,7 +193,7 @@ def cite_factors(
     payload = F.when(
         F.col("_e").isNotNull(), F.struct("turn_index", "_e.timestamp", "_e.quote", "_e.verified")
     )
-    cited = pointing.join(known, ["call_id", "turn_index"], "left").select(
+    cited = pointing.join(known.hint("merge"), ["call_id", "turn_index"], "left").select(
         "call_id", "place", payload.alias("evidence")
     )
     # A score has at most seven factors, so the list per call stays small.
@@ -209,7 +211,7 @@ def cite_factors(
             F.when(F.col("_by_place").isNotNull(), F.try_element_at("_by_place", i)).alias("evidence"),
         ),
     )
-    return scores.join(rows, "call_id", "left").withColumn("factors", full).drop("_by_place"), every
+    return scores.join(rows.hint("merge"), "call_id", "left").withColumn("factors", full).drop("_by_place"), every
 
 
 def factor_payloads(scores: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def coerce(parsed: DataFrame, turn_counts: DataFrame) -> DataFrame:
     """Check parsed judgments against the transcript: clamp turn numbers, fix unknown status and blank label."""
     j = F.col("judgment")
     status = F.lower(tx.strip(j["resolution"]["status"]))
-    joined = parsed.join(turn_counts, "call_id")
+    joined = parsed.join(turn_counts.hint("merge"), "call_id")
     return joined.select(
         "call_id",
         *[c for c in parsed.columns if c in ("judge", "analyzed_at")],

@@ -113,7 +113,7 @@ def text_valence(turns: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("c
         )
     )
     n_all, n_kept = tx.word_count(F.col("text")), F.size(kept)
-    scored = turns_kept.join(sums, list(keys), "left")
+    scored = turns_kept.join(sums.hint("merge"), list(keys), "left")
     plain = _compound(F.coalesce(F.col("_s0"), F.lit(0.0)), F.col("text"))
     rest = _compound(F.coalesce(F.col("_s1"), F.lit(0.0)), F.array_join(kept, " "))
     decline = F.when(n_kept == n_all, False).when(n_kept == 0, True).otherwise(rest > -0.05)
@@ -161,7 +161,7 @@ def mood_points(turns: DataFrame, lexicon: DataFrame) -> DataFrame:
     customer = turns.where(F.col("speaker") == "customer")
     # The medians come from their own narrow branch, so sentiment is computed once.
     medians = median_rates(prosody(customer).select("call_id", "speaker", "words_per_second", "measurable"))
-    joined = prosody(text_valence(customer, lexicon)).join(medians, "call_id", "left")
+    joined = prosody(text_valence(customer, lexicon)).join(medians.hint("merge"), "call_id", "left")
     text_score = F.when((F.col("valence") < 0) & F.col("mere_decline"), 0.0).otherwise(F.col("valence"))
     delivery = prosody_valence(
         F.col("words_per_second"), F.coalesce("median_rate", F.lit(0.0)), F.col("pause_share"), F.col("measurable")
@@ -218,6 +218,6 @@ def worst_mood(points: DataFrame) -> DataFrame:
 
 def mood_timeline(turns: DataFrame, points: DataFrame) -> DataFrame:
     scored = points.where(F.col("score").isNotNull()).select("call_id", "turn_index", "score")
-    return turns.join(scored, ["call_id", "turn_index"]).select(
+    return turns.join(scored.hint("merge"), ["call_id", "turn_index"]).select(
         "call_id", "turn_index", F.col("start_seconds").alias("seconds"), "score", "text"
     )

@@ -49,7 +49,7 @@ def prior_counts(
 def prior_same_cluster(calls: DataFrame, call_clusters: DataFrame, days: int = fixed.REPEAT_WINDOW_DAYS) -> DataFrame:
     """`(call_id, repeat_count)` by customer and issue cluster inside the window; calls without a cluster count 0."""
     placed = calls.select("call_id", "customer_id", "started_at").join(
-        call_clusters.select("call_id", "cluster_id"), "call_id", "left"
+        call_clusters.select("call_id", "cluster_id").hint("merge"), "call_id", "left"
     )
     return prior_counts(placed, ["customer_id", "cluster_id"], days).select("call_id", "repeat_count")
 

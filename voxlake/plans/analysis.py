@@ -20,7 +20,8 @@ Stage = Callable[[str, DataFrame], DataFrame]
 
 
 def checkpointed(name: str, df: DataFrame) -> DataFrame:
-    return settle(df)
+    """A reliable checkpoint. Its size is a guess, often far too low, so joins merge it and never send it through the driver."""
+    return settle(df).hint("merge")
 
 
 @dataclass(frozen=True)
@@ -42,12 +43,12 @@ def attention_inputs(
     against = contradicted.select("call_id", F.col("customer_turn_index").alias("contradiction_turn_index"))
     timed = attention.with_median_duration(calls.select("call_id", "duration_seconds"), corpus)
     return (
-        judged.join(timed, "call_id")
-        .join(mood.worst_mood(points), "call_id", "left")
-        .join(shift, "call_id", "left")
-        .join(mood.escalation_summary(mood.escalation_hits(turns)), "call_id", "left")
-        .join(repeat_counts, "call_id", "left")
-        .join(against, "call_id", "left")
+        judged.join(timed.hint("merge"), "call_id")
+        .join(mood.worst_mood(points).hint("merge"), "call_id", "left")
+        .join(shift.hint("merge"), "call_id", "left")
+        .join(mood.escalation_summary(mood.escalation_hits(turns)).hint("merge"), "call_id", "left")
+        .join(repeat_counts.hint("merge"), "call_id", "left")
+        .join(against.hint("merge"), "call_id", "left")
     )
 
 
@@ -117,7 +118,7 @@ def rescore(
     )
     where = evidence.cited_turns(kept)
     judged = calls.where(F.col("resolution_status").isNotNull()).select("call_id", "resolution_status").join(
-        where.drop("contradiction_turn_index"), "call_id", "left"
+        where.drop("contradiction_turn_index").hint("merge"), "call_id", "left"
     )
     against = where.where(F.col("contradiction_turn_index").isNotNull()).select(
         "call_id", F.col("contradiction_turn_index").alias("customer_turn_index")
