@@ -83,3 +83,12 @@ def test_pieces_hold_every_id_once_with_little_padding(spark, parts):
 
 def test_no_documents(spark):
     assert packed(spark.createDataFrame([], "doc_id long, text string"), word_tokenizer()).collect() == []
+
+
+def test_what_a_worker_remembers_is_bounded():
+    small, large = CachedTokenizer(word_tokenizer(), remember=50), CachedTokenizer(word_tokenizer())
+    for i in range(40):
+        texts = [f"word{i}x{j}, and more" for j in range(20)]
+        assert small.encode(texts) == large.encode(texts)
+    held = [small.chunks, small.words]
+    assert max(len(x.young) + len(x.old) for x in held) <= 2 * (50 + 45) < len(large.chunks.young)

@@ -26,7 +26,7 @@ CACHE = 600_000
 #: A line of letters of Latin-1 and then marks of ASCII: the tokenizer makes one word of the letters, in lower case, and one of
 #: the marks. Any other line is the third group.
 _LINE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#$%&()*+,./:;<=>?@\\^_`{|}~\[\]\"-]*)|(.*))$", re.MULTILINE)
-_tokenizers: dict[str, "CachedTokenizer"] = {}
+_tokenizers: dict[tuple[str, int], "CachedTokenizer"] = {}
 
 
 class _Generations:
@@ -52,12 +52,12 @@ class CachedTokenizer:
     Its words never cross white space, so texts are cut there and the library sees each new piece once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.chunks, self.words = _Generations(CACHE), _Generations(CACHE)
+        self.chunks, self.words = _Generations(remember), _Generations(remember)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         """All texts in one call, with blanks between; the offsets tell whose the ids are."""
@@ -99,10 +99,10 @@ class CachedTokenizer:
         return out
 
 
-def tokenizer(path: str) -> CachedTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(path: str, remember: int = CACHE) -> CachedTokenizer:
+    if (path, remember) not in _tokenizers:
+        _tokenizers[path, remember] = CachedTokenizer(path, remember)
+    return _tokenizers[path, remember]
 
 
 class SumOfSquares:
@@ -156,20 +156,21 @@ def _close(pieces_of: dict[int, list[list]], levels: dict[int, int], size: int)
                 low += 1
 
 
-def packed(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, release: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, release: bool = False, remember: int = CACHE) -> DataFrame:
     """One row for each piece of a document: `doc_id`, `start` (ids of its document before it), `ids` (little-endian
     unsigned 32-bit), `doc_tokens`, `sequence_id`, `offset` (in the sequence, gapless from 0).
 
     A document is its ids and the end id; a null or empty text is the end id alone. Every row counts, repeated ones too;
     sequence ids are unique, not gapless. An empty table gives no pieces. Only the two columns named are read. A very long
     text is encoded whole and cut into windows like any other. With `release`, what a worker remembers goes when its task
-    ends, so that stages that reuse the worker have its memory; else the next task starts with it.
+    ends, so that stages that reuse the worker have its memory; else the next task starts with it. `remember` bounds the
+    pieces of text that a worker remembers: about 200 MB for 600,000, in return for calls of the library.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        encode = tokenizer(tokenizer_path).encode
+        encode = tokenizer(tokenizer_path, remember).encode
         end = np.array([end_id], dtype="<u4").tobytes()
         packer = SumOfSquares(size)
         waiting: dict[int, list[list]] = {}  # window: pieces [document, start, length]
