@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from voxlake.llm import collocations as module
@@ -83,3 +84,21 @@ def test_empty_table_and_one_long_text(spark):
     assert run(spark, []) == [] and run(spark, [(None, None)]) == []
     rows = [("en", "one two " * 60_000)]
     assert run(spark, rows) == brute(rows, 100, 5, 2000, 100)
+
+
+def test_phrases_leave_a_slice_in_bounded_shares(spark, monkeypatch):
+    """However many phrases a slice has, their texts are not taken out all at once."""
+    schema = "lang string, phrase string, words int, number long"
+
+    class Docs:
+        def mapInArrow(self, scan, kind):
+            self.scan = scan
+            return spark.createDataFrame([], schema)
+
+    docs, texts = Docs(), [" ".join(f"word{i}" for i in range(k, k + 3000)) for k in (0, 500)] + ["x" * 5000 + " y"]
+    module._counted(docs, module._each_word, 0)
+    monkeypatch.setattr(module, "PHRASE_BYTES", 4096, raising=False)
+    batches = list(docs.scan(iter([pa.RecordBatch.from_arrays([pa.array(["en"] * 3), pa.array(texts)], ["lang", "text"])])))
+    got = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+    assert Counter(dict(got)) == Counter(" ".join(texts).split()) and len(got) == len(dict(got))
+    assert all(sum(map(len, b.column(1).to_pylist())) <= 4096 or b.num_rows == 1 for b in batches)

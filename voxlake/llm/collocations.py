@@ -25,6 +25,8 @@ from voxlake.session import settle
 
 #: Bytes of text that are counted together before they leave a task.
 SLICE_BYTES = 8 << 20
+#: Bytes of phrases that are taken out of a slice at once.
+PHRASE_BYTES = 1 << 20
 #: The first words opened occur so many times the least count at most; each further round opens so many times more.
 OPENING = 64
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -46,7 +48,7 @@ class _Words:
         kind = _CLASS[raw]
         edges = np.diff(np.concatenate([[True], kind > 0]).astype("int8"))
         self.start, self.end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-        self.piece = np.cumsum(kind == _BREAK)[self.start]
+        self.piece = np.cumsum(kind == _BREAK, dtype="int32")[self.start]
         self.text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.start, "right")
         self.names, self.lang = np.unique(np.array(langs, object), return_inverse=True)
         # A word and the next one with a single blank between are a phrase as they stand.
@@ -72,6 +74,15 @@ class _Words:
             out = out * _STEP + self.hash[i : i + n]
         return mix(out), self.piece[:n] == self.piece[words - 1 : words - 1 + n]
 
+    def shares(self, first: np.ndarray, words: int) -> Iterator[slice]:
+        """The phrases of so many words that begin there, in shares of about `PHRASE_BYTES` bytes (one phrase at least)."""
+        ends = np.cumsum(self.end[first + words - 1] - self.start[first])
+        at = 0
+        while at < len(first):
+            after = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PHRASE_BYTES, "right")))
+            yield slice(at, after)
+            at = after
+
     def strings(self, first: np.ndarray, words: int) -> pa.Array:
         """The phrases of so many words that begin there, with a blank between the words."""
         last = first + words - 1
@@ -119,9 +130,11 @@ def _counted(docs: DataFrame, emit, least: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text", SLICE_BYTES):
             words = _Words(texts, batch.column(0).to_pylist())
-            for first, length, number in emit(words):
-                columns = [words.langs(first), words.strings(first, length), pa.array(np.full(len(first), length, "int32")), pa.array(number)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "number"])
+            for every, length, number in emit(words):
+                for share in words.shares(every, length):
+                    first = every[share]
+                    columns = [words.langs(first), words.strings(first, length), pa.array(np.full(len(first), length, "int32")), pa.array(number[share])]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "number"])
 
     found = docs.mapInArrow(scan, "lang string, phrase string, words int, number long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("number").alias("f")).where(F.col("f") >= least)
