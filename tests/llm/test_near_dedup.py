@@ -129,3 +129,28 @@ def test_parity_bitmaps_never_differ_more_than_the_sets():
             left, right = near_dedup.parity(np.concatenate([both, one])), near_dedup.parity(np.concatenate([both, two]))
             assert sum(int(x).bit_count() for x in (left ^ right).view("uint64")) <= apart + n // 5
     assert not near_dedup.parity(np.zeros(0, dtype="uint64")).any()
+
+
+def test_small_rounds_take_few_tasks(spark, monkeypatch):
+    """The tasks of a round go with its rows, not with the number of shuffle partitions."""
+    parts, real = [], near_dedup.settle
+
+    def settle(df):
+        done = real(df)
+        if {"node", "tree"} <= set(df.columns):
+            parts.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(near_dedup, "settle", settle)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        words = " ".join(f"w{i}" for i in range(40))
+        docs = spark.createDataFrame([(i, f"{words} x{i}") for i in range(30)] + [(99, "some other text")], "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, shingle=2).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(30)} | {99: 99}
+    assert parts and set(parts) == {1}

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -157,12 +158,16 @@ FINISH_EDGES = 1 << 18
 
 
 def _whole_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of all edges of one task: each node takes the least label around it and then that label's own."""
+    """Components of all edges of one task, by their smallest nodes: each node takes the least label around it and then that
+    label's own."""
     table = pa.Table.from_batches(list(batches))
     if not table.num_rows:
         return
     ends = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
-    nodes, codes = ends.dictionary, ends.indices.to_numpy()
+    order = pc.sort_indices(ends.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    nodes, codes = ends.dictionary.take(order), rank[ends.indices.to_numpy()]
     a, b = codes[: table.num_rows], codes[table.num_rows :]
     label = np.arange(len(nodes))
     while True:
@@ -196,6 +201,8 @@ def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES, rou
             rounds.append(n)
         if n <= finish_edges and not isinstance(kind, (StructType, ArrayType)):
             steps.append(settle(left.coalesce(1).mapInArrow(_whole_components, StructType().add("node", kind).add("root", kind))))
+            if len(steps) == 1:  # nothing was renamed, so the roots are the smallest nodes
+                return steps[0].withColumnRenamed("root", "component")
             break
         order = lambda c: F.xxhash64(F.lit(len(steps)), c)
         around = left.union(left.select("b", "a")).groupBy("a").agg(F.min_by("b", order("b")).alias("root"), F.min(order("b")).alias("least"))
@@ -219,9 +226,10 @@ def merged_components(known: DataFrame, links: DataFrame) -> DataFrame:
     """`known`, as `connected_components` gives it, after more links `src, dst`: only these are contracted, by component."""
     at = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
     named = links.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
-    named = settle(named.select("src", "dst", F.coalesce("component_src", "src").alias("a"), F.coalesce("component_dst", "dst").alias("b")))
-    joined = connected_components(named.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    new = named.select(F.col("src").alias("node"), F.col("a").alias("component")).union(named.select("dst", "b")).distinct()
-    nodes = known.unionByName(new.join(known, "node", "left_anti"))
+    named = settle(named.select("src", "dst", "component_src", "component_dst"))
+    joined = connected_components(named.select(F.coalesce("component_src", "src").alias("src"), F.coalesce("component_dst", "dst").alias("dst")))
+    ends = [F.struct(F.col(x).alias("node"), F.col(f"component_{x}").alias("component")) for x in ("src", "dst")]
+    new = named.select(F.inline(F.array(*ends))).where("component is null").select("node").distinct()
+    nodes = known.unionByName(new.select("node", F.col("node").alias("component")))
     upper = joined.select(F.col("node").alias("component"), F.col("component").alias("last"))
     return settle(nodes.join(upper, "component", "left").select("node", F.coalesce("last", "component").alias("component")))

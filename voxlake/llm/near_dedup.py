@@ -34,6 +34,8 @@ PARITY = tuple(f"p{i}" for i in range(BITMAP))
 PAIRS_A_MEMBER = 512
 #: Members of a node, on average, that all others of it are compared with first.
 ANCHORS = 4
+#: Rows of a round, and pairs, that a task reads at least: small rounds don't take a task for each partition.
+ROWS_A_TASK, PAIRS_A_TASK = 20_000, 5_000
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _ODD = mix(np.arange(1, TOKENS + 1, dtype="uint64")) | np.uint64(1)
@@ -142,7 +144,7 @@ def _alike(a: str, b: str, percent: int, unlike_bits: int) -> Column:
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough. A pair's texts meet in one row; a popular side is split at run time."""
     hashed = F.xxhash64("doc_id").alias("h")
-    needed = bitmap_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).select(hashed).distinct(), "h")
+    needed = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(hashed), "h")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,11 +206,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     told = members.select("id", "f1", *attributes)
     placed = members.select("id", "f1", F.col("id").alias("component"), F.posexplode("paths").alias("tree", "node"))
     known, level = None, 2
+
+    def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame | None:
+        """The components after what is similar enough of more pairs."""
+        if not (n := pairs.count()):
+            return known
+        links = settle(_confirmed(pairs.coalesce(-(-n // PAIRS_A_TASK)), rows, shingle, percent))
+        return known if links.isEmpty() else components(links, known)
+
     while True:
         sizes = settle(placed.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1"))
-        crowd = settle(placed.join(sizes, "node").join(told, ["id", "f1"]))
-        if crowd.isEmpty():
+        n = sizes.agg(F.sum("m")).first()[0]
+        if not n:
             break
+        tasks = -(-n // ROWS_A_TASK)
+        crowd = settle(placed.join(sizes, "node").join(told, ["id", "f1"]).coalesce(tasks))
         side = lambda name: F.struct("id", *attributes, "component").alias(name)
         # Every member meets the smallest one and some others, of whom a hash of the id chooses about ANCHORS a node.
         chosen = (F.col("id") == F.col("pivot")) | (F.pmod(F.xxhash64("id", F.lit(level)), F.greatest(F.lit(1), F.expr(f"m div {ANCHORS}"))) == 0)
@@ -216,34 +228,40 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         stars = crowd.select("node", side("y")).join(anchors, "node").where("y.id != x.id and y.component != x.component")
         ordered = stars.where(_alike("x", "y", percent, unlike)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         star_pairs = settle(ordered.distinct())
-        found = settle(_confirmed(star_pairs, rows, shingle, percent))
-        known = components(found, known)
+        # Every step costs a task a partition, also over no rows, so what can't add a link isn't begun.
+        known = linked(star_pairs, known)
 
         # Members by component. What is left to compare in a node are pairs across its components.
-        named = crowd.select("id", "f1", "tree", "node").join(known.select(F.col("node").alias("id"), "component"), "id", "left")
-        named = settle(named.withColumn("component", F.coalesce("component", "id")))
+        named = crowd.select("id", "f1", "tree", "node")
+        if known is None:
+            named = named.withColumn("component", F.col("id"))
+        else:
+            named = named.join(known.select(F.col("node").alias("id"), "component"), "id", "left")
+        named = settle(named.withColumn("component", F.coalesce("component", "id")).coalesce(tasks))
         parts = named.groupBy("node", "component").agg(F.count("*").alias("c"))
         work = parts.groupBy("node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("component", "c").alias("largest"))
-        work = settle(work.withColumn("pairs", F.expr("(m * m - squares) div 2")).where("pairs > 0").drop("squares"))
+        work = settle(work.withColumn("pairs", F.expr("(m * m - squares) div 2")).where("pairs > 0").drop("squares").coalesce(tasks))
+        if work.isEmpty():
+            break
         last = level + 2 > TOKENS  # no token is left to branch by: all of the node is compared
         small = F.lit(last) | (F.col("pairs") <= F.col("m") * PAIRS_A_MEMBER)
-        inside = settle(named.join(work.where(small).select("node", "largest"), "node").join(told, ["id", "f1"]))
+        inside = settle(named.join(work.where(small).select("node", "largest"), "node").join(told, ["id", "f1"]).coalesce(tasks))
         outside = inside.where("component != largest").select("node", "largest", side("x"))
         # A pair of two outsiders is met twice and taken once.
         across = outside.join(inside.select("node", side("y")), "node").where("x.component != y.component and (y.component = largest or x.id < y.id)")
         ordered = across.where(_alike("x", "y", percent, unlike)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         rest = settle(ordered.join(star_pairs, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            known = components(settle(_confirmed(rest, rows, shingle, percent)), known)
+        known = linked(rest, known)
 
-        going = settle(named.join(work.where(~small).select("node"), "node", "left_semi").select("id", "f1", "component", "tree", "node"))
-        if last or going.isEmpty():
+        large = work.where(~small).select("node")
+        if last or large.isEmpty():
             break
+        going = settle(named.join(large, "node", "left_semi").select("id", "f1", "component", "tree", "node").coalesce(tasks))
         # Two children for each member, by the next two tokens of the tree.
         choices = F.lit([_choice(t).tolist() for t in range(trees)])
         child = lambda n: F.xxhash64("node", F.lit(n), F.get("tokens", F.get(F.get(choices, F.col("tree")), F.lit(n))))
-        tokens = _tokens_of(going.select("f1").distinct(), filled)
-        placed = settle(going.join(tokens, "f1").select("id", "f1", "component", "tree", F.explode(F.array(child(level), child(level + 1))).alias("node")))
+        tokens = _tokens_of(going.select("f1"), filled)
+        placed = settle(going.join(tokens, "f1").select("id", "f1", "component", "tree", F.explode(F.array(child(level), child(level + 1))).alias("node")).coalesce(tasks))
         level += 2
 
     joined = signed.select("doc_id", "n", "f1", "f2").join(folded.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
