@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,33 @@ def test_vectors_do_not_go_through_the_driver(spark):
     vectors = spark.range(60).select("id", F.array(F.cos(F.col("id") % 20), F.sin(F.col("id") % 20)).alias("vector"))
     plans = [issues.density_clusters(vectors, min_size=5), issues.components_at(vectors, 0.9)]
     assert not [p for p in plans if "BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_a_vector_is_moved_for_as_many_blocks_however_many_vectors_there_are(spark):
+    vectors = lambda n: spark.range(n).select("id", F.array(F.cos("id"), F.sin("id"), F.cos(F.col("id") * 3)).alias("vector"))
+    for n in (40_000, 80_000):
+        tiles = graph._block_pairs(vectors(n), 0.36, None)
+        assert tiles.count() <= 17 * n
+        assert tiles.groupBy("cell", "tile").count().agg(F.max("count")).first()[0] < 3 * n / 16
+
+
+@pytest.mark.parametrize("left,right,dims,level", [(200, 0, 8, -1.0), (150, 90, 8, -1.0), (120, 0, 3, 0.9), (80, 130, 64, 0.2), (1, 0, 4, -1.0), (1, 7, 4, -1.0)])
+@pytest.mark.parametrize("near", [1, 16])
+def test_forests_of_blocks_equal_brute_force(monkeypatch, left, right, dims, level, near):
+    monkeypatch.setattr(graph, "NEAR", near)
+    monkeypatch.setattr(graph, "STEP_ROWS", 48)
+    rng, n = np.random.default_rng(left), left + right
+    side = np.array([graph.LEFT] * left + [graph.RIGHT] * right if right else [graph.BOTH] * left, "int8")
+    vectors = pa.array(list(rng.normal(size=(n, dims))), pa.list_(pa.float64()))
+    tile = graph._Tile(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(n)), vectors, pa.array(side)], ["id", "vector", "side"])]))
+    cosines, parent = tile.x @ tile.x.T, list(range(n))
+
+    def root(v):
+        return v if parent[v] == v else root(parent[v])
+
+    want = []
+    for w, i, j in sorted(((cosines[i, j], i, j) for i in tile.left for j in tile.right if (right or i < j) and cosines[i, j] >= level), reverse=True):
+        if root(i) != root(j):
+            parent[root(i)] = root(j)
+            want.append(w)
+    assert sorted(graph._forest(tile, level)[2], reverse=True) == pytest.approx(want)

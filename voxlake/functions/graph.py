@@ -12,20 +12,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from voxlake.functions.similarity import unit
 from voxlake.session import settle
 
 MAX_PIVOTS = 1024
+#: Below this cosine nearly every vector is in reach of every cell, so that space is not cut.
+PRUNES = 0.9
+#: Rows of a block where space is cut, and blocks otherwise, until these have too many rows for a task.
+BLOCK_ROWS, BLOCKS, MOST_ROWS = 2048, 16, 1 << 15
 #: Vectors that are held against all pivots at once, and rows that are given out at once.
 IN_ROWS, OUT_ROWS = 1024, 4096
+#: Rows of either side that are multiplied at once.
+STEP_ROWS = 2048
+#: Pairs of a vector, on average, that a forest begins with.
+NEAR = 16
+#: Sides of a pair of blocks that a vector stands on.
+LEFT, RIGHT, BOTH = 0, 1, 2
 
 
-def _choose_pivots(vectors: DataFrame, rows_per_cell: int) -> np.ndarray:
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one, zero rows as they are; squares are summed in order, as `similarity.unit` does."""
+    x = np.asarray(vectors, dtype=float)
+    norm = np.sqrt(np.cumsum(x * x, axis=1)[:, -1:]) if x.size else np.ones((len(x), 1))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _choose_pivots(vectors: DataFrame, k: int) -> np.ndarray:
     """A bounded, deterministic sample of vectors to split the space by; at most 1,024 of them reach the driver."""
-    size = vectors.count()
-    k = int(min(MAX_PIVOTS, max(1, -(-size // rows_per_cell))))
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(k).select("vector").collect()
-    return np.array([r["vector"] for r in rows], dtype=float).reshape(len(rows), -1)
+    return _units(np.array([r["vector"] for r in rows], dtype=float).reshape(len(rows), -1))
 
 
 def _cells(pivots: np.ndarray, radius: float):
@@ -37,7 +51,7 @@ def _cells(pivots: np.ndarray, radius: float):
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole, at in ((b, i) for b in batches for i in range(0, len(b), IN_ROWS)):
             batch = whole.iloc[at : at + IN_ROWS]
-            x = np.stack(batch["vector"].to_numpy())
+            x = _units(np.stack(batch["vector"].to_numpy()))
             to = (x**2).sum(axis=1)[:, None] + square[None, :] - 2 * x @ pivots.T
             home = to.argmin(axis=1)
             lead = to - to[np.arange(len(x)), home][:, None]
@@ -53,25 +67,35 @@ def _cells(pivots: np.ndarray, radius: float):
     return place
 
 
-def _block_pairs(vectors: DataFrame, min_cosine: float, block_rows: int) -> DataFrame:
-    """Place unit vectors into bounded blocks so that every pair within reach meets in exactly one pair of blocks.
+def _block_pairs(vectors: DataFrame, min_cosine: float, block_rows: int | None) -> DataFrame:
+    """Place vectors into bounded blocks so that every pair within reach meets in exactly one pair of blocks, `(cell, tile)`,
+    in which a vector's `side` is the left one, the right one or, in a block with itself, both.
 
     Space is cut by pivots; a vector lives in its nearest pivot's cell and visits a lower cell only if a vector there
     could be close enough (distance to the separating hyperplane, as in ClusterJoin, Das Sarma et al. 2014). Large
-    cells are cut into blocks of about `block_rows`, so a crowded region becomes many tasks, not one.
+    cells are cut into blocks of about `block_rows`, so a crowded region becomes many tasks, not one. At a low cosine all is
+    one cell: vectors would visit nearly all others, and what is moved is a copy of each vector for each of its cell's blocks.
+    Unless given, there are about 16 blocks then, and more only beyond 32,768 rows a block, so that this grows with the rows.
     """
-    radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
-    pivots = _choose_pivots(vectors, block_rows)
-    kind = vectors.schema["id"].dataType.simpleString()
-    placed = settle(  # used for the cell sizes and for the tiles
-        vectors.mapInPandas(_cells(pivots, radius), f"id {kind}, vector array<double>, cell int, home boolean")
-    )
-    # One row per cell: at most 1,024.
-    sizes = placed.groupBy("cell").agg(
-        F.greatest(F.lit(1), F.ceil(F.count_if(F.col("home")) / block_rows)).cast("int").alias("n_home"),
-        F.ceil(F.count_if(~F.col("home")) / block_rows).cast("int").alias("n_away"),
-    )
-    mine = placed.join(F.broadcast(sizes), "cell")
+    size = vectors.count()
+    cut = min_cosine >= PRUNES
+    rows = block_rows or (BLOCK_ROWS if cut else min(MOST_ROWS, max(BLOCK_ROWS, -(-size // BLOCKS))))
+    if cut:
+        radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
+        pivots = _choose_pivots(vectors, int(min(MAX_PIVOTS, max(1, -(-size // rows)))))
+        kinds = [vectors.schema[c].dataType.simpleString() for c in ("id", "vector")]
+        placed = settle(  # used for the cell sizes and for the tiles
+            vectors.mapInPandas(_cells(pivots, radius), f"id {kinds[0]}, vector {kinds[1]}, cell int, home boolean")
+        )
+        # One row per cell: at most 1,024.
+        sizes = placed.groupBy("cell").agg(
+            F.greatest(F.lit(1), F.ceil(F.count_if(F.col("home")) / rows)).cast("int").alias("n_home"),
+            F.ceil(F.count_if(~F.col("home")) / rows).cast("int").alias("n_away"),
+        )
+        mine = placed.join(F.broadcast(sizes), "cell")
+    else:
+        whole = {"cell": 0, "home": True, "n_home": max(1, -(-size // rows)), "n_away": 0}
+        mine = vectors.select("id", "vector", *[F.lit(v).alias(k) for k, v in whole.items()])
     count = F.when(F.col("home"), F.col("n_home")).otherwise(F.col("n_away"))
     mine = mine.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), count).cast("int"))
     all_home = F.sequence(F.lit(0), F.col("n_home") - 1)
@@ -86,71 +110,137 @@ def _block_pairs(vectors: DataFrame, min_cosine: float, block_rows: int) -> Data
     )
     away = F.transform(all_home, lambda b: tile(b, "a", F.col("block")))
     tiles = F.when(F.col("home"), at_home).otherwise(away)
-    return mine.select("id", "vector", "home", "cell", "block", F.explode(tiles).alias("tile"))
+    own = F.col("home") & (F.col("block") == F.col("tile.low"))
+    with_itself = (F.col("tile.kind") == "h") & (F.col("tile.low") == F.col("tile.other"))
+    side = F.when(with_itself, BOTH).when(own, LEFT).otherwise(RIGHT).cast("tinyint")
+    return mine.select("id", "vector", "home", "cell", "block", F.explode(tiles).alias("tile")).select("cell", "tile", "id", "vector", side.alias("side"))
+
+
+class _Tile:
+    """One pair of blocks: `left` and `right` are places in `ids` and unit vectors `x`; the same ones in a block with itself."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        self.ids = rows.column("id").combine_chunks()
+        self.x = _units(rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(self.ids), -1))
+        side = rows.column("side").to_numpy()
+        self.same = bool(len(side)) and side[0] == BOTH
+        self.left, self.right = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
+
+    def products(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """`(places on the left, on the right, cosines)` by bounded parts, each pair once and with itself never above -inf."""
+        for i in range(0, len(self.left), STEP_ROWS):
+            a = self.left[i : i + STEP_ROWS]
+            for j in range(i if self.same else 0, len(self.right), STEP_ROWS):
+                b = self.right[j : j + STEP_ROWS]
+                cosines = self.x[a] @ self.x[b].T
+                if self.same and i == j:
+                    cosines[np.tril_indices(len(a))] = -np.inf
+                yield a, b, cosines
+
+    def edges(self, a: np.ndarray, b: np.ndarray, cosines: np.ndarray) -> pa.RecordBatch:
+        one, two = self.ids.take(pa.array(a)), self.ids.take(pa.array(b))
+        return pa.RecordBatch.from_arrays([pc.min_element_wise(one, two), pc.max_element_wise(one, two), pa.array(cosines, pa.float64())], ["src", "dst", "cosine"])
+
+
+def similar_pairs(vectors: DataFrame, min_cosine: float, block_rows: int | None = None) -> DataFrame:
+    """Every pair `(src < dst)` with cosine at least `min_cosine`. Exact: no bucket is dropped or capped."""
+    kind = vectors.schema["id"].dataType.simpleString()
 
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = _Tile(batches)
+        for a, b, cosines in tile.products():
+            i, j = np.nonzero(cosines >= min_cosine)
+            yield tile.edges(a[i], b[j], cosines[i, j])
 
-def _unit_vectors(vectors: DataFrame) -> DataFrame:
-    return vectors.select("id", unit(F.col("vector")).alias("vector"))
+    tiles = _block_pairs(vectors.select("id", "vector"), min_cosine, block_rows)
+    return tiles.groupBy("cell", "tile").applyInArrow(match, f"src {kind}, dst {kind}, cosine double")
 
 
-def similar_pairs(vectors: DataFrame, min_cosine: float, block_rows: int = 2048) -> DataFrame:
-    """Every pair `(src < dst)` with cosine at least `min_cosine`. Exact: no bucket is dropped or capped."""
-    kind = vectors.schema["id"].dataType.simpleString()
+def _kruskal(group: np.ndarray, one: np.ndarray, two: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the edges make a maximum spanning forest on top of groups, as places, and the groups after that."""
+    parent = np.arange(len(group)).tolist()
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    order, taken = np.argsort(-cosines, kind="stable"), []
+    for at, a, b in zip(order.tolist(), group[one[order]].tolist(), group[two[order]].tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[a] = b
+            taken.append(at)
+    return np.array(taken, dtype="int64"), np.array([root(x) for x in range(len(parent))], dtype="int64")[group]
+
+
+def _forest(tile: _Tile, min_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A maximum spanning forest of the pairs of a tile with a cosine of `min_cosine` or more.
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        tile = pdf["tile"].iloc[0]
-        left = pdf[pdf["home"] & (pdf["block"] == tile["low"])]
-        if tile["kind"] == "h":
-            right = pdf[pdf["block"] == tile["other"]]
-            same = tile["low"] == tile["other"]
-        else:
-            right, same = pdf[~pdf["home"]], False
-        if not len(left) or not len(right):
-            return pd.DataFrame({"src": left["id"][:0], "dst": right["id"][:0], "cosine": []})
-        products = np.stack(left["vector"].to_numpy()) @ np.stack(right["vector"].to_numpy()).T
-        i, j = np.nonzero(products >= min_cosine)
-        if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b), "cosine": products[i, j]})
-
-    tiles = _block_pairs(_unit_vectors(vectors), min_cosine, block_rows)
-    return tiles.groupBy("cell", "tile").applyInPandas(match, f"src {kind}, dst {kind}, cosine double")
-
-
-def spanning_edges(vectors: DataFrame, min_cosine: float, block_rows: int = 2048) -> DataFrame:
+    The nearest pairs, about `NEAR` a vector, are joined first, from the nearest on. What is left outside the largest group
+    then looks for its best edge among all pairs, round by round (Boruvka's algorithm).
+    """
+    n, x = len(tile.ids), tile.x
+    group, pool, held = np.arange(n), [tuple(np.zeros(0, k) for k in ("int64", "int64", "float64"))], 0
+    seen = x[tile.left[:: max(1, len(tile.left) // 64)]] @ x[tile.right].T
+    # Pairs that are at least so near count first; with fewer vectors than that, all do.
+    place = seen.size - min(seen.size, NEAR * len(seen))
+    low = max(min_cosine, np.partition(seen.ravel(), place)[place] if place else -np.inf)
+
+    def merged() -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        every = tuple(np.concatenate(c) for c in zip(*pool))
+        taken, group = _kruskal(np.arange(n), *every)
+        return tuple(c[taken] for c in every), group
+
+    for a, b, cosines in tile.products():
+        i, j = np.nonzero(cosines >= low)
+        pool.append((a[i], b[j], cosines[i, j]))
+        held += len(i)
+        if held > 4 * NEAR * n:
+            pool = [merged()[0]]
+            held = len(pool[0][0])
+    found, group = merged()
+    edges = [found]
+    while low > min_cosine:
+        best, link = np.full(n, -np.inf), np.full(n, -1)
+        outside = group != np.bincount(group).argmax()
+        for own, others in ((tile.left, tile.right), (tile.right, tile.left))[: 1 if tile.same else 2]:
+            seeking = own[outside[own]]
+            for a in (seeking[i : i + STEP_ROWS] for i in range(0, len(seeking), STEP_ROWS)):
+                for b in (others[j : j + STEP_ROWS] for j in range(0, len(others), STEP_ROWS)):
+                    cosines = x[a] @ x[b].T
+                    cosines[(group[a][:, None] == group[b][None, :]) | (cosines < min_cosine)] = -np.inf
+                    at = cosines.argmax(axis=1)
+                    top = cosines[np.arange(len(a)), at]
+                    better = top > best[a]
+                    best[a[better]], link[a[better]] = top[better], b[at[better]]
+        order = np.argsort(-best, kind="stable")
+        order = order[link[order] >= 0]
+        # The best edge of each group; one that closes a circle of equal ones is not needed.
+        order = order[np.unique(group[order], return_index=True)[1]]
+        if not len(order):
+            break
+        taken, group = _kruskal(group, order, link[order], best[order])
+        edges.append((order[taken], link[order[taken]], best[order[taken]]))
+    return tuple(np.concatenate(c) for c in zip(*edges))
+
+
+def spanning_edges(vectors: DataFrame, min_cosine: float, block_rows: int | None = None) -> DataFrame:
     """Edges that contain a maximum spanning forest of the graph of pairs with cosine >= `min_cosine`.
 
-    Each pair of blocks returns only its own forest (Prim's algorithm on at most two blocks), which is linear in its
-    rows: an edge that is not needed inside its block pair is not needed overall.
+    Each pair of blocks returns only the forest of its own pairs, which is linear in its rows: an edge that is not needed
+    there is not needed overall.
     """
     kind = vectors.schema["id"].dataType.simpleString()
 
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["id"].to_numpy(), np.stack(pdf["vector"].to_numpy())
-        n = len(ids)
-        best = np.full(n, -np.inf)
-        link = np.full(n, -1)
-        open_ = np.ones(n, dtype=bool)
-        rows = []
-        at = 0
-        for _ in range(n):
-            open_[at] = False
-            if link[at] >= 0 and best[at] >= min_cosine:
-                rows.append((link[at], at, best[at]))
-            near = x @ x[at]
-            better = open_ & (near > best)
-            best[better], link[better] = near[better], at
-            if not open_.any():
-                break
-            at = int(np.argmax(np.where(open_, best, -np.inf)))
-        a = ids[[r[0] for r in rows]] if rows else ids[:0]
-        b = ids[[r[1] for r in rows]] if rows else ids[:0]
-        return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b), "cosine": [r[2] for r in rows]})
-
-    tiles = _block_pairs(_unit_vectors(vectors), min_cosine, block_rows)
-    return tiles.groupBy("cell", "tile").applyInPandas(forest, f"src {kind}, dst {kind}, cosine double").distinct()
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = _Tile(batches)
+        yield tile.edges(*_forest(tile, min_cosine))
+
+    tiles = _block_pairs(vectors.select("id", "vector"), min_cosine, block_rows)
+    return tiles.groupBy("cell", "tile").applyInArrow(forest, f"src {kind}, dst {kind}, cosine double").distinct()
 
 
 #: So many edges, in codes of 8 bytes, are few enough for one task to finish.
