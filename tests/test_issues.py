@@ -210,3 +210,13 @@ def test_forests_of_blocks_equal_brute_force(monkeypatch, left, right, dims, lev
             parent[root(i)] = root(j)
             want.append(w)
     assert sorted(graph._forest(tile, level)[2], reverse=True) == pytest.approx(want)
+
+
+def test_edges_are_thinned_to_a_forest_before_they_are_split(spark):
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 40, 900), rng.integers(40, 90, 900), rng.random(900))], "src long, dst long, cosine double").repartition(6)
+    whole = graph.spanning_forest(edges).collect()
+    parts = graph.spanning_forest(edges, 300).collect()
+    assert len(whole) == 89 and len(parts) <= 3 * 89
+    assert sum(r["cosine"] for r in graph.spanning_forest(spark.createDataFrame(parts)).collect()) == pytest.approx(sum(r["cosine"] for r in whole))
+    assert graph.spanning_forest(edges.limit(0)).collect() == []

@@ -168,11 +168,12 @@ def _kruskal(group: np.ndarray, one: np.ndarray, two: np.ndarray, cosines: np.nd
         return x
 
     order, taken = np.argsort(-cosines, kind="stable"), []
-    for at, a, b in zip(order.tolist(), group[one[order]].tolist(), group[two[order]].tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[a] = b
-            taken.append(at)
+    for part in (order[i : i + STEP_ROWS] for i in range(0, len(order), STEP_ROWS)):
+        for at, a, b in zip(part.tolist(), group[one[part]].tolist(), group[two[part]].tolist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[a] = b
+                taken.append(at)
     return np.array(taken, dtype="int64"), np.array([root(x) for x in range(len(parent))], dtype="int64")[group]
 
 
@@ -240,11 +241,57 @@ def spanning_edges(vectors: DataFrame, min_cosine: float, block_rows: int | None
         yield tile.edges(*_forest(tile, min_cosine))
 
     tiles = _block_pairs(vectors.select("id", "vector"), min_cosine, block_rows)
-    return tiles.groupBy("cell", "tile").applyInArrow(forest, f"src {kind}, dst {kind}, cosine double").distinct()
+    return spanning_forest(tiles.groupBy("cell", "tile").applyInArrow(forest, f"src {kind}, dst {kind}, cosine double"))
+
+
+def _codes(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct nodes of edges in order, and both ends of each edge as places among them."""
+    ends = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(ends.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    codes = rank[ends.indices.to_numpy()]
+    return ends.dictionary.take(order), codes[: table.num_rows], codes[table.num_rows :]
+
+
+def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one task that make a maximum spanning forest of them."""
+    table = pa.Table.from_batches(list(batches))
+    if table.num_rows:
+        nodes, one, two = _codes(table)
+        yield from table.take(pa.array(_kruskal(np.arange(len(nodes)), one, two, table.column(2).to_numpy())[0])).to_batches()
+
+
+#: Edges of which one task makes a forest, at 24 bytes each.
+FOREST_EDGES = 1 << 22
+
+
+def spanning_forest(edges: DataFrame, forest_edges: int = FOREST_EDGES) -> DataFrame:
+    """Edges `(src, dst, cosine)` that contain a maximum spanning forest of the given ones, as few as parts of bounded size tell.
+
+    A part gives the forest of its own edges; parts are put together and thinned out again, until one is left or what they
+    give is no longer half of what they take. Up to `forest_edges` edges become one forest.
+    """
+    edges = settle(edges)
+    n = edges.count()
+    while n:
+        parts = -(-n // forest_edges)
+        edges = settle(edges.coalesce(parts).mapInArrow(_whole_forest, edges.schema))
+        n, before = edges.count(), n
+        if parts == 1 or 2 * n > before:
+            break
+    return edges
 
 
 #: So many edges, in codes of 8 bytes, are few enough for one task to finish.
 FINISH_EDGES = 1 << 18
+#: With more rows than these, nodes are not sent through the driver, whatever size Catalyst takes a checkpoint for.
+SENT_ROWS = 1 << 16
+
+
+def _joined(side: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that is merged if it has many rows."""
+    return side.hint("merge") if rows > SENT_ROWS else side
 
 
 def _whole_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,12 +300,7 @@ def _whole_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     table = pa.Table.from_batches(list(batches))
     if not table.num_rows:
         return
-    ends = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
-    order = pc.sort_indices(ends.dictionary)
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order.to_numpy()] = np.arange(len(order))
-    nodes, codes = ends.dictionary.take(order), rank[ends.indices.to_numpy()]
-    a, b = codes[: table.num_rows], codes[table.num_rows :]
+    nodes, a, b = _codes(table)
     label = np.arange(len(nodes))
     while True:
         low = np.minimum(label[a], label[b])
@@ -285,8 +327,9 @@ def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES, rou
     kind = edges.schema["src"].dataType
     src, dst = F.col("src"), F.col("dst")
     left = settle(edges.where("src != dst").select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct())
-    steps = []
+    steps, most = [], 0
     while n := left.count():
+        most = max(most, n)
         if rounds is not None:
             rounds.append(n)
         if n <= finish_edges and not isinstance(kind, (StructType, ArrayType)):
@@ -297,7 +340,7 @@ def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES, rou
         order = lambda c: F.xxhash64(F.lit(len(steps)), c)
         around = left.union(left.select("b", "a")).groupBy("a").agg(F.min_by("b", order("b")).alias("root"), F.min(order("b")).alias("least"))
         step = settle(around.select(F.col("a").alias("node"), F.when(F.col("least") < order("a"), F.col("root")).otherwise(F.col("a")).alias("root")))
-        at = lambda end: step.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        at = lambda end: _joined(step.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), n)
         renamed = left.join(at("a"), "a").join(at("b"), "b").where("root_a != root_b")
         least, greatest = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
         left = settle(renamed.select(least.alias("a"), greatest.alias("b")).distinct())
@@ -306,9 +349,9 @@ def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES, rou
         return left.select(F.col("a").alias("node"), F.col("a").alias("component"))
     roots = steps.pop()
     for step in reversed(steps):
-        upper = roots.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        upper = _joined(roots.select(F.col("node").alias("root"), F.col("root").alias("last")), most)
         roots = settle(step.join(upper, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
-    smallest = roots.groupBy("root").agg(F.min("node").alias("component"))
+    smallest = _joined(roots.groupBy("root").agg(F.min("node").alias("component")), most)
     return settle(roots.join(smallest, "root").select("node", "component"))
 
 

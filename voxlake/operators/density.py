@@ -170,7 +170,7 @@ def tree_clusters(edges: DataFrame, points: DataFrame, least: int, problem_edges
 
     # A large node stands for the branch that its own problem ended with, or is a point with many copies.
     roots = told.where("kind = 'root'").select("s", "branch")
-    ends = roots.join(up, "s").select(F.concat(F.lit("?"), _key("parent", "node")).alias("name"), F.col("branch").alias("real"))
+    ends = roots.join(up.hint("merge"), "s").select(F.concat(F.lit("?"), _key("parent", "node")).alias("name"), F.col("branch").alias("real"))
     while True:
         onward = ends.select(F.col("name").alias("real"), F.col("real").alias("last"))
         following = settle(ends.join(onward, "real", "left").select("name", F.coalesce("last", "real").alias("real")))
@@ -178,7 +178,7 @@ def tree_clusters(edges: DataFrame, points: DataFrame, least: int, problem_edges
             break
         ends = following
     of = lambda c: ends.select(F.col("name").alias(c), F.col("real").alias(f"{c}_real"))
-    named = told.join(of("branch"), "branch", "left").join(of("x"), "x", "left")
+    named = told.join(of("branch").hint("merge"), "branch", "left").join(of("x").hint("merge"), "x", "left")
     named = settle(named.select("kind", F.coalesce("x_real", "x").alias("x"), F.coalesce("branch_real", "branch").alias("branch"), "w", "size", "s"))
 
     # One row a branch and way of changing it: as many as there are branches, 2 points / least at most, meet in one task.
