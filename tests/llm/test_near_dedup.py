@@ -154,3 +154,11 @@ def test_small_rounds_take_few_tasks(spark, monkeypatch):
             spark.conf.set(k, v)
     assert got == {i: 0 for i in range(30)} | {99: 99}
     assert parts and set(parts) == {1}
+
+
+def test_sets_are_not_sent_through_the_driver(spark):
+    texts = [" ".join(f"w{i % 7}x{j}" for j in range(30)) + f" end{i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_duplicates(docs, shingle=2, percent=80)
+    assert len({r["component_id"] for r in found.collect()}) == 7
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

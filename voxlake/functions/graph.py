@@ -289,7 +289,7 @@ FINISH_EDGES = 1 << 18
 SENT_ROWS = 1 << 16
 
 
-def _joined(side: DataFrame, rows: int) -> DataFrame:
+def unsent(side: DataFrame, rows: int) -> DataFrame:
     """A side of a join that is merged if it has many rows."""
     return side.hint("merge") if rows > SENT_ROWS else side
 
@@ -340,7 +340,7 @@ def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES, rou
         order = lambda c: F.xxhash64(F.lit(len(steps)), c)
         around = left.union(left.select("b", "a")).groupBy("a").agg(F.min_by("b", order("b")).alias("root"), F.min(order("b")).alias("least"))
         step = settle(around.select(F.col("a").alias("node"), F.when(F.col("least") < order("a"), F.col("root")).otherwise(F.col("a")).alias("root")))
-        at = lambda end: _joined(step.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), n)
+        at = lambda end: unsent(step.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), n)
         renamed = left.join(at("a"), "a").join(at("b"), "b").where("root_a != root_b")
         least, greatest = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
         left = settle(renamed.select(least.alias("a"), greatest.alias("b")).distinct())
@@ -349,9 +349,9 @@ def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES, rou
         return left.select(F.col("a").alias("node"), F.col("a").alias("component"))
     roots = steps.pop()
     for step in reversed(steps):
-        upper = _joined(roots.select(F.col("node").alias("root"), F.col("root").alias("last")), most)
+        upper = unsent(roots.select(F.col("node").alias("root"), F.col("root").alias("last")), most)
         roots = settle(step.join(upper, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
-    smallest = _joined(roots.groupBy("root").agg(F.min("node").alias("component")), most)
+    smallest = unsent(roots.groupBy("root").agg(F.min("node").alias("component")), most)
     return settle(roots.join(smallest, "root").select("node", "component"))
 
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.functions.graph import SENT_ROWS, unsent
 from voxlake.llm.batches import RollingHash, mix, pieces
 from voxlake.llm.components import components
 from voxlake.llm.filters import bitmap_of, passes
@@ -207,6 +208,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     placed = members.select("id", "f1", F.col("id").alias("component"), F.posexplode("paths").alias("tree", "node"))
     known, level = None, 2
 
+    def described(rows: DataFrame, n: int) -> DataFrame:
+        """At most n rows with what tells their sets. The sets' size is a guess, so they are never what is sent to all tasks."""
+        return rows.join(told.hint("merge"), ["id", "f1"]) if n > SENT_ROWS else told.join(F.broadcast(rows), ["id", "f1"])
+
     def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame | None:
         """The components after what is similar enough of more pairs."""
         if not (n := pairs.count()):
@@ -220,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         if not n:
             break
         tasks = -(-n // ROWS_A_TASK)
-        crowd = settle(placed.join(sizes, "node").join(told, ["id", "f1"]).coalesce(tasks))
+        crowd = settle(described(placed.join(unsent(sizes, n), "node"), n).coalesce(tasks))
         side = lambda name: F.struct("id", *attributes, "component").alias(name)
         # Every member meets the smallest one and some others, of whom a hash of the id chooses about ANCHORS a node.
         chosen = (F.col("id") == F.col("pivot")) | (F.pmod(F.xxhash64("id", F.lit(level)), F.greatest(F.lit(1), F.expr(f"m div {ANCHORS}"))) == 0)
@@ -245,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             break
         last = level + 2 > TOKENS  # no token is left to branch by: all of the node is compared
         small = F.lit(last) | (F.col("pairs") <= F.col("m") * PAIRS_A_MEMBER)
-        inside = settle(named.join(work.where(small).select("node", "largest"), "node").join(told, ["id", "f1"]).coalesce(tasks))
+        inside = settle(described(named.join(work.where(small).select("node", "largest"), "node"), n).coalesce(tasks))
         outside = inside.where("component != largest").select("node", "largest", side("x"))
         # A pair of two outsiders is met twice and taken once.
         across = outside.join(inside.select("node", side("y")), "node").where("x.component != y.component and (y.component = largest or x.id < y.id)")
@@ -260,15 +265,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         # Two children for each member, by the next two tokens of the tree.
         choices = F.lit([_choice(t).tolist() for t in range(trees)])
         child = lambda n: F.xxhash64("node", F.lit(n), F.get("tokens", F.get(F.get(choices, F.col("tree")), F.lit(n))))
-        tokens = _tokens_of(going.select("f1"), filled)
+        tokens = unsent(_tokens_of(going.select("f1"), filled), n * TOKENS // 16)
         placed = settle(going.join(tokens, "f1").select("id", "f1", "component", "tree", F.explode(F.array(child(level), child(level + 1))).alias("node")).coalesce(tasks))
         level += 2
 
-    joined = signed.select("doc_id", "n", "f1", "f2").join(folded.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
+    joined = signed.select("doc_id", "n", "f1", "f2").join(folded.select("f1", "f2", "n", "rep").hint("merge"), ["f1", "f2", "n"], "left")
     if known is None:
         result = joined.withColumn("component", F.lit(None).cast(rows.schema["doc_id"].dataType))
     else:
-        result = joined.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        result = joined.join(known.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
     component = F.coalesce("component", "rep", F.when(F.col("n") == 0, F.col("doc_id")))
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
